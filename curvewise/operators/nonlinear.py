@@ -175,7 +175,7 @@ def refine_fit(
     )
     for step in range(steps + 1):
         state = _step(sums, state, keys, m)
-        if step % 4 == 3:
+        if step < steps:
             state = cut_lineage(state)
     counts = sums.groupBy(*keys).agg(F.sum("n").alias("n"))
     linear = [] if m.linear == "none" else [F.col("_lin").alias(m.linear)]
