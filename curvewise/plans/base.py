@@ -114,28 +114,59 @@ POP = """pop AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def quadratic_sql(keys: str, source: str = "obs", y: str = "y", name: str = "q") -> str:
-    """CTEs of the per-key quadratic y ~ x + x^2, as `name`."""
+def _determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    if len(m) == 2:
+        return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+    minors = [[[row[c] for c in range(3) if c != k] for row in m[1:]] for k in range(3)]
+    a, b, c = (f"{m[0][k]} * {_determinant(minors[k])}" for k in range(3))
+    return f"({a} - {b} + {c})"
+
+
+def solve_sql(p: int, s: str = "s", r: str = "r", tolerance: str = "1e-11") -> tuple[str, list[str]]:
+    """Guarded determinant and solutions (over a column `det`) of a symmetric system."""
+    at = lambda i, j: f"{s}{min(i, j)}{max(i, j)}"
+    full = [[at(i, j) for j in range(p)] for i in range(p)]
+    det = _determinant(full)
+    scale = " * ".join(at(i, i) for i in range(p))
+    guarded = f"CASE WHEN {det} > {tolerance} * {scale} THEN {det} END"
+    solutions = []
+    for k in range(p):
+        m = [[f"{r}{i}" if j == k else full[i][j] for j in range(p)] for i in range(p)]
+        solutions.append(f"{_determinant(m)} / det")
+    return guarded, solutions
+
+
+def design_sql(keys: str, terms: list[str], source: str = "obs", y: str = "y", name: str = "q") -> str:
+    """CTEs of the per-key regression of y on up to three terms, as `name`."""
+    p = len(terms)
+    t = ", ".join(f"CAST({e} AS DOUBLE) AS t{i}" for i, e in enumerate(terms))
+    aggs = ["count(*) AS n", "avg(yv) AS my", "var_samp(yv) AS yy"]
+    for i in range(p):
+        aggs += [f"avg(t{i}) AS m{i}", f"covar_samp(t{i}, yv) AS r{i}", f"var_samp(t{i}) AS s{i}{i}"]
+        aggs += [f"covar_samp(t{i}, t{j}) AS s{i}{j}" for j in range(i + 1, p)]
+    complete = " AND ".join(["yv IS NOT NULL"] + [f"t{i} IS NOT NULL" for i in range(p)])
+    det, solutions = solve_sql(p)
+    slopes = ", ".join(f"{e} AS b{i + 1}" for i, e in enumerate(solutions))
+    level = " - ".join(["my"] + [f"b{i + 1} * m{i}" for i in range(p)])
+    explained = " + ".join(f"b{i + 1} * r{i}" for i in range(p))
+    b = ", ".join(f"b{i + 1}" for i in range(p))
     return f"""{name}_m AS (
-  SELECT {keys}, count(*) AS n, avg({y}) AS my, avg(CAST(x AS DOUBLE)) AS m1,
-         avg(CAST(x AS DOUBLE) * x) AS m2, var_samp(CAST(x AS DOUBLE)) AS s11,
-         var_samp(CAST(x AS DOUBLE) * x) AS s22,
-         covar_samp(CAST(x AS DOUBLE), CAST(x AS DOUBLE) * x) AS s12,
-         covar_samp(CAST(x AS DOUBLE), {y}) AS r1, covar_samp(CAST(x AS DOUBLE) * x, {y}) AS r2,
-         var_samp({y}) AS yy
-  FROM {source} WHERE {y} IS NOT NULL AND x IS NOT NULL GROUP BY {keys}),
-{name}_b AS (
-  SELECT *, (r1 * s22 - s12 * r2) / det AS b1, (s11 * r2 - r1 * s12) / det AS b2
-  FROM (SELECT *, CASE WHEN s11 * s22 - s12 * s12 > 1e-11 * s11 * s22
-                       THEN s11 * s22 - s12 * s12 END AS det FROM {name}_m)),
+  SELECT {keys}, {", ".join(aggs)} FROM (SELECT {keys}, {y} AS yv, {t} FROM {source})
+  WHERE {complete} GROUP BY {keys}),
+{name}_b AS (SELECT *, {slopes} FROM (SELECT *, {det} AS det FROM {name}_m)),
 {name} AS (
-  SELECT {keys}, n, my - b1 * m1 - b2 * m2 AS b0, b1, b2,
-         CASE WHEN b1 IS NOT NULL
-              THEN greatest((n - 1) * (yy - (b1 * r1 + b2 * r2)), CAST(0 AS DOUBLE)) END AS sse,
-         (n - 1) * yy AS sst, (b1 * r1 + b2 * r2) / nullif(yy, 0) AS r2
+  SELECT {keys}, n, {level} AS b0, {b},
+         CASE WHEN b1 IS NOT NULL THEN greatest((n - 1) * (yy - ({explained})), CAST(0 AS DOUBLE)) END AS sse,
+         (n - 1) * yy AS sst, ({explained}) / nullif(yy, 0) AS r2
   FROM {name}_b)"""
 
 
+def quadratic_sql(keys: str, source: str = "obs", y: str = "y", name: str = "q") -> str:
+    return design_sql(keys, ["x", "CAST(x AS DOUBLE) * x"], source, y, name)
+
+
 CURVE_SQL = "unit, treatment, regime"
 GRID = "grid AS (SELECT CAST(i AS DOUBLE) * 0.25 AS x FROM range(41) t(i))"
 PTS = f"""{OBS},
