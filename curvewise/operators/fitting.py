@@ -26,13 +26,23 @@ def powers(x: str, degree: int) -> dict[str, Column]:
 
 
 def _moments(
-    df: DataFrame, keys: Sequence[str], y: str, terms: Mapping[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    y: str,
+    terms: Mapping[str, Column],
+    checked: Sequence[str] | None = None,
 ) -> DataFrame:
-    """n, means, variances and covariances of terms and response over complete rows."""
+    """n, means, variances and covariances of terms and response over complete rows.
+
+    `checked` names the terms whose presence implies that of the others.
+    """
     names = list(terms)
-    rows = df.select(
+    present = F.col(y).isNotNull()
+    for name in names if checked is None else checked:
+        present = present & terms[name].isNotNull()
+    rows = df.where(present).select(
         *keys, F.col(y).cast("double").alias("_y"), *[c.alias(f"_{n}") for n, c in terms.items()]
-    ).dropna("any", subset=["_y", *[f"_{n}" for n in names]])
+    )
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_my"), F.var_samp("_y").alias("_yy")]
     for i, a in enumerate(names):
         aggs.append(F.avg(f"_{a}").alias(f"_m{i}"))
@@ -58,7 +68,11 @@ def _sse(explained: Column) -> Column:
 
 
 def grouped_design(
-    df: DataFrame, keys: Sequence[str], y: str, terms: Mapping[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    y: str,
+    terms: Mapping[str, Column],
+    checked: Sequence[str] | None = None,
 ) -> DataFrame:
     """Regress y on up to three term expressions per group.
 
@@ -68,7 +82,7 @@ def grouped_design(
     p = len(terms)
     if p > 3:
         raise ValueError("at most 3 terms; use fit_linear for more")
-    stats = _moments(df, keys, y, terms)
+    stats = _moments(df, keys, y, terms, checked)
     out = stats.withColumns({f"b{i + 1}": b for i, b in enumerate(_slopes(p))})
     b0 = F.col("_my")
     for i in range(p):
@@ -101,7 +115,7 @@ def grouped_poly(
     df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int = 2
 ) -> DataFrame:
     """Polynomial of degree 1 to 3 per group, coefficients on raw x."""
-    return grouped_design(df, keys, y, powers(x, degree))
+    return grouped_design(df, keys, y, powers(x, degree), checked=["x1"])
 
 
 def fractional_terms(x: str, shift: float = 0.0) -> dict[str, Column]:
@@ -173,7 +187,7 @@ def polynomial_aics(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataF
 
     The moments of the cubic hold those of the other two: one aggregation for all.
     """
-    stats = _moments(df, keys, y, powers(x, 3))
+    stats = _moments(df, keys, y, powers(x, 3), checked=["x1"])
     models = ["linear", "quadratic", "cubic"]
     for degree, name in enumerate(models, start=1):
         slopes = _slopes(degree)

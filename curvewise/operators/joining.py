@@ -61,6 +61,16 @@ def join_suffix(
     return natural_join(left, right, how, on=on, null_safe=null_safe)
 
 
+def spread_out(df: DataFrame, *by: str) -> DataFrame:
+    """Redistribute a small table over all shuffle partitions before a large fan-out.
+
+    Small partitions are otherwise merged, and the rows made from them by explode
+    would be computed by few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by)
+
+
 def levels_array(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Column:
     """Sorted levels of a factor as a scalar subquery.
 
@@ -76,11 +86,9 @@ def levels_array(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Colum
 
 
 def sequence_points(low: float, high: float, n: int) -> Column:
-    """Array of n equally spaced points from low to high."""
+    """Array literal of n equally spaced points from low to high."""
     step = (high - low) / (n - 1) if n > 1 else 0.0
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * F.lit(step)
-    )
+    return F.expr("array(" + ", ".join(f"{low + i * step!r}D" for i in range(n)) + ")")
 
 
 def points_between(low: Column, high: Column, n: int) -> Column:

@@ -9,7 +9,7 @@ covariances at a time. The driver sees sums of fixed size only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -285,6 +285,63 @@ def _profile(sums: np.ndarray, n: int, p: int) -> tuple[float, float, np.ndarray
     return -0.5 * float(deviance), float(rss / dof), beta, xvx
 
 
+def _maximise(
+    evaluate: Callable[[np.ndarray], np.ndarray], q: int, max_steps: int, tolerance: float
+) -> tuple[np.ndarray, bool]:
+    """Newton steps on the relative covariance factor.
+
+    Starts from the best of some multiples of the identity. One call of `evaluate`
+    takes the step lengths along the current direction together with the difference
+    stencil around the full step, which is the usual winner, so that a step normally
+    costs one job over the units.
+    """
+    size = q * (q + 1) // 2
+    identity = np.array([1.0 if i == j else 0.0 for i, j in zip(*np.tril_indices(q), strict=True)])
+    scales = np.array([2.0, 1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005])
+    values = evaluate(scales[:, None] * identity)
+    theta = scales[int(np.argmin(values))] * identity
+    pairs = [(i, j) for i in range(size) for j in range(i)]
+    lengths = np.array([1.0, 2.0, 0.5, 0.2, 0.05, 0.01, 0.001])
+
+    def stencil(at: np.ndarray) -> tuple[np.ndarray, float]:
+        h = 1e-2 * max(np.abs(at).max(), 1e-3)
+        e = np.eye(size) * h
+        return np.vstack([at, at + e, at - e, *[at + e[i] + e[j] for i, j in pairs]]), h
+
+    def derivatives(v: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
+        up, down, both = v[1 : size + 1], v[size + 1 : 2 * size + 1], v[2 * size + 1 :]
+        hessian = np.diag((up + down - 2 * v[0]) / h**2)
+        for (i, j), f in zip(pairs, both, strict=True):
+            hessian[i, j] = hessian[j, i] = (f - up[i] - up[j] + v[0]) / h**2
+        return (up - down) / (2 * h), hessian
+
+    points, h = stencil(theta)
+    values = evaluate(points)
+    for _ in range(max_steps):
+        value = values[0]
+        grad, hessian = derivatives(values, h)
+        curvature, axes = np.linalg.eigh(hessian)
+        floor = 1e-4 * max(np.abs(curvature).max(), 1e-8)
+        direction = -axes @ ((axes.T @ grad) / np.maximum(np.abs(curvature), floor))
+        reach = 2.0 * max(np.abs(theta).max(), 1e-3)
+        direction *= min(1.0, reach / max(np.abs(direction).max(), 1e-300))
+        points, h = stencil(theta + direction)
+        tried = evaluate(np.vstack([theta + lengths[1:, None] * direction, points]))
+        along = np.concatenate([[tried[len(lengths) - 1]], tried[: len(lengths) - 1]])
+        best = int(np.argmin(along))
+        if not along[best] < value - tolerance:
+            if along[best] < value:
+                theta = theta + lengths[best] * direction
+            return theta, True
+        theta = theta + lengths[best] * direction
+        if best == 0:
+            values = tried[len(lengths) - 1 :]
+        else:
+            points, h = stencil(theta)
+            values = evaluate(points)
+    return theta, False
+
+
 def fit_mixed(
     df: DataFrame,
     y: str,
@@ -294,15 +351,14 @@ def fit_mixed(
     numeric: Mapping[str, int | tuple[int, float, float]] | None = None,
     random: Sequence[Mapping[str, int]] = ({},),
     levels: Mapping[str, Sequence] | None = None,
-    max_steps: int = 60,
-    tolerance: float = 1e-7,
+    max_steps: int = 40,
+    tolerance: float = 1e-6,
 ) -> MixedFit:
     """Fit by restricted maximum likelihood.
 
     `random` lists the random monomials per unit by covariate powers: `({},)` is a
     random intercept, `({}, {"x": 1}, {"x": 2})` a random quadratic. Covariates are
-    standardised unless their centre and scale are given. Quasi-Newton steps on the relative covariance factor; the gradient
-    and the step lengths of one step take one Spark job each.
+    standardised unless their centre and scale are given.
     """
     used = [unit, *factors, *(numeric or {}), y]
     rows = df.select(*dict.fromkeys(used)).dropna("any")
@@ -320,38 +376,7 @@ def fit_mixed(
     def evaluate(thetas: np.ndarray) -> np.ndarray:
         return np.array([-_profile(s, n, p)[0] for s in _sums(units, thetas, p, q)])
 
-    size = q * (q + 1) // 2
-    theta = np.array([0.5 if i == j else 0.0 for i, j in zip(*np.tril_indices(q), strict=True)])
-    h, inverse, converged = 1e-5, np.eye(size), False
-    steps = np.array([2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
-    around = np.vstack([np.eye(size), -np.eye(size)]) * h
-    value = evaluate(theta[None])[0]
-    values = evaluate(theta + around)
-    grad = (values[:size] - values[size:]) / (2 * h)
-    for _ in range(max_steps):
-        direction = -inverse @ grad
-        if grad @ direction >= 0:
-            inverse, direction = np.eye(size), -grad
-        longest = np.abs(direction).max()
-        if longest > 1.0:
-            direction = direction / longest
-        tried = evaluate(theta + steps[:, None] * direction)
-        best = int(np.argmin(tried))
-        if not tried[best] < value:
-            converged = True
-            break
-        move = steps[best] * direction
-        gain, value, theta = value - tried[best], tried[best], theta + move
-        values = evaluate(theta + around)
-        new_grad = (values[:size] - values[size:]) / (2 * h)
-        change, grad = new_grad - grad, new_grad
-        curve = change @ move
-        if curve > 1e-12:
-            left = np.eye(size) - np.outer(move, change) / curve
-            inverse = left @ inverse @ left.T + np.outer(move, move) / curve
-        if gain < tolerance and np.abs(grad).max() < 1e-3:
-            converged = True
-            break
+    theta, converged = _maximise(evaluate, q, max_steps, tolerance)
     loglik, sigma2, beta, xvx = _profile(_sums(units, theta[None], p, q)[0], n, p)
     return MixedFit(
         design, unit, picked, names, units, n, n_units, theta, loglik, sigma2,

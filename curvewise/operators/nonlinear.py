@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from curvewise.functions.columns import briere, lactin, solve_symmetric, theta_logistic
 from curvewise.operators.fitting import _explained, _moments, _slopes, _sse, aic, fractional_terms, powers
-from curvewise.operators.joining import attach
+from curvewise.operators.joining import attach, sequence_points, spread_out
 from curvewise.session import cut_lineage
 
 
@@ -83,11 +83,6 @@ MODELS: dict[str, CurveModel] = {
 }
 
 
-def lattice_values(low: float, high: float, n: int) -> list[float]:
-    step = (high - low) / (n - 1) if n > 1 else 0.0
-    return [low + i * step for i in range(n)]
-
-
 def per_x_sums(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, x, n, mean, ss): count, mean and within sum of squares at each x."""
     rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("_y"))
@@ -127,10 +122,9 @@ def lattice_fit(
     """
     m = MODELS[model]
     ranges = {**m.lattice, **(lattice or {})}
-    rows = sums
+    rows = spread_out(sums, *keys, "x")
     for name in m.shape:
-        values = F.array(*[F.lit(float(v)) for v in lattice_values(*ranges[name])])
-        rows = rows.withColumn(name, F.explode(values))
+        rows = rows.withColumn(name, F.explode(sequence_points(*ranges[name])))
     basis = m.basis(F.col("x"), {s: F.col(s) for s in m.shape})
     parts = _linear_part(m, basis)
     scored = rows.groupBy(*keys, *m.shape).agg(
@@ -308,7 +302,7 @@ def compare_models(
     Polynomials share one aggregation of the rows, nonlinear models one per-x table.
     """
     names = {"quadratic": 2, "cubic": 3}
-    stats = _moments(df, keys, y, powers(x, 3))
+    stats = _moments(df, keys, y, powers(x, 3), checked=["x1"])
     entries = []
     for name, degree in names.items():
         slopes = _slopes(degree)

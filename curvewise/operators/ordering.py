@@ -58,7 +58,7 @@ def first_last(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ys: Sequence[str]
 ) -> DataFrame:
     """Add the first and last value by `order` (with its tie-breaks) to each row."""
-    by = F.struct(*cols(order))
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*cols(order))
     ends = {}
     for y in ys:
         ends[f"first_{y}"] = F.min_by(F.col(y), by)
@@ -128,17 +128,52 @@ def differences(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], y: str, probs: Sequence[float], spread: float = 0.001
+    df: DataFrame,
+    keys: Sequence[str],
+    y: str,
+    probs: Sequence[float],
+    max_group: int | None = 1_000_000,
 ) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation between order statistics.
 
-    A built-in exact percentile keeps every distinct value of a group in one buffer.
-    Here a sketch brackets each quantile, the rows are counted per bracket, and only
-    the values of the few brackets that hold a wanted order statistic are ordered.
-    For a group of n rows that is about 2 * spread * n rows per quantile. The result
-    is exact whatever the quality of the sketch.
+    The built-in percentile keeps the distinct values of a group in one buffer, so it
+    serves groups of at most `max_group` rows. Bigger groups, if a count of the rows
+    per key finds any, are solved by bracketing; `None` brackets every group.
     """
     rows = df.select(*keys, y).where(F.col(y).isNotNull())
+    if max_group is None:
+        return _bracketed_quantiles(rows, keys, y, probs)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = sizes.where(F.col("_n") > max_group).drop("_n").withColumn("_big", F.lit(True))
+    if not big.take(1):
+        return _buffered_quantiles(rows, keys, y, probs)
+    marked = attach(rows, big, keys)
+    small = marked.where(F.col("_big").isNull()).drop("_big")
+    large = marked.where(F.col("_big")).drop("_big")
+    return _buffered_quantiles(small, keys, y, probs).unionByName(
+        _bracketed_quantiles(large, keys, y, probs)
+    )
+
+
+def _buffered_quantiles(
+    rows: DataFrame, keys: Sequence[str], y: str, probs: Sequence[float]
+) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    found = rows.groupBy(*keys).agg(F.percentile(y, wanted).alias("_q"))
+    pairs = F.arrays_zip(wanted.alias("prob"), F.col("_q").alias("quantile"))
+    return found.select(*keys, F.inline(pairs).alias("prob", "quantile"))
+
+
+def _bracketed_quantiles(
+    rows: DataFrame, keys: Sequence[str], y: str, probs: Sequence[float], spread: float = 0.001
+) -> DataFrame:
+    """Exact quantiles of groups of any size.
+
+    A sketch brackets each quantile, the rows are counted per bracket, and only the
+    values of the few brackets that hold a wanted order statistic are ordered. For a
+    group of n rows that is about 2 * spread * n rows per quantile. The result is
+    exact whatever the quality of the sketch.
+    """
     cuts = sorted(
         {min(max(p + d, 0.0), 1.0) for p in probs for d in (-spread, spread)}
     )

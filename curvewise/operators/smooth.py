@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewise.functions.columns import solve_symmetric
-from curvewise.operators.joining import attach
+from curvewise.operators.joining import attach, spread_out
 from curvewise.operators.mixed import one_way_moments
 from curvewise.operators.nonlinear import per_x_sums
 
@@ -133,17 +133,20 @@ def local_regression(
         raise ValueError("span must be at least 1")
     sums = per_x_sums(df, keys, x, y)
     ends = sums.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    rows = attach(sums, ends, keys).withColumn("_at", F.explode(points))
+    rows = spread_out(attach(sums, ends, keys), *keys, "x").withColumn("_at", F.explode(points))
     reach = F.greatest(F.col("_at") - F.col("_lo"), F.col("_hi") - F.col("_at")) * F.lit(float(span))
-    u = F.abs(F.col("x") - F.col("_at")) / F.when(reach > 0, reach)
-    tricube = F.when(u < 1, F.pow(1 - F.pow(u, 3.0), 3.0)).otherwise(F.lit(0.0))
-    d = F.col("x") - F.col("_at")
-    w, m = F.col("_w"), F.col("mean")
-    weighted = rows.withColumns({"_w": F.col("n") * tricube, "_d": d})
-    e = F.col("_d")
-    sums = weighted.groupBy(*keys, "_at").agg(
-        *[F.sum(w * F.pow(e, float(k))).alias(f"_p{k}") for k in range(5)],
-        *[F.sum(w * F.pow(e, float(k)) * m).alias(f"_q{k}") for k in range(3)],
+    rows = rows.withColumns(
+        {"_d": F.col("x") - F.col("_at"), "_u": F.abs(F.col("x") - F.col("_at")) / F.when(reach > 0, reach)}
+    )
+    u, e, m = F.col("_u"), F.col("_d"), F.col("mean")
+    rows = rows.withColumn("_v", F.greatest(1 - u * u * u, F.lit(0.0)))
+    v = F.col("_v")
+    rows = rows.withColumn("_w0", F.col("n") * v * v * v)
+    for k in range(1, 5):
+        rows = rows.withColumn(f"_w{k}", F.col(f"_w{k - 1}") * e)
+    sums = rows.groupBy(*keys, "_at").agg(
+        *[F.sum(f"_w{k}").alias(f"_p{k}") for k in range(5)],
+        *[F.sum(F.col(f"_w{k}") * m).alias(f"_q{k}") for k in range(3)],
     )
     c = F.col
     gram = {(i, j): c(f"_p{i + j}") for i in range(3) for j in range(i, 3)}

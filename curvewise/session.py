@@ -29,14 +29,19 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "curvewise")
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder of the session and continue from there.
 
-    The folder named in `spark.checkpoint.dir` is used. Only where it is unset,
-    which is the case in single-machine tests, a temporary folder takes its place.
+    The folder is the one named in `spark.checkpoint.dir`, which every executor can
+    read, so a lost executor costs nothing but a re-read. Only a single-machine
+    session without that setting gets a temporary folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(
-            prefix="curvewise-checkpoint-"
+        folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get(
+            "spark.checkpoint.dir", ""
         )
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="curvewise-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
