@@ -392,7 +392,7 @@ def predict_linear(fit: LinearFit, grid: DataFrame, level: float | None = None)
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = design.matrix(pdf)
-            value = x @ beta
+            value = (x * beta).sum(axis=1)
             se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, cov, x), 0.0))
             yield pdf.assign(fit=value, se=se, lower=value - width * se, upper=value + width * se)
 

@@ -121,6 +121,9 @@ def lattice_fit(
     parameters in the order of the model's shape.
     """
     m = MODELS[model]
+    clash = {*m.shape, m.linear, "n", "sse"} & set(keys)
+    if clash:
+        raise ValueError(f"rename the key columns {sorted(clash)}: the fit has columns of that name")
     ranges = {**m.lattice, **(lattice or {})}
     rows = spread_out(sums, *keys, "x")
     for name in m.shape:
