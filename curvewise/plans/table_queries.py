@@ -278,22 +278,23 @@ def c18(spark, d):
 @query(
     "j01_left",
     f"""WITH {OBS},
-a AS (SELECT unit, x, avg(y) AS mean_y FROM obs WHERE treatment = 'F' GROUP BY unit, x),
-b AS (SELECT unit, x, avg(q) AS mean_q FROM obs WHERE treatment = 'O' AND q > 40 GROUP BY unit, x)
-SELECT unit, x, round(mean_y, 6) AS mean_y, round(mean_q, 6) AS mean_q FROM a LEFT JOIN b USING (unit, x)""",
+a AS (SELECT unit, q, x, avg(y) AS mean_y FROM obs WHERE treatment = 'F' GROUP BY unit, q, x),
+b AS (SELECT unit, q, x, avg(y_na) AS mean_y_na FROM obs WHERE treatment = 'O' GROUP BY unit, q, x)
+SELECT unit, q, x, round(mean_y, 6) AS mean_y, round(mean_y_na, 6) AS mean_y_na
+FROM a LEFT JOIN b USING (unit, q, x)""",
 )
 def j01(spark, d):
-    o = obs(spark, d)
-    a = o.where("treatment = 'F'").groupBy("unit", "x").agg(F.avg("y").alias("mean_y"))
-    b = o.where("treatment = 'O' AND q > 40").groupBy("unit", "x").agg(F.avg("q").alias("mean_q"))
+    o, keys = obs(spark, d), ["unit", "q", "x"]
+    a = o.where("treatment = 'F'").groupBy(*keys).agg(F.avg("y").alias("mean_y"))
+    b = o.where("treatment = 'O'").groupBy(*keys).agg(F.avg("y_na").alias("mean_y_na"))
     return rounded(joining.natural_join(a, b, "left"))
 
 
 J02_SIDES = """
 a AS (SELECT CASE WHEN l_quantity <= 45 THEN l_partkey END AS part, l_linenumber AS line,
-             sum(l_quantity) AS sum_a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
+             sum(l_quantity) AS sum_a FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2),
 b AS (SELECT CASE WHEN l_quantity <= 45 THEN l_partkey END AS part, l_linenumber AS line,
-             sum(l_quantity) AS sum_b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+             sum(l_quantity) AS sum_b FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)"""
 
 
 @query(
@@ -306,12 +307,12 @@ def j02(spark, d):
     li = table(spark, d, "lineitem")
     part = F.when(F.col("l_quantity") <= 45, F.col("l_partkey")).alias("part")
 
-    def side(flag, name):
-        rows = li.where(F.col("l_returnflag") == flag)
+    def side(status, name):
+        rows = li.where(F.col("l_linestatus") == status)
         keys = [part, F.col("l_linenumber").alias("line")]
         return rows.groupBy(*keys).agg(F.sum("l_quantity").alias(name))
 
-    return joining.natural_join(side("A", "sum_a"), side("R", "sum_b"), "full", null_safe=True)
+    return joining.natural_join(side("F", "sum_a"), side("O", "sum_b"), "full", null_safe=True)
 
 
 @query(
@@ -338,19 +339,19 @@ def j02_pairs(spark, d):
 @query(
     "j03_suffix",
     f"""WITH {OBS},
-a AS (SELECT unit, x, avg(y) AS m, count(*) AS n FROM obs WHERE treatment = 'F' AND q > 44 GROUP BY 1, 2),
-b AS (SELECT unit, x, avg(y) AS m, count(*) AS n FROM obs WHERE treatment = 'O' AND q > 44 GROUP BY 1, 2)
-SELECT unit, x, round(a.m, 6) AS m_x, round(b.m, 6) AS m_y, a.n AS n_x, b.n AS n_y
-FROM a FULL JOIN b USING (unit, x)""",
+a AS (SELECT unit, q, x, avg(y) AS m, count(*) AS n FROM obs WHERE treatment = 'F' GROUP BY 1, 2, 3),
+b AS (SELECT unit, q, x, avg(y) AS m, count(*) AS n FROM obs WHERE treatment = 'O' GROUP BY 1, 2, 3)
+SELECT unit, q, x, round(a.m, 6) AS m_x, round(b.m, 6) AS m_y, a.n AS n_x, b.n AS n_y
+FROM a FULL JOIN b USING (unit, q, x)""",
 )
 def j03(spark, d):
-    o = obs(spark, d).where("q > 44")
+    o, keys = obs(spark, d), ["unit", "q", "x"]
 
     def side(level):
-        rows = o.where(F.col("treatment") == level).groupBy("unit", "x")
+        rows = o.where(F.col("treatment") == level).groupBy(*keys)
         return rows.agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
 
-    return rounded(joining.join_suffix(side("F"), side("O"), ["unit", "x"]))
+    return rounded(joining.join_suffix(side("F"), side("O"), keys))
 
 
 @query(
