@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 
 from curvewise.functions.tails import chi2_tail, f_tail
 from curvewise.operators.fitting import fitted, grouped_poly
-from curvewise.operators.joining import attach, sequence_points
+from curvewise.operators.joining import attach, sequence_points, spread_out
 from curvewise.operators.linear import (
     Design,
     _columns_of,
     _table,
     build_design,
     cell_moments,
-    cell_system,
 )
 from curvewise.session import cut_lineage
 
@@ -209,41 +208,64 @@ def unit_matrices(
 ) -> DataFrame:
     """One row per unit with the products of fixed and random columns.
 
-    The rows are combined to (unit, factor cell) moments before the shuffle; what is
-    grouped by unit are those cells, at most one per combination of factor levels.
+    The rows are combined to (unit, factor cell) moments before the shuffle. These
+    cells, at most one per combination of factor levels and unit, are then brought
+    together by unit and turned into matrices a batch of units at a time.
     """
     m, p = len(design.powers()), len(design.columns())
-    cells = cell_moments(df, design, [y], [unit])
-    random = list(random)
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        xx, xy, yy, n = np.zeros((p, p)), np.zeros((p, 1)), 0.0, 0
-        zz, zx, zy = np.zeros((m, m)), np.zeros((m, p)), np.zeros(m)
-        for row in pdf.to_dict("records"):
-            a, b, c = cell_system(design, row, m, 1)
-            xx, xy, yy, n = xx + a, xy + b, yy + c[0, 0], n + row["n"]
-            mm = np.zeros((m, m))
-            mm[np.triu_indices(m)] = row["mm"]
-            mm = mm + mm.T - np.diag(np.diag(mm))
-            zz = zz + mm
-            zx = zx + mm @ design.cell_map(row).T
-            zy = zy + np.asarray(row["my"], dtype=float)
+    random, factors = list(random), list(design.factors)
+    slice_units = max(1, 2_000_000 // (p * p))
+
+    def combine(pdf: pd.DataFrame, maps: dict) -> pd.DataFrame:
+        for cell in set(zip(*[pdf[f] for f in factors], strict=True)) - set(maps) if factors else ():
+            maps[cell] = design.cell_map(dict(zip(factors, cell, strict=True)))
+        if factors:
+            a = np.stack([maps[cell] for cell in zip(*[pdf[f] for f in factors], strict=True)])
+        else:
+            a = np.repeat(design.cell_map({})[None], len(pdf), axis=0)
+        mm = np.zeros((len(pdf), m, m))
+        upper = np.triu_indices(m)
+        mm[:, upper[0], upper[1]] = np.stack(pdf["mm"].to_numpy())
+        mm[:, upper[1], upper[0]] = mm[:, upper[0], upper[1]]
+        my = np.stack(pdf["my"].to_numpy())
+        names = pdf[unit].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        total = lambda v: np.add.reduceat(v, starts, axis=0)
+        am = np.einsum("rpm,rmn->rpn", a, mm)
+        xx, zx = total(np.einsum("rpn,rqn->rpq", am, a)), total(am.transpose(0, 2, 1))
+        flat = lambda v: list(v.reshape(len(starts), -1))
         return pd.DataFrame(
             {
-                unit: [pdf[unit].iloc[0]],
-                "n": [n],
-                "xx": [xx.ravel().tolist()],
-                "xy": [xy.ravel().tolist()],
-                "yy": [yy],
-                "zz": [zz[np.ix_(random, random)].ravel().tolist()],
-                "zx": [zx[random].ravel().tolist()],
-                "zy": [zy[random].tolist()],
+                unit: names[starts],
+                "n": total(pdf["n"].to_numpy()),
+                "xx": flat(xx),
+                "xy": flat(total(np.einsum("rpm,rm->rp", a, my))),
+                "yy": total(np.stack(pdf["yy"].to_numpy())[:, 0]),
+                "zz": flat(total(mm)[:, random][:, :, random]),
+                "zx": flat(zx[:, random]),
+                "zy": flat(total(my)[:, random]),
             }
         )
 
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maps: dict = {}
+        rest = None  # the last unit of a batch may go on in the next
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if len(pdf) == 0:
+                continue
+            last = (pdf[unit] == pdf[unit].iloc[-1]).to_numpy()
+            rest, whole = pdf[last], pdf[~last]
+            codes = pd.factorize(whole[unit])[0] // slice_units
+            for _, part in whole.groupby(codes):
+                yield combine(part, maps)
+        if rest is not None and len(rest):
+            yield combine(rest, maps)
+
     a = "array<double>"
     schema = f"`{unit}` {dict(df.dtypes)[unit]}, n bigint, xx {a}, xy {a}, yy double, zz {a}, zx {a}, zy {a}"
-    return cells.groupBy(unit).applyInPandas(combine, schema)
+    cells = spread_out(cell_moments(df, design, [y], [unit]), unit)
+    return cells.sortWithinPartitions(unit).mapInPandas(stream, schema)
 
 
 def _sums(units: DataFrame, thetas: np.ndarray, p: int, q: int) -> np.ndarray:

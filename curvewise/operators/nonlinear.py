@@ -116,18 +116,21 @@ def lattice_fit(
 ) -> DataFrame:
     """Best lattice point per group: shape parameters, linear parameter, n and sse.
 
-    The lattice is a constant array exploded next to each per-x row; the scores of
-    one group and point are combined in the map tasks. Ties go to the smallest
-    parameters in the order of the model's shape.
+    The lattice is exploded next to each per-x row. Rows are spread by group and all
+    parameters but the last before that one is exploded: the scores then need no
+    further shuffle, and even one dominant group is shared by many tasks. Ties go to
+    the smallest parameters in the order of the model's shape.
     """
     m = MODELS[model]
     clash = {*m.shape, m.linear, "n", "sse"} & set(keys)
     if clash:
         raise ValueError(f"rename the key columns {sorted(clash)}: the fit has columns of that name")
     ranges = {**m.lattice, **(lattice or {})}
-    rows = spread_out(sums, *keys, "x")
-    for name in m.shape:
+    rows = sums
+    for name in m.shape[:-1]:
         rows = rows.withColumn(name, F.explode(sequence_points(*ranges[name])))
+    rows = spread_out(rows, *keys, *m.shape[:-1])
+    rows = rows.withColumn(m.shape[-1], F.explode(sequence_points(*ranges[m.shape[-1]])))
     basis = m.basis(F.col("x"), {s: F.col(s) for s in m.shape})
     parts = _linear_part(m, basis)
     scored = rows.groupBy(*keys, *m.shape).agg(

@@ -126,14 +126,15 @@ def local_regression(
 
     With a span of 1 or more every observation counts and the bandwidth is the
     largest distance times the span. Rows are combined to per-x sums first; each of
-    these is weighted at each evaluation point, and the weighted power sums of a
-    point are combined in the map tasks.
+    these is weighted at each evaluation point, and the rows of one group and point
+    are summed together.
     """
     if span < 1.0:
         raise ValueError("span must be at least 1")
     sums = per_x_sums(df, keys, x, y)
     ends = sums.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    rows = spread_out(attach(sums, ends, keys), *keys, "x").withColumn("_at", F.explode(points))
+    rows = attach(sums, ends, keys).withColumn("_at", F.explode(points))
+    rows = spread_out(rows, *keys, "_at")  # the weighted sums below need no other shuffle
     reach = F.greatest(F.col("_at") - F.col("_lo"), F.col("_hi") - F.col("_at")) * F.lit(float(span))
     rows = rows.withColumns(
         {"_d": F.col("x") - F.col("_at"), "_u": F.abs(F.col("x") - F.col("_at")) / F.when(reach > 0, reach)}

@@ -185,6 +185,20 @@ def test_mixed_model_reaches_the_dense_optimum(spark, trial, random):
         assert {r.term for r in mixed.wald_tests(spark, fit).collect()} == {"x", "t", "x:t"}
 
 
+def test_units_cut_by_record_batches(spark, trial):
+    _, df = trial
+    before = mixed.fit_mixed(df, "y", linear.crossed("x", "t"), "unit", ["t", "e"], {"x": 2})
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        after = mixed.fit_mixed(df, "y", linear.crossed("x", "t"), "unit", ["t", "e"], {"x": 2})
+    finally:
+        spark.conf.set(key, old)
+    assert (after.n, after.n_units) == (before.n, before.n_units) == (583, 8)
+    assert after.loglik == pytest.approx(before.loglik, abs=1e-8)
+
+
 def test_moment_form_equals_likelihood_form_when_balanced(spark):
     rng = np.random.default_rng(3)
     rows = [
