@@ -425,16 +425,50 @@ def m22(spark, d):
     return rounded(out.select(*CURVE, "n", "model", "sse", "aic", "best"), 5)
 
 
-@query("m22_all")
+BRIERE1 = {"t0": (-6.0, -1.0, 6), "tm": (10.5, 20.0, 6)}
+BRIERE2 = {**BRIERE1, "m": (1.0, 4.0, 4)}
+
+
+def lattice_best_sql(model: str, lattice: dict, curve: str, kind: str) -> str:
+    """CTEs ending in `<model>` (keys, n, sse): the best lattice point of a curve form."""
+    values = ", ".join(lattice_sql(p, *r).replace(f"{p}_v AS", f"{model}_{p} AS") for p, r in lattice.items())
+    cross = " ".join(f"CROSS JOIN {model}_{p}" for p in lattice)
+    sse = {
+        "offset": "sum(ss + n * (mean - g) * (mean - g)) - sum(n * (mean - g)) * sum(n * (mean - g)) / sum(n)",
+        "scale": "sum(ss + n * mean * mean) - sum(n * mean * g) * sum(n * mean * g) / nullif(sum(n * g * g), 0)",
+    }[kind]
+    return f"""{values},
+{model} AS (SELECT {CURVE_SQL}, min(n) AS n, min(sse) AS sse FROM (
+  SELECT {CURVE_SQL}, {", ".join(lattice)}, CAST(sum(n) AS BIGINT) AS n, {sse} AS sse
+  FROM (SELECT *, {curve} AS g FROM xs {cross}) GROUP BY {CURVE_SQL}, {", ".join(lattice)})
+  GROUP BY {CURVE_SQL})"""
+
+
+INSIDE = "CASE WHEN x > t0 AND x < tm THEN x * (x - t0) * {root} ELSE 0 END"
+
+
+@query(
+    "m22_all",
+    f"""{XSUMS}, {quadratic_sql(CURVE_SQL)}, {design_sql(CURVE_SQL, CUBIC, name="c")},
+{design_sql(CURVE_SQL, FRACTIONAL, name="f")},
+{lattice_best_sql("lac", LACTIN, "exp(p * x) - exp(p * tmax - (tmax - x) / dt)", "offset")},
+{lattice_best_sql("the", THETA, "x * (1 - power(x / k, theta))", "scale")},
+{lattice_best_sql("br1", BRIERE1, INSIDE.format(root="sqrt(greatest(tm - x, 0))"), "scale")},
+{lattice_best_sql("br2", BRIERE2, INSIDE.format(root="power(greatest(tm - x, 0), 1 / m)"), "scale")},
+m AS (SELECT {CURVE_SQL}, n, 'quadratic' AS model, sse, {aic_sql("sse", 4)} AS aic FROM q
+  UNION ALL SELECT {CURVE_SQL}, n, 'cubic', sse, {aic_sql("sse", 5)} FROM c
+  UNION ALL SELECT {CURVE_SQL}, n, 'fractional', sse, {aic_sql("sse", 5)} FROM f
+  UNION ALL SELECT {CURVE_SQL}, n, 'lactin2', sse, {aic_sql("sse", 5)} FROM lac
+  UNION ALL SELECT {CURVE_SQL}, n, 'theta_logistic', sse, {aic_sql("sse", 4)} FROM the
+  UNION ALL SELECT {CURVE_SQL}, n, 'briere1', sse, {aic_sql("sse", 4)} FROM br1
+  UNION ALL SELECT {CURVE_SQL}, n, 'briere2', sse, {aic_sql("sse", 5)} FROM br2)
+SELECT {CURVE_SQL}, n, model, round(sse, 4) AS sse, round(aic, 4) AS aic,
+       first_value(model) OVER (PARTITION BY {CURVE_SQL} ORDER BY aic NULLS LAST, model) AS best FROM m""",
+)
 def m22_all(spark, d):
-    lattices = {
-        "lactin2": LACTIN,
-        "theta_logistic": THETA,
-        "briere1": {"t0": (-6.0, -1.0, 6), "tm": (10.5, 20.0, 6)},
-        "briere2": {"t0": (-6.0, -1.0, 6), "tm": (10.5, 20.0, 6), "m": (1.0, 4.0, 4)},
-    }
+    lattices = {"lactin2": LACTIN, "theta_logistic": THETA, "briere1": BRIERE1, "briere2": BRIERE2}
     out = nonlinear.compare_models(obs(spark, d), CURVE, "x", "y", lattices=lattices, shift=1.0)
-    return rounded(out, 4)
+    return rounded(out.select(*CURVE, "n", "model", "sse", "aic", "best"), 4)
 
 
 @query(
