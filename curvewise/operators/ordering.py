@@ -132,7 +132,7 @@ def exact_quantiles(
     keys: Sequence[str],
     y: str,
     probs: Sequence[float],
-    max_group: int | None = 1_000_000,
+    max_group: int | None = 100_000,
 ) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation between order statistics.
 
