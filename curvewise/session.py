@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +27,12 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "curvewise")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder of the session and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables, which every executor can read.
 
-    The folder is the one named in `spark.checkpoint.dir`, which every executor can
-    read, so a lost executor costs nothing but a re-read. Only a single-machine
-    session without that setting gets a temporary folder.
+    It is the one in `spark.checkpoint.dir`. Only a single-machine session without that
+    setting gets a temporary folder; on a cluster the setting is required.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get(
@@ -44,4 +43,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="curvewise-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder and continue from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back.
+
+    Smaller on disk than a checkpoint, since it is columnar and compressed, and later
+    readers take only the columns they need. A lost executor costs a re-read.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
