@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curvewise.llm import exact_dedup, near_dedup
+from curvewise.llm import exact_dedup, near_dedup, packing, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -46,3 +47,27 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, folder, "documents"), size=2, percent=80).drop("node")
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its source named at the head, two words in its middle replaced by
+    its language, and its last five characters cut."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edits = F.array(
+        token_counts.edit(F.lit(0), F.lit(0), F.concat(F.col("source"), F.lit(": "))),
+        token_counts.edit(F.floor(n / 2), F.floor(n / 2) + 12, F.col("lang")),
+        token_counts.edit(n - 5, n, F.lit("")),
+    )
+    return token_counts.edited_counts(table(spark, folder, "documents"), edits)
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces_digest(packing.pack(table(spark, folder, "documents")))
+
+
+def pieces_digest(packed: DataFrame) -> DataFrame:
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "row"
+    )
