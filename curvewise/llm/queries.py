@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvewise.llm import exact_dedup, near_dedup, packing, token_counts
+from curvewise.llm import exact_dedup, language, near_dedup, packing, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -71,3 +71,11 @@ def pieces_digest(packed: DataFrame) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "row"
     )
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", language.held_out("doc_id", 4, 2))
+    model = language.fit(docs.where("not held_out"))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
