@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvewise.llm import exact_dedup, language, near_dedup, packing, token_counts
+from curvewise.llm import exact_dedup, language, near_dedup, packing, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -79,3 +79,36 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs.where("not held_out"))
     found = language.identify(docs.select("doc_id", "held_out", "text"), model)
     return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
+
+
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_spans(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(_spans_of_kind(base, kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(_spans_text(base), 256).alias("base_sha256"),
+        _spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def _spans_of_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def _spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
