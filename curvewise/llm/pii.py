@@ -41,7 +41,8 @@ _LOOKALIKES = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "οαιν": "oaiv",
     "‐‑‒–—−": "------",
-    "․。     　": "..      ",
+    "․。｡": "...",
+    "    　": "     ",
 }
 _INVISIBLE = "­​‌‍⁠﻿"
 _DIGIT_WORDS = dict(zip("zero one two three four five six seven eight nine oh".split(), "01234567890", strict=True))
@@ -58,10 +59,10 @@ def _char_map() -> dict[int, str]:
 
 
 _CHARS = _char_map()
-_ODD_CHAR = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + _INVISIBLE + "]")
+_ODD = frozenset(map(chr, _CHARS)) | frozenset(_INVISIBLE)
 _ODD_RUN = re.compile("[" + _INVISIBLE + "]")
 _WORD = "(?:" + "|".join(_DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z])(plus[ -]+)?({_WORD}(?:[ -]+{_WORD})+)(?![A-Za-z])", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:(plus[ -]+)?({_WORD}(?:[ -]+{_WORD})+)|((?<= dot ){_WORD}|{_WORD}(?= dot (?:[0-9]|{_WORD}))))(?![A-Za-z])", re.IGNORECASE)
 _ONE_WORD = re.compile(_WORD, re.IGNORECASE)
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _DOT_SIGN = rf" ?{_OPEN} ?(?:dot|\.) ?{_SHUT} ?|&#46;"
@@ -71,7 +72,32 @@ _SIGN = re.compile(
     rf"|(?P<dot>{_DOT_SIGN}|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_SIGN_HINTS = ("dot", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "&#64", "&#46", "%40", "[.", "(.", "{.", "[@", "(@", "{@", "<@")
+_BRACKETED = re.compile(rf"{_OPEN} ?(?:at|dot|\.|@) ?{_SHUT}")
+_TWO_DOTS = re.compile(r"\.[0-9]++\.[0-9]")
+
+
+def _has_odd(text: str) -> bool:
+    """Whether a character is in the map or invisible; Latin-1 texts can hold two of them only."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.isdisjoint(text)
+    return "\u00a0" in text or "\u00ad" in text
+
+
+def _has_signs(low: str) -> bool:
+    return (
+        " dot " in low or "&#" in low or "%40" in low
+        or (any(c in low for c in "[({<") and _BRACKETED.search(low) is not None)
+    )
+
+
+def _has_words(low: str) -> bool:
+    """Whether a digit's name stands between blanks or hyphens, as it does in any run of three."""
+    low = low.replace("-", " ")
+    return any(f" {w} " in low for w in _DIGIT_WORDS)
 
 
 def _luhn(digits: str) -> bool:
@@ -103,7 +129,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *span) for span in emails(text)]
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _TWO_DOTS.search(text) else ():
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
@@ -144,9 +170,9 @@ class Tracked:
 def _undisguised(text: str) -> Tracked | None:
     """The normalised text, or None if nothing looks disguised."""
     low = text.lower()
-    odd = not text.isascii() and _ODD_CHAR.search(text) is not None
-    signs = any(h in low for h in _SIGN_HINTS)
-    if not (odd or signs or any(w in low for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))):
+    odd, signs = _has_odd(text), _has_signs(low)
+    words = _has_words(low) or (odd and _has_words(low.translate(_CHARS)))
+    if not (odd or signs or words):
         return None
     held = Tracked(text)
     if odd:
@@ -155,12 +181,12 @@ def _undisguised(text: str) -> Tracked | None:
         held.text = plain
         held.rewrite([(*m.span(), "") for m in _ODD_RUN.finditer(plain)])
     spelled = []
-    for m in _SPELLED.finditer(held.text):
-        digits = "".join(_DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[2]))
+    for m in _SPELLED.finditer(held.text) if words else ():
+        digits = "".join(_DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[2] or m[3]))
         spelled.append((*m.span(), ("+" if m[1] else "") + digits))
     if spelled:
         held.rewrite(spelled)
-    marks = [(*m.span(), "@" if m["at"] else ".") for m in _SIGN.finditer(held.text)] if signs else []
+    marks = [(*m.span(), "@" if m["at"] else ".") for m in _SIGN.finditer(held.text)] if signs or odd else []
     if marks:
         held.rewrite(marks)
     return held if odd or spelled or marks else None
