@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvewise.llm import exact_dedup, language, near_dedup, packing, pii, token_counts, url_filter
+from curvewise.llm import exact_dedup, language, near_dedup, neighbours, packing, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -112,3 +112,9 @@ def _spans_of_kind(spans: Column, kind: str) -> Column:
 
 def _spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0).drop("query_row")
