@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvewise.llm import exact_dedup, language, near_dedup, neighbours, packing, pii, token_counts, url_filter
+from curvewise.llm import exact_dedup, language, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -118,3 +118,9 @@ def _spans_text(spans: Column) -> Column:
 def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0).drop("query_row")
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc.doc_id", "source", "epoch", "position")
