@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvewise.llm import exact_dedup, language, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
+from curvewise.llm import exact_dedup, language, language_model, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -124,3 +124,9 @@ def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc.doc_id", "source", "epoch", "position")
+
+
+@query("op9_language_model")
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", language.held_out("doc_id", 7, 2))
+    return language_model.score(docs)
