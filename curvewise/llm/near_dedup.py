@@ -192,7 +192,8 @@ def _unlike(members: DataFrame, roots: DataFrame, nodes: DataFrame, tested: Data
 def near_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, node (its set's key)."""
+    """One row per input row: doc_id, n_shingles, component_id, kept (its id is the component's),
+    stays (the one row of the component, told by id and text), node (its set's key), mark."""
     slim = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     id_type = slim.schema["id"].dataType.simpleString()
     drawn = stored(
@@ -225,21 +226,33 @@ def near_groups(
         wanted = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
         links = links.unionByName(_checked(more, _texts(slim, nodes, wanted), size, percent))
         roots = stored(connected(links))
-    named = nodes.select("node", "first.id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
+    named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    winners = named.groupBy("root").agg(F.min("first").alias("winner"))
+    of_node = named.join(winners, "root").select("node", "winner")
+    alone = F.col("node").isNull()
     return (
-        drawn.select("id", "n", "node").join(of_node, "node", "left")
+        drawn.select("id", "mark", "n", "node").join(of_node, "node", "left")
         .select(
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),
-            F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(alone, F.col("id")).otherwise(F.col("winner.id")).alias("component_id"),
+            (alone | (F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("mark") == F.col("winner.mark")))).alias("stays"),
             "node",
+            "mark",
         )
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "stays", "node", "mark")
     )
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one of each group, and whatever
+    has no words. Rows that repeat both id and text stay or go together."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.struct("*").alias("doc"))
+    gone = near_groups(docs, doc_id, text, size, percent).where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    same = (rows["mark"] == gone["gone_mark"]) & rows["id"].eqNullSafe(gone["gone_id"])
+    return rows.join(gone, same, "left_anti").select("doc.*")
+
+
 def _texts(slim: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text for each wanted node; `mark` tells rows apart that repeat an id."""
     chosen = nodes.join(wanted, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from curvewise.llm import exact_dedup, language, language_model, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, folder, "documents"), size=2, percent=80).drop("node")
+    return near_dedup.near_groups(table(spark, folder, "documents"), size=2, percent=80).drop("node", "mark", "stays")
 
 
 @query("op3_token_counts")
@@ -130,3 +131,8 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", language.held_out("doc_id", 7, 2))
     return language_model.score(docs)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
