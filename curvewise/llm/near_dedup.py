@@ -9,12 +9,13 @@ smallest (round, value). After 2 T rounds at the latest every coordinate is fill
 in a few, and the share of equal coordinates is concentrated about the Jaccard similarity.
 
 Links: nodes that agree in a band meet in a bucket. First every member is checked, on full
-sets, against the smallest and the largest member; after components are known, members of a
-bucket that still lie in different components are compared in blocks by their sketches, and
-close ones are checked on full sets too. So no bucket is expanded into all its pairs, and
+sets, against up to `HUBS` members, the first in as many hashed orders, which are the same in
+all buckets. After components are known, members of a bucket that still lie in different
+components are compared in blocks: by their sketches, and where these are close and the pair
+is not yet connected, on full sets. A pair is looked at in the first band it shares only. So no bucket is expanded into all its pairs, and
 no link is left out because of a bucket's size: pairs that are not compared are already in
 one component. A link of similarity s is missed only if no band agrees: (1 - s^ROWS)^BANDS,
-5e-8 at s = 0.8, or if the sketch estimate is under SURE, over five deviations below 0.8.
+5e-8 at s = 0.8, or if the sketch estimate is under SURE, five deviations below 0.8.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and
 are kept. A text with fewer words than a shingle is one shingle. Rows without an id take
@@ -38,10 +39,12 @@ from curvewise.session import stored
 
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
+#: Members of a bucket that all others are checked against first.
+HUBS = 8
 #: A pair is left unchecked only if the share of equal sketch coordinates is below this.
-SURE = 0.6
-#: Members of a bucket that are compared with each other in one task at a time.
-BLOCK = 512
+SURE = 0.62
+#: Members of a bucket, and their shingles, that are compared with each other at a time, about.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def shingle_hashes(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band, different for equal values in different bands."""
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sketch), BANDS)).copy()
     for r in range(ROWS):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sketch[:, r::ROWS])
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sketch[:, r * BANDS : (r + 1) * BANDS])
     return key.view(np.int64)
 
 
@@ -143,20 +146,50 @@ def _check_batches(size: int, percent: int):
     return run
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs of two blocks of one bucket that lie in different components."""
-    for batch in batches:
-        a, b = [], []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            x, y = (np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(-1, T) for side in (left, right))
-            roots = np.array([r["root"] for r in right], object)
-            for i, row in enumerate(left):
-                near = (x[i] == y).mean(axis=1) >= SURE
-                for j in np.flatnonzero(near & (roots != row["root"])):
-                    if row["node"] != right[j]["node"]:
-                        a.append(min(row["node"], right[j]["node"]))
-                        b.append(max(row["node"], right[j]["node"]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+def _block_batches(size: int, percent: int):
+    """Links between two blocks of one bucket that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("band", "same", "left", "right"))
+            for band, same, left, right in zip(*columns, strict=True):
+                out += _block_links(band, same, left, right, hashes, size, percent)
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _block_links(band: int, same: bool, left: list, right: list, hashes: WordHashes, size: int, percent: int) -> list[tuple]:
+    x, y = (np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(-1, T) for side in (left, right))
+    roots, n = np.array([r["root"] for r in right], object), np.array([r["n"] for r in right])
+    sets: dict[bytes, np.ndarray] = {}
+    merged: dict[bytes, bytes] = {}
+
+    def shingles(row: dict) -> np.ndarray:
+        if row["node"] not in sets:
+            sets[row["node"]] = shingle_hashes(row["text"], hashes, size)
+        return sets[row["node"]]
+
+    def root(r: bytes) -> bytes:
+        while r in merged:
+            r = merged[r]
+        return r
+
+    out = []
+    for i, row in enumerate(left):
+        equal = x[i] == y
+        fits = 100 * np.minimum(n, row["n"]) >= percent * np.maximum(n, row["n"])
+        near = np.flatnonzero(fits & (roots != row["root"]) & (equal.mean(axis=1) >= SURE))
+        shared = equal[near].reshape(len(near), ROWS, BANDS).all(axis=1)
+        for j in near[shared.argmax(axis=1) == band]:
+            r, q = root(row["root"]), root(roots[j])
+            if r != q and not (same and j <= i) and linked(shingles(row), shingles(right[j]), percent):
+                merged[max(r, q)] = min(r, q)
+                out.append((min(row["node"], right[j]["node"]), max(row["node"], right[j]["node"])))
+    return out
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,24 +202,28 @@ def _checked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     )
 
 
-def _unlike(members: DataFrame, roots: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested close pairs of buckets that still hold several components."""
+def _late_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, slim: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links inside buckets that still hold several components."""
     placed = members.where("members > 2").join(roots, "node", "left").select(
-        "bucket", "node", "members", F.coalesce("root", "node").alias("root")
+        "bucket", "band", "node", "n", F.coalesce("root", "node").alias("root")
     )
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_rows = placed.join(split.select("bucket"), "bucket").join(nodes.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    block = F.pmod(F.xxhash64("node"), blocks)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    split = (
+        placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"))
+        .where("low <> high").select("bucket", "blocks")
+    )
+    open_rows = stored(placed.join(split, "bucket"))
+    texts = _texts(slim, nodes, open_rows.select("node").distinct()).join(nodes.select("node", "sketch"), "node")
     lists = stored(
-        open_rows.withColumn("block", block)
-        .groupBy("bucket", "block")
-        .agg(F.first(blocks).alias("blocks"), F.collect_list(F.struct("node", "root", "sketch")).alias("rows"))
+        open_rows.join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .groupBy("bucket", "band", "blocks", "block")
+        .agg(F.collect_list(F.struct("node", "root", "n", "sketch", "text")).alias("rows"))
     )
-    left = lists.select("bucket", F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    other = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))
+    left = lists.select("bucket", "band", "block", F.col("rows").alias("left"), other.alias("other"))
     right = lists.select("bucket", F.col("block").alias("other"), F.col("rows").alias("right"))
-    close = left.join(right, ["bucket", "other"]).select("left", "right").mapInArrow(_block_batches, "a binary, b binary")
-    return close.distinct().join(tested, ["a", "b"], "left_anti")
+    met = left.join(right, ["bucket", "other"]).select("band", (F.col("block") == F.col("other")).alias("same"), "left", "right")
+    return stored(met.mapInArrow(_block_batches(size, percent), "a binary, b binary"))
 
 
 def near_groups(
@@ -203,14 +240,14 @@ def near_groups(
     nodes = stored(
         held.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    in_band = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    size_up = in_band.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min(F.struct("node", "n")).alias("low"),
-        F.max(F.struct("node", "n")).alias("high"),
-    ).where("members > 1")
-    members = stored(in_band.join(size_up, "bucket").select("bucket", "node", "n", "members", "low", "high"))
-    ends = members.select("node", "n", F.explode(F.array("low", "high")).alias("end"))
+    in_band = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.struct("node", "n").alias("hub"))) for j in range(HUBS)]
+    size_up = (
+        in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.array(*first).alias("first")).where("members > 1")
+        .select("bucket", "members", F.array_distinct("first.hub").alias("hubs"))
+    )
+    members = stored(in_band.join(size_up, "bucket").select("bucket", "band", "node", "n", "members", "hubs"))
+    ends = members.select("node", "n", F.explode("hubs").alias("end"))
     pairs = stored(
         ends.where(F.col("node") != F.col("end.node"))
         .where(100 * F.least("n", "end.n") >= percent * F.greatest("n", "end.n"))
@@ -221,11 +258,9 @@ def near_groups(
     texts = _texts(slim, nodes, wanted)
     links = _checked(pairs, texts, size, percent)
     roots = stored(connected(links))
-    more = stored(_unlike(members.select("bucket", "node", "members"), roots, nodes, pairs))
+    more = _late_links(members.select("bucket", "band", "node", "n", "members"), roots, nodes, slim, size, percent)
     if not more.isEmpty():
-        wanted = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-        links = links.unionByName(_checked(more, _texts(slim, nodes, wanted), size, percent))
-        roots = stored(connected(links))
+        roots = stored(connected(links.unionByName(more)))
     named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     winners = named.groupBy("root").agg(F.min("first").alias("winner"))
     of_node = named.join(winners, "root").select("node", "winner")
