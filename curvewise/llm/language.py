@@ -117,8 +117,8 @@ def _posterior(logs: np.ndarray) -> np.ndarray:
 def _frequencies(counts: dict, languages: list[str]) -> tuple[list, np.ndarray]:
     """Keys by falling total count, and the log posterior of each language given the key."""
     keys = sorted(counts, key=lambda k: (-sum(counts[k].values()), k))
-    table = np.array([[counts[k].get(lang, 0) for lang in languages] for k in keys], float).reshape(len(keys), -1)
-    if not len(keys):
+    table = np.array([[counts[k].get(lang, 0) for lang in languages] for k in keys], float)
+    if not keys:
         return keys, np.zeros((0, len(languages)), np.float32)
     total = table.sum(axis=0)
     return keys, _posterior(np.log((table + 0.5) / (total + 0.5 * (len(keys) + 1))))

@@ -63,6 +63,22 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count_batches, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Up to `most` tokens by falling count: all whose count is above a cut. The cut is found
+    from a histogram of count logarithms, so no task sorts or sends more than its share."""
+    level = F.floor(F.log2("c") * 64)
+    bins = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    cut, total = None, 0
+    for at in sorted(bins, reverse=True):
+        total += bins[at]
+        if total > most:
+            break
+        cut = at
+    if cut is None:
+        return []
+    return sorted(((bytes(r.token), r.c) for r in counts.where(level >= cut).collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """Counts of the frequent tokens, corpus sizes, and numbers of the shortlist's tokens.
 
@@ -176,8 +192,7 @@ def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", t
     learnt = slim.where("not held_out")
     counts = stored(token_counts(learnt))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = [(bytes(r.token), r.c) for r in counts.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()]
-    words = Vocabulary(frequent, size[0], size[1], SHORTLIST)
+    words = Vocabulary(frequent_tokens(counts, FREQUENT), size[0], size[1], SHORTLIST)
     share = stored(learnt.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(one_in)) == 0).select("text"))
     params = fit(share, words)
     id_type = slim.schema["id"].dataType.simpleString()

@@ -5,7 +5,7 @@ homoglyphs and other scripts' digits are Latin, invisible characters are gone, s
 are digits, and spelled or bracketed `at` and `dot` are signs. Each rewriting step keeps, for
 every character it writes, the source characters it came from, so a match maps back exactly.
 A match there becomes an added span if something was rewritten in it and no base span of its
-kind covers it. A bare word "at" counts only before a domain whose dots are spelled too, so
+kind covers it. An added address must end in letters. A bare word "at" counts only before a domain whose dots are spelled too, so
 that prose like "look at example.com" is left alone.
 
 Defined cases: a null or empty text has no spans. Any length of text is searched whole, in time
@@ -73,6 +73,7 @@ _SIGN = re.compile(
     re.IGNORECASE,
 )
 _BRACKETED = re.compile(rf"{_OPEN} ?(?:at|dot|\.|@) ?{_SHUT}")
+_TOP_LEVEL = re.compile(r"\.[A-Za-z]{2,}$")
 _TWO_DOTS = re.compile(r"\.[0-9]++\.[0-9]")
 
 
@@ -204,7 +205,8 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, bool]]:
             start, end = int(held.start[a]), int(held.end[b - 1])
             rewritten = held.new[a:b].any() or end - start != b - a
             inside = any(k == kind and s <= start and end <= e for k, s, e in base)
-            if rewritten and not inside:
+            named = kind != "email" or _TOP_LEVEL.search(held.text[a:b])
+            if rewritten and named and not inside:
                 out.append((kind, start, end, False))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2], not s[3]))
 
