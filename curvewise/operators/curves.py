@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvewise.operators.fitting import grouped_linear
-from curvewise.operators.joining import natural_join
+from curvewise.operators.joining import attach, natural_join
 from curvewise.operators.ordering import adjacent, argmax_rows
 from curvewise.operators.reshaping import labelled_union, to_wide
 from curvewise.operators.summarising import paired_contrast
@@ -72,7 +72,7 @@ def four_traits(
 ) -> DataFrame:
     """End-point performance, optimum and peak per curve."""
     peak = curve_peak(points, keys, x, y).select(*keys, "topt", "popt")
-    return natural_join(curve_ends(points, keys, ends, x, y), peak, "left", on=keys)
+    return natural_join(curve_ends(points, keys, ends, x, y), peak, "left", on=keys, null_safe=True)
 
 
 def shape_rows(
@@ -103,7 +103,7 @@ def curve_deltas(
     rest = [k for k in keys if k != factor]
     peak = curve_peak(points, keys, x, y).select(*keys, "topt", "popt")
     area = curve_area(points, keys, x, y, baseline="min", average_repeats=False)
-    return paired_contrast(natural_join(peak, area, on=keys), rest, factor, a, b, ["topt", "popt", "auc"])
+    return paired_contrast(natural_join(peak, area, on=keys, null_safe=True), rest, factor, a, b, ["topt", "popt", "auc"])
 
 
 def turning_point(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "fit") -> DataFrame:
@@ -170,8 +170,8 @@ def edge_optima(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "
 
 
 def exclude_curves(points: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop the curves listed in `edges`."""
-    return points.join(edges.select(*keys), list(keys), "left_anti")
+    """Drop the curves listed in `edges`; null keys match null keys."""
+    return attach(points, edges.select(*keys), keys, "left_anti")
 
 
 def end_on_peak(

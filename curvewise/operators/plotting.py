@@ -21,7 +21,7 @@ def smooth_lines(
     coefs = grouped_poly(df, series, x, y, degree)
     shown = df.where(F.col(y).isNotNull())
     spans = shown.groupBy(*series).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    both = natural_join(coefs, spans, "inner", on=series)
+    both = natural_join(coefs, spans, "inner", on=series, null_safe=True)
     points = both.withColumn("x", F.explode(points_between(F.col("_lo"), F.col("_hi"), n)))
     return points.select(*series, "x", fitted(F.col("x"), degree).alias("fit")).where(
         F.col("fit").isNotNull()

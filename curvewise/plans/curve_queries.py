@@ -204,7 +204,7 @@ def v11_optima(spark, d):
     t = mean_se(peak, PANEL, "topt", n="rows").select(
         *PANEL, F.col("mean").alias("mean_t"), F.col("se").alias("se_t")
     )
-    return rounded(natural_join(p, t, on=PANEL))
+    return rounded(natural_join(p, t, on=PANEL, null_safe=True))
 
 
 @query(

@@ -226,7 +226,7 @@ def m12(spark, d):
     """Optimum, peak and area of each unit's curve on the two factors at once."""
     pts = fitting.curve_points(fitting.grouped_poly(obs(spark, d), CURVE, "x", "y"), CURVE, grid())
     traits = natural_join(
-        curve_peak(pts, CURVE), curve_area(pts, CURVE, baseline="min", average_repeats=False), on=CURVE
+        curve_peak(pts, CURVE), curve_area(pts, CURVE, baseline="min", average_repeats=False), on=CURVE, null_safe=True
     )
     fit = linear.fit_linear(
         traits, ["topt", "popt", "auc"], linear.crossed("regime", "treatment"),

@@ -379,7 +379,7 @@ def j05(spark, d):
     coefs = grouped_poly(o, ["treatment", "regime"], "x", "y").select(
         "treatment", "regime", "b0", "b1", "b2"
     )
-    points = joining.natural_join(grid, coefs, "left")
+    points = joining.natural_join(grid, coefs, "left", null_safe=True)
     return rounded(points.select("unit", "treatment", "regime", "x", fitted(F.col("x"), 2).alias("fit")))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvewise.functions import tails
-from curvewise.operators import curves, fitting, linear, mixed, nonlinear, smooth
+from curvewise.operators import curves, fitting, linear, mixed, nonlinear, plotting, smooth
 from curvewise.operators.joining import sequence_points
 
 
@@ -356,9 +356,13 @@ def test_edge_exclusion(spark):
     assert {r.k for r in curves.exclude_curves(both, edges, ["k"]).collect()} == {"c"}
 
 
-def test_custom_group_function(spark):
-    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k int, y double")
-    out = fitting.fit_groups(
-        df, ["k"], lambda pdf: pd.DataFrame({"k": [pdf.k.iloc[0]], "m": [pdf.y.mean()]}), "k int, m double"
-    )
-    assert {tuple(r) for r in out.collect()} == {(1, 3.0), (2, 5.0)}
+def test_null_keys_keep_their_curves(spark):
+    humped = curve(spark, lambda x: 9 - (x - 6) ** 2)
+    rising = curve(spark, lambda x: x).withColumn("k", F.lit(None).cast("string"))
+    both = humped.union(rising)
+    traits = {r.k: (r.lo, r.topt, r.popt) for r in curves.four_traits(both, ["k"], {0.0: "lo"}).collect()}
+    assert traits == {"c": (-27.0, 6.0, 9.0), None: (0.0, 10.0, 10.0)}
+    edges = curves.edge_optima(both, ["k"])
+    assert {r.k for r in curves.exclude_curves(both, edges, ["k"]).collect()} == {"c"}
+    lines = plotting.smooth_lines(both, ["k"], "x", "fit", 2, 5)
+    assert {(r.k, r["count"]) for r in lines.groupBy("k").count().collect()} == {("c", 5), (None, 5)}
