@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvewise.operators.fitting import grouped_linear
-from curvewise.operators.joining import attach, natural_join
+from curvewise.operators.joining import attach
 from curvewise.operators.ordering import adjacent, argmax_rows
 from curvewise.operators.reshaping import labelled_union, to_wide
 from curvewise.operators.summarising import paired_contrast
@@ -70,9 +70,35 @@ def curve_ends(
 def four_traits(
     points: DataFrame, keys: Sequence[str], ends: Mapping[float, str], x: str = "x", y: str = "fit"
 ) -> DataFrame:
-    """End-point performance, optimum and peak per curve."""
-    peak = curve_peak(points, keys, x, y).select(*keys, "topt", "popt")
-    return natural_join(curve_ends(points, keys, ends, x, y), peak, "left", on=keys, null_safe=True)
+    """End-point performance, optimum and peak per curve, in one aggregate."""
+    at_ends = [F.max(F.when(F.col(x) == F.lit(v), F.col(y))).alias(name) for v, name in ends.items()]
+    best = _best(x, y)
+    return points.groupBy(*keys).agg(*at_ends, best.alias("_best")).select(
+        *keys, *ends.values(), *_optimum()
+    )
+
+
+def _best(x: str, y: str) -> Column:
+    """The highest point, the lowest x of it if several are equal, as (y, -x)."""
+    return F.max(F.struct(F.col(y).alias("y"), (-F.col(x)).alias("x")))
+
+
+def _optimum() -> list[Column]:
+    return [(-F.col("_best.x")).alias("topt"), F.col("_best.y").alias("popt")]
+
+
+def peak_and_area(
+    points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "fit", baseline: str | None = None
+) -> DataFrame:
+    """Optimum, peak and area per curve from one pass over the points of a grid."""
+    before = W.partitionBy(*keys).orderBy(x)
+    pairs = points.withColumns({"_px": F.lag(x).over(before), "_py": F.lag(y).over(before)})
+    area = F.sum((F.col(x) - F.col("_px")) * (F.col(y) + F.col("_py")) / 2)
+    if baseline == "min":
+        area = area - F.min(y) * (F.max(x) - F.min(x))
+    return pairs.groupBy(*keys).agg(_best(x, y).alias("_best"), area.alias("auc")).select(
+        *keys, *_optimum(), "auc"
+    )
 
 
 def shape_rows(
@@ -101,9 +127,8 @@ def curve_deltas(
 ) -> DataFrame:
     """Difference (level b minus level a) of optimum, peak and baseline area."""
     rest = [k for k in keys if k != factor]
-    peak = curve_peak(points, keys, x, y).select(*keys, "topt", "popt")
-    area = curve_area(points, keys, x, y, baseline="min", average_repeats=False)
-    return paired_contrast(natural_join(peak, area, on=keys, null_safe=True), rest, factor, a, b, ["topt", "popt", "auc"])
+    traits = peak_and_area(points, keys, x, y, baseline="min")
+    return paired_contrast(traits, rest, factor, a, b, ["topt", "popt", "auc"])
 
 
 def turning_point(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "fit") -> DataFrame:

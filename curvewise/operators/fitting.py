@@ -1,27 +1,21 @@
 """Least-squares curves per group in closed form.
 
 Each fit is one hash aggregation of variances and covariances (numerically stable,
-combined in the map tasks) followed by column expressions. No row leaves the JVM and
-a group of any size costs one buffer per map task.
+combined in the map tasks) followed by column expressions; polynomials first take the
+mean and sd of x per group. No row leaves the JVM and a group of any size costs one
+buffer per map task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewise.functions.columns import polynomial, solve_symmetric
-from curvewise.operators.joining import attach
-
-
-def powers(x: str, degree: int) -> dict[str, Column]:
-    base = F.col(x).cast("double")
-    out = {"x1": base}
-    for d in range(2, degree + 1):
-        out[f"x{d}"] = out[f"x{d - 1}"] * base
-    return out
+from curvewise.operators.joining import attach, spread_out
 
 
 def _moments(
@@ -30,19 +24,22 @@ def _moments(
     y: str,
     terms: Mapping[str, Column],
     checked: Sequence[str] | None = None,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """n, means, variances and covariances of terms and response over complete rows.
 
-    `checked` names the terms whose presence implies that of the others.
+    `checked` names the terms whose presence implies that of the others, `carried` columns
+    that have one value per group and stay in the result.
     """
     names = list(terms)
     present = F.col(y).isNotNull()
     for name in names if checked is None else checked:
         present = present & terms[name].isNotNull()
     rows = df.where(present).select(
-        *keys, F.col(y).cast("double").alias("_y"), *[c.alias(f"_{n}") for n, c in terms.items()]
+        *keys, *carried, F.col(y).cast("double").alias("_y"), *[c.alias(f"_{n}") for n, c in terms.items()]
     )
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_my"), F.var_samp("_y").alias("_yy")]
+    aggs += [F.first(c).alias(c) for c in carried]
     for i, a in enumerate(names):
         aggs.append(F.avg(f"_{a}").alias(f"_m{i}"))
         aggs.append(F.covar_samp(f"_{a}", "_y").alias(f"_r{i}"))
@@ -52,6 +49,32 @@ def _moments(
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def scaled_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) -> DataFrame:
+    """Moments of the powers of (x - center) / scale, with each group's own mean and sd of x.
+
+    A first aggregate finds `_center` and `_scale`. Joined to the rows, it keeps the powers
+    apart wherever x lies (Kelvin, years, day numbers), which raw powers are not. A group
+    whose x does not vary has scale 1.
+    """
+    value = F.col(x).cast("double")
+    rows = df.where(value.isNotNull() & F.col(y).isNotNull()).select(
+        *keys, value.alias("_x"), F.col(y).cast("double").alias("_v")
+    )
+    sd = F.stddev_pop("_x")
+    center, scale = F.avg("_x").alias("_center"), F.when(sd > 0, sd).otherwise(1.0).alias("_scale")
+    if keys:
+        placed = attach(rows, rows.groupBy(*keys).agg(center, scale), keys, "inner")
+    else:
+        placed = rows.withColumns(
+            {"_center": rows.agg(center).scalar(), "_scale": rows.agg(scale).scalar()}
+        )
+    z = (F.col("_x") - F.col("_center")) / F.col("_scale")
+    terms = {"x1": z}
+    for d in range(2, degree + 1):
+        terms[f"x{d}"] = terms[f"x{d - 1}"] * z
+    return _moments(placed, keys, "_v", terms, checked=["x1"], carried=["_center", "_scale"])
+
+
 def _slopes(p: int) -> list[Column]:
     """Slopes of the first p terms of a moment table."""
     s = {(i, j): F.col(f"_s{i}{j}") for i in range(p) for j in range(i, p)}
@@ -111,10 +134,47 @@ def grouped_linear(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
 
 
 def grouped_poly(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int = 2
+    df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int = 2, centred: bool = False
 ) -> DataFrame:
-    """Polynomial of degree 1 to 3 per group, coefficients on raw x."""
-    return grouped_design(df, keys, y, powers(x, degree), checked=["x1"])
+    """Polynomial of degree 1 to 3 per group.
+
+    It is solved on x scaled per group; a group has null coefficients only if it has too few
+    distinct x. Coefficients are those of raw x, or with `centred` those of x - center, with
+    a column `center`: the form to evaluate when x is large against its spread, where the
+    terms of the raw form cancel. `curve_points` and `augment` take both forms.
+    """
+    if not 1 <= degree <= 3:
+        raise ValueError("degree must be 1 to 3")
+    slopes = _slopes(degree)
+    stats = scaled_moments(df, keys, x, y, degree).withColumns(
+        {f"_g{i + 1}": g for i, g in enumerate(slopes)}
+    )
+    g = [F.col(f"_g{i + 1}") for i in range(degree)]
+    level = F.col("_my")
+    about = {}
+    for i in range(degree):
+        level = level - g[i] * F.col(f"_m{i}")
+        about[f"_a{i + 1}"] = g[i] / F.pow("_scale", F.lit(i + 1))
+    stats = stats.withColumns({"_a0": level, **about})
+    coefs = [F.col(f"_a{j}") for j in range(degree + 1)]
+    if not centred:
+        coefs = [
+            sum(
+                (coefs[j] * comb(j, k) * F.pow(-F.col("_center"), F.lit(j - k)) for j in range(k + 1, degree + 1)),
+                coefs[k],
+            )
+            for k in range(degree + 1)
+        ]
+    explained = _explained(g)
+    return stats.select(
+        *keys,
+        "n",
+        *[b.alias(f"b{k}") for k, b in enumerate(coefs)],
+        F.when(g[0].isNotNull(), _sse(explained)).alias("sse"),
+        ((F.col("n") - 1) * F.col("_yy")).alias("sst"),
+        F.try_divide(explained, F.col("_yy")).alias("r2"),
+        *([F.col("_center").alias("center")] if centred else []),
+    )
 
 
 def fractional_terms(x: str, shift: float = 0.0) -> dict[str, Column]:
@@ -140,12 +200,20 @@ def vertex_form(coefs: DataFrame) -> DataFrame:
 
 
 def grouped_vertex(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    return vertex_form(grouped_poly(df, keys, x, y, 2)).select(*keys, "n", "a", "h", "k", "convex")
+    about = vertex_form(grouped_poly(df, keys, x, y, 2, centred=True))
+    return about.select(*keys, "n", "a", (F.col("h") + F.col("center")).alias("h"), "k", "convex")
+
+
+def fitted(x: Column, degree: int, centred: bool = False) -> Column:
+    """Polynomial value from columns b0 .. b<degree>, about column center if `centred`."""
+    at = x - F.col("center") if centred else x
+    return polynomial(at, [F.col(f"b{i}") for i in range(degree + 1)])
 
 
-def fitted(x: Column, degree: int) -> Column:
-    """Polynomial value from columns b0 .. b<degree>."""
-    return polynomial(x, [F.col(f"b{i}") for i in range(degree + 1)])
+def _coefficients(coefs: DataFrame, degree: int) -> tuple[list[str], bool]:
+    """Names of the coefficient columns, and whether they are about a centre."""
+    centred = "center" in coefs.columns
+    return [f"b{i}" for i in range(degree + 1)] + ["center"] * centred, centred
 
 
 def curve_points(
@@ -153,22 +221,23 @@ def curve_points(
 ) -> DataFrame:
     """Evaluate each group's polynomial on an array of x points.
 
-    The points are exploded next to the coefficients, so the partitioning by key
-    left by the fit is kept and later per-key steps need no new shuffle.
+    The coefficients, one row per curve, are spread by key over all tasks before the
+    points are exploded next to them; later per-key steps need no new shuffle.
     """
-    rows = coefs.select(*keys, *[f"b{i}" for i in range(degree + 1)], F.explode(points).alias(x))
-    return rows.select(*keys, x, fitted(F.col(x), degree).alias(y)).where(F.col(y).isNotNull())
+    names, centred = _coefficients(coefs, degree)
+    rows = spread_out(coefs.select(*keys, *names), *keys).select("*", F.explode(points).alias(x))
+    return rows.select(*keys, x, fitted(F.col(x), degree, centred).alias(y)).where(F.col(y).isNotNull())
 
 
 def augment(
     df: DataFrame, coefs: DataFrame, keys: Sequence[str], x: str, y: str, degree: int = 2
 ) -> DataFrame:
     """Rows with fitted value, residual and standardised residual."""
-    table = coefs.select(*keys, "n", "sse", *[f"b{i}" for i in range(degree + 1)])
-    rows = attach(df.select(*keys, x, y), table, keys, "inner")
+    names, centred = _coefficients(coefs, degree)
+    rows = attach(df.select(*keys, x, y), coefs.select(*keys, "n", "sse", *names), keys, "inner")
     sigma = F.sqrt(F.try_divide(F.col("sse"), F.col("n") - (degree + 1)))
     return rows.withColumns(
-        {"fitted": fitted(F.col(x).cast("double"), degree)}
+        {"fitted": fitted(F.col(x).cast("double"), degree, centred)}
     ).withColumns({"resid": F.col(y) - F.col("fitted")}).select(
         *keys, x, y, "fitted", "resid", F.try_divide(F.col("resid"), sigma).alias("std_resid")
     )
@@ -186,7 +255,7 @@ def polynomial_aics(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataF
 
     The moments of the cubic hold those of the other two: one aggregation for all.
     """
-    stats = _moments(df, keys, y, powers(x, 3), checked=["x1"])
+    stats = scaled_moments(df, keys, x, y, 3)
     models = ["linear", "quadratic", "cubic"]
     for degree, name in enumerate(models, start=1):
         slopes = _slopes(degree)

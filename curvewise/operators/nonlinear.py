@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewise.functions.columns import briere, lactin, solve_symmetric, theta_logistic
-from curvewise.operators.fitting import _explained, _moments, _slopes, _sse, aic, fractional_terms, powers
+from curvewise.operators.fitting import _explained, _moments, _slopes, _sse, aic, fractional_terms, scaled_moments
 from curvewise.operators.joining import attach, sequence_points, spread_out
 from curvewise.session import cut_lineage
 
@@ -308,7 +308,7 @@ def compare_models(
     Polynomials share one aggregation of the rows, nonlinear models one per-x table.
     """
     names = {"quadratic": 2, "cubic": 3}
-    stats = _moments(df, keys, y, powers(x, 3), checked=["x1"])
+    stats = scaled_moments(df, keys, x, y, 3)
     entries = []
     for name, degree in names.items():
         slopes = _slopes(degree)

@@ -172,6 +172,6 @@ GRID = "grid AS (SELECT CAST(i AS DOUBLE) * 0.25 AS x FROM range(41) t(i))"
 PTS = f"""{OBS},
 {quadratic_sql(CURVE_SQL)},
 {GRID},
-pts AS (
+pts AS MATERIALIZED (
   SELECT unit, treatment, regime, grid.x AS x, (b2 * grid.x + b1) * grid.x + b0 AS fit
   FROM q CROSS JOIN grid WHERE b2 IS NOT NULL)"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curvewise.functions.columns import standard_error
 from curvewise.operators import curves, plotting
 from curvewise.operators.fitting import curve_points, grouped_poly
-from curvewise.operators.joining import natural_join, sequence_points
+from curvewise.operators.joining import sequence_points
 from curvewise.operators.summarising import mean_se
 from curvewise.plans.base import (
     CURVE,
@@ -127,9 +128,13 @@ s AS (SELECT {CURVE_SQL}, x, fit,
         (coalesce(lead(fit) OVER w, fit) - coalesce(lag(fit) OVER w, fit))
         / (coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x)) AS slope
       FROM pts WINDOW w AS (PARTITION BY {CURVE_SQL} ORDER BY x)),
-k AS (SELECT {CURVE_SQL}, CASE WHEN min(slope) > 0 THEN max(x) WHEN max(slope) < 0 THEN min(x)
-                               ELSE arg_min(x, abs(slope)) END AS turn_x FROM s GROUP BY {CURVE_SQL})
-SELECT {CURVE_SQL}, turn_x, round(fit, 6) AS turn_y FROM k JOIN pts USING ({CURVE_SQL}) WHERE x = turn_x""",
+r AS (SELECT *, row_number() OVER (PARTITION BY {CURVE_SQL} ORDER BY abs(slope), x) AS place FROM s)
+SELECT {CURVE_SQL},
+       CASE WHEN min(slope) > 0 THEN max(x) WHEN max(slope) < 0 THEN min(x)
+            ELSE max(CASE WHEN place = 1 THEN x END) END AS turn_x,
+       round(CASE WHEN min(slope) > 0 THEN arg_max(fit, x) WHEN max(slope) < 0 THEN arg_min(fit, x)
+                  ELSE max(CASE WHEN place = 1 THEN fit END) END, 6) AS turn_y
+FROM r GROUP BY {CURVE_SQL}""",
 )
 def v08(spark, d):
     return rounded(curves.turning_point(pts(spark, d), CURVE))
@@ -170,8 +175,9 @@ def v10(spark, d):
 
 @query(
     "v10_excluded",
-    f"""WITH {PTS}, {TOP}, bad AS (SELECT {CURVE_SQL} FROM top WHERE fit = best AND x = 10)
-SELECT {CURVE_SQL}, x, round(fit, 6) AS fit FROM pts ANTI JOIN bad USING ({CURVE_SQL})""",
+    f"""WITH {PTS}, {TOP},
+marked AS (SELECT *, bool_or(fit = best AND x = 10) OVER (PARTITION BY {CURVE_SQL}) AS at_end FROM top)
+SELECT {CURVE_SQL}, x, round(fit, 6) AS fit FROM marked WHERE NOT at_end""",
 )
 def v10_excluded(spark, d):
     points = pts(spark, d)
@@ -198,13 +204,13 @@ SELECT treatment, regime, round(avg(popt), 6) AS mean_p, round(stddev_samp(popt)
 )
 def v11_optima(spark, d):
     peak = curves.curve_peak(pts(spark, d), CURVE)
-    p = mean_se(peak, PANEL, "popt", n="rows").select(
-        *PANEL, F.col("mean").alias("mean_p"), F.col("se").alias("se_p")
-    )
-    t = mean_se(peak, PANEL, "topt", n="rows").select(
-        *PANEL, F.col("mean").alias("mean_t"), F.col("se").alias("se_t")
-    )
-    return rounded(natural_join(p, t, on=PANEL, null_safe=True))
+    both = []
+    for name, trait in (("p", "popt"), ("t", "topt")):
+        both += [
+            F.avg(trait).alias(f"mean_{name}"),
+            standard_error(F.col(trait), "rows").alias(f"se_{name}"),
+        ]
+    return rounded(peak.groupBy(*PANEL).agg(*both))
 
 
 @query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curvewise.operators import fitting, linear, mixed, nonlinear, smooth
-from curvewise.operators.curves import curve_area, curve_peak
-from curvewise.operators.joining import natural_join, sequence_points
+from curvewise.operators.curves import peak_and_area
+from curvewise.operators.joining import sequence_points
 from curvewise.operators.summarising import mean_se
 from curvewise.plans.base import (
     CURVE,
@@ -66,6 +66,24 @@ def m03(spark, d):
     return rounded(fitting.grouped_poly(obs(spark, d), CURVE, "x", "y", 3), 5)
 
 
+CENTRED = ["xc", "xc * xc", "xc * xc * xc"]
+
+
+@query(
+    "m03_shifted",
+    f"""WITH {OBS},
+oc AS (SELECT *, x - avg(x) OVER (PARTITION BY {CURVE_SQL}) AS xc FROM obs),
+mid AS (SELECT {CURVE_SQL}, avg(x) + 2000 AS center FROM obs GROUP BY {CURVE_SQL}),
+{design_sql(CURVE_SQL, CENTRED, "oc")}
+SELECT {CURVE_SQL}, n, round(center, 5) AS center, {COEFS}, round(b2, 5) AS b2, round(b3, 5) AS b3, {FIT_TAIL}
+FROM q JOIN mid USING ({CURVE_SQL})""",
+)
+def m03_shifted(spark, d):
+    """The cubic with x as if it were years: the fit must not depend on where x lies."""
+    years = obs(spark, d).withColumn("x", F.col("x") + 2000)
+    return rounded(fitting.grouped_poly(years, CURVE, "x", "y", 3, centred=True), 5)
+
+
 FRACTIONAL = ["x", "ln(x + 1)", "CAST(x AS DOUBLE) * x"]
 
 
@@ -225,9 +243,7 @@ def m11(spark, d):
 def m12(spark, d):
     """Optimum, peak and area of each unit's curve on the two factors at once."""
     pts = fitting.curve_points(fitting.grouped_poly(obs(spark, d), CURVE, "x", "y"), CURVE, grid())
-    traits = natural_join(
-        curve_peak(pts, CURVE), curve_area(pts, CURVE, baseline="min", average_repeats=False), on=CURVE, null_safe=True
-    )
+    traits = peak_and_area(pts, CURVE, baseline="min")
     fit = linear.fit_linear(
         traits, ["topt", "popt", "auc"], linear.crossed("regime", "treatment"),
         factors=["regime", "treatment"],
