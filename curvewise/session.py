@@ -59,5 +59,5 @@ def stored(df: DataFrame) -> DataFrame:
     readers take only the columns they need. A lost executor costs a re-read.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
