@@ -132,13 +132,14 @@ def exact_quantiles(
     keys: Sequence[str],
     y: str,
     probs: Sequence[float],
-    max_group: int | None = 100_000,
+    max_group: int | None = None,
 ) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation between order statistics.
 
-    The built-in percentile keeps the distinct values of a group in one buffer, so it
-    serves groups of at most `max_group` rows. Bigger groups, if a count of the rows
-    per key finds any, are solved by bracketing; `None` brackets every group.
+    Every group is solved by bracketing, in one way for all sizes. The built-in percentile
+    keeps the distinct values of a group in one buffer; a caller who knows that groups are
+    small can ask for it with `max_group`, which costs a count of the rows per key and
+    leaves groups above it to bracketing.
     """
     rows = df.select(*keys, y).where(F.col(y).isNotNull())
     if max_group is None:
