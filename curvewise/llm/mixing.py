@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Pfair windows, in DataFrame functions only.
 
-A period has `ticks` slots, of which each source owns a whole number, its weight. The i-th
-slot of a source (from 0) with a of the ticks may not lie before floor(i * ticks / a) and not
-at or after ceil((i + 1) * ticks / a): its release and deadline. Earliest deadline first among
-the released keeps every window, so in every prefix of t slots a source has had more than
-t * a / ticks - 1 and less than t * a / ticks + 1 blocks. Only this pattern, bounded by
-`ticks`, is made on the driver; it is broadcast, and the place of every document is arithmetic
-on its number within its source.
+With W the sum of all weights, the i-th block of a source of weight w (from 0) may not lie
+before slot floor(i * W / w) and not at or after ceil((i + 1) * W / w): its release and deadline.
+Earliest deadline first among the released keeps every window, so in every prefix of t slots a
+source has had more than t * w / W - 1 and less than t * w / W + 1 blocks. Weights are taken as
+they are, in integers of any length; nothing is rounded to a period, and no source gets a slot
+that its weight does not give. The slots of all blocks of the mix are laid out in order, which
+no task can share: the driver does it, holds one entry for each source and `ticks` slots at a
+time, and writes them to a table that documents are joined to.
 
 Numbers within a source come from a window over (source, input split) plus what the splits
 before it hold, so a source with a third of all rows is spread over its splits.
@@ -17,82 +18,88 @@ sizes to the power `ALPHA`.
 
 Defined cases: a null source is a source of its own. Null ids and texts are ordinary values.
 Rows that repeat an id are rows of their own. Sources without rows are ignored; a row whose
-source has no weight raises an error before anything is mixed. More than `MAX_SOURCES` sources
-raise an error. An empty table gives no rows. Other columns, whatever their names, pass through.
+source has no weight raises an error before anything is mixed. Any number of sources is mixed.
+An empty table gives no rows. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-from collections.abc import Mapping
+import itertools
+import math
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvewise.session import stored
+from curvewise.session import shared_folder, stored
 
-#: Slots of a period, documents of a block, flattening of default weights, sources at most.
-TICKS, BLOCK, ALPHA, MAX_SOURCES = 10_000, 16, 0.8, 5_000
+#: Slots laid out at a time, documents of a block, flattening of default weights.
+TICKS, BLOCK, ALPHA = 500_000, 16, 0.8
 
 
-def whole_shares(weights: list[float], ticks: int) -> list[int]:
-    """Slots of each source: largest remainders, one slot at least."""
-    total = sum(weights)
-    free = ticks - len(weights)
-    exact = [w / total * free for w in weights]
-    shares = [1 + int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in order[: ticks - sum(shares)]:
-        shares[i] += 1
-    return shares
+def whole_weights(weights: Iterable[float]) -> list[int]:
+    """Integers in exactly the proportions of the weights."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    common = math.lcm(*(d for _, d in ratios))
+    return [n * (common // d) for n, d in ratios]
 
 
-def period(shares: list[int]) -> list[int]:
-    """The source of each slot, earliest deadline first among released blocks."""
-    ticks = sum(shares)
-    release = [(0, s, 0) for s in range(len(shares))]
+def slots(weights: list[int]) -> Iterator[tuple[int, int]]:
+    """Source and number within it of each slot's block, without end: earliest deadline first
+    among released blocks. One is always released, since the shares add up to one."""
+    total = sum(weights)
+    release = [(0, s, 0) for s in range(len(weights))]
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(ticks):
+    for slot in itertools.count():
         while release and release[0][0] <= slot:
             _, s, i = heapq.heappop(release)
-            heapq.heappush(ready, (-(-(i + 1) * ticks // shares[s]), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        out.append(s)
-        if i + 1 < shares[s]:
-            heapq.heappush(release, ((i + 1) * ticks // shares[s], s, i + 1))
-    return out
-
+        yield s, i
+        heapq.heappush(release, ((i + 1) * total // weights[s], s, i + 1))
 
-def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table from a constant, without Python workers."""
-    held = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
-    return spark.range(1).select(F.explode(held).alias("r")).select("r.*")
 
-
-def _plan(counts: list[tuple], weights: Mapping | None, ticks: int, block: int) -> tuple[list[dict], list[dict]]:
-    """Sources with the blocks each gives in all, and the slots of a period."""
-    if weights is not None and (missing := {s for s, _ in counts} - set(weights)):
-        raise ValueError(f"no weight for sources {sorted(map(str, missing))}")
-    wanted = [float(weights[s]) if weights is not None else n**ALPHA for s, n in counts]
-    if any(w <= 0 for w in wanted):
-        raise ValueError("weights must be positive")
-    shares = whole_shares(wanted, max(ticks, 2 * len(counts)))
-    ticks = sum(shares)
-    slots: list[list[int]] = [[] for _ in counts]
-    for slot, s in enumerate(period(shares)):
-        slots[s].append(slot)
-    end = 0
-    for (_, n), own in zip(counts, slots, strict=True):
-        full, i = divmod(-(-n // block) - 1, len(own))
-        end = max(end, full * ticks + own[i] + 1)
-    whole, rest = divmod(end, ticks)
-    sources = [
-        {"s": s, "name": name, "n": n, "a": len(slots[s]), "ticks": ticks, "blocks": whole * len(slots[s]) + sum(x < rest for x in slots[s])}
-        for s, (name, n) in enumerate(counts)
-    ]
-    return sources, [{"s": s, "i": i, "slot": slot} for s, own in enumerate(slots) for i, slot in enumerate(own)]
+def period(shares: list[int]) -> list[int]:
+    """The source of each slot of one period of whole shares."""
+    return [s for s, _ in itertools.islice(slots(shares), sum(shares))]
+
+
+def until_given(weights: list[int], needed: list[int]) -> Iterator[tuple[int, int]]:
+    """The slots until each source has given the blocks it needs."""
+    missing = len(needed)
+    for s, i in slots(weights):
+        yield s, i
+        missing -= i + 1 == needed[s]
+        if not missing:
+            return
+
+
+def _laid_out(spark: SparkSession, keys: list[int], laid: Iterator[tuple[int, int]], ticks: int) -> DataFrame:
+    """Columns s, block and slot of all blocks, written `ticks` slots at a time."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    start = 0
+    for part in itertools.batched(laid, ticks):
+        columns = [
+            pa.array([keys[s] for s, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64()),
+            pa.array(range(start, start + len(part)), pa.int64()),
+        ]
+        rows = spark.createDataFrame(pa.Table.from_arrays(columns, names=["s", "block", "slot"]))
+        rows.write.option("compression", "zstd").mode("append").parquet(path)
+        start += len(part)
+    return spark.read.schema("s bigint, block bigint, slot bigint").parquet(path)
+
+
+def _weighted(sources: DataFrame, weights: Mapping) -> DataFrame:
+    """The sources with the column w of their weights."""
+    table = pa.table({"of": pa.array(list(weights), pa.string()), "w": pa.array([float(w) for w in weights.values()], pa.float64())})
+    wanted = sources.sparkSession.createDataFrame(table)
+    found = stored(sources.join(wanted, F.col("name").eqNullSafe(F.col("of")), "left").drop("of"))
+    if missing := found.where("w is null").select("name").limit(20).collect():
+        raise ValueError(f"no weight for sources {sorted(str(r.name) for r in missing)}")
+    return found
 
 
 def mix(
@@ -105,6 +112,7 @@ def mix(
     """Columns doc (a struct of the input's columns), source, epoch from 0, position from 0.
 
     Positions are gapless. `weights` maps source names (as strings, None for null) to weights.
+    `ticks` bounds what the driver holds; the result does not depend on it.
     """
     spark = docs.sparkSession
     rows = stored(
@@ -114,31 +122,34 @@ def mix(
         )
     )
     parts = stored(rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("c")))
-    sizes = parts.groupBy("source").agg(F.sum("c").alias("n")).orderBy(F.col("source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if not sizes:
+    in_order = parts.groupBy(F.col("source").alias("name")).agg(F.sum("c").alias("n")).orderBy(F.col("name").asc_nulls_first())
+    sources = stored(in_order.withColumn("s", F.monotonically_increasing_id()))
+    weighted = sources.withColumn("w", F.lit(None).cast("double")) if weights is None else _weighted(sources, weights)
+    sizes = weighted.select("s", "n", "w").toArrow().sort_by("s").to_pydict()
+    keys, counts = sizes["s"], sizes["n"]
+    if not keys:
         return rows.select("doc", "source", F.lit(0).alias("epoch"), F.col("row").alias("position"))
-    sources, slots = _plan([(r.source, r.n) for r in sizes], weights, ticks, block)
-    of_source = _literal(spark, sources, "s:int,name:string,n:bigint,a:bigint,ticks:bigint,blocks:bigint")
-    pattern = _literal(spark, slots, "s:int,i:bigint,slot:bigint")
+    wanted = sizes["w"] if weights is not None else [n**ALPHA for n in counts]
+    if any(not 0 < w < math.inf for w in wanted):
+        raise ValueError("weights must be positive")
+    pattern = _laid_out(spark, keys, until_given(whole_weights(wanted), [-(-n // block) for n in counts]), ticks)
+    given = pattern.groupBy("s").agg(F.count(F.lit(1)).alias("blocks"))
+    of_source = stored(sources.join(given, "s"))
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parts.join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("name"))).drop("source")
+        parts.join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("source")
         .withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        .select("s", "part", "name", "n", "a", "ticks", "blocks", "offset")
+        .select("s", "part", "n", "blocks", "offset")
     )
-    numbered = rows.join(F.broadcast(of_source.select("s", "name")), F.col("source").eqNullSafe(F.col("name"))).withColumn(
+    numbered = rows.join(of_source.select("s", "name"), F.col("source").eqNullSafe(F.col("name"))).withColumn(
         "number", F.row_number().over(Window.partitionBy("s", "part").orderBy("row")) - 1
     ).select("doc", "source", "s", "part", "number")
     placed = numbered.join(offsets, ["s", "part"]).withColumn("number", F.col("number") + F.col("offset"))
-    given = F.col("blocks") * block
     last = F.expr(f"(blocks * {block} - 1 - number) div n")
-    epochs = placed.where(F.col("number") < given).withColumn("epoch", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    epochs = placed.where(F.col("number") < F.col("blocks") * block).withColumn("epoch", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     at = epochs.withColumn("at", F.col("epoch") * F.col("n") + F.col("number")).withColumn("block", F.expr(f"at div {block}"))
-    slotted = at.withColumn("i", F.col("block") % F.col("a")).join(F.broadcast(pattern), ["s", "i"])
-    position = (F.expr("block div a") * F.col("ticks") + F.col("slot")) * block + F.col("at") % block
-    return slotted.select("doc", "source", "epoch", position.alias("position"))
+    slotted = at.join(pattern, ["s", "block"])
+    return slotted.select("doc", "source", "epoch", (F.col("slot") * block + F.col("at") % block).alias("position"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -264,6 +265,35 @@ def test_mixing(docs, none):
         mixing.mix(docs, weights={"s0": 1})
 
 
+def test_mixing_keeps_true_weights():
+    for many in (20, 1000, 6000):
+        wanted = [1 / 3] + [2 / 3 / (many - 1)] * (many - 1)
+        exact, had = mixing.whole_weights(wanted), 0
+        for t, (s, _) in enumerate(itertools.islice(mixing.slots(exact), 16_026), 1):
+            had += s == 0
+            assert abs(had - t * wanted[0]) < 1 + 1e-9  # the weights' floats add up to one but for rounding
+    rng = random.Random(4)
+    exact = mixing.whole_weights([rng.random() ** 4 + 1e-6 for _ in range(60)])
+    total, had = sum(exact), [0] * 60
+    for t, (s, i) in enumerate(itertools.islice(mixing.slots(exact), 4000), 1):
+        assert i == had[s]
+        had[s] += 1
+        assert all(abs(h * total - t * a) < total for h, a in zip(had, exact, strict=True))
+
+
+def test_mixing_of_many_sources(spark):
+    many = 5_500
+    docs = spark.range(3 * many).select(F.col("id").alias("doc_id"), F.when(F.col("id") < many, F.col("id")).otherwise(0).cast("string").alias("source"))
+    rows = mixing.mix(docs, block=2, ticks=4_000).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(len(rows)))
+    assert {r.doc.doc_id for r in rows if r.epoch == 0} == set(range(3 * many))
+    share, had = (2 * many + 1) ** mixing.ALPHA, 0
+    share /= share + many - 1
+    for t, r in enumerate(rows[::2], 1):
+        had += r.source == "0"
+        assert abs(had - t * share) < 1 + 1e-9
+
+
 def base_by_definition(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
