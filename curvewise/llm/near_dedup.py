@@ -12,8 +12,8 @@ Links: nodes that agree in a band meet in a bucket. First every member is checke
 sets, against up to `HUBS` members, the first in as many hashed orders, which are the same in
 all buckets. After components are known, members of a bucket that still lie in different
 components are compared in blocks: by their sketches, and where these are close and the pair
-is not yet connected, on full sets. A pair is looked at in the first band it shares only. So no bucket is expanded into all its pairs, and
-no link is left out because of a bucket's size: pairs that are not compared are already in
+is not yet connected, on full sets. A pair is looked at in the first band it shares only, which
+is told from the whole band keys. So no bucket is expanded into all its pairs, and no link is left out because of a bucket's size: pairs that are not compared are already in
 one component. A link of similarity s is missed only if no band agrees: (1 - s^ROWS)^BANDS,
 5e-8 at s = 0.8, or if the sketch estimate is under SURE, five deviations below 0.8.
 
@@ -153,17 +153,20 @@ def _block_batches(size: int, percent: int):
         hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("band", "same", "left", "right"))
-            for band, same, left, right in zip(*columns, strict=True):
-                out += _block_links(band, same, left, right, hashes, size, percent)
+            columns = (batch.column(c).to_pylist() for c in ("same", "left", "right"))
+            for same, left, right in zip(*columns, strict=True):
+                out += _block_links(same, left, right, hashes, size, percent)
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
 
-def _block_links(band: int, same: bool, left: list, right: list, hashes: WordHashes, size: int, percent: int) -> list[tuple]:
+def _block_links(same: bool, left: list, right: list, hashes: WordHashes, size: int, percent: int) -> list[tuple]:
+    """`before` of a row holds its keys of the bands before the bucket's: a pair that agrees in
+    one of them has met in that band's bucket."""
     x, y = (np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(-1, T) for side in (left, right))
+    p, q = (np.array([r["before"] for r in side], np.int64) for side in (left, right))
     roots, n = np.array([r["root"] for r in right], object), np.array([r["n"] for r in right])
     sets: dict[bytes, np.ndarray] = {}
     merged: dict[bytes, bytes] = {}
@@ -183,11 +186,11 @@ def _block_links(band: int, same: bool, left: list, right: list, hashes: WordHas
         equal = x[i] == y
         fits = 100 * np.minimum(n, row["n"]) >= percent * np.maximum(n, row["n"])
         near = np.flatnonzero(fits & (roots != row["root"]) & (equal.mean(axis=1) >= SURE))
-        shared = equal[near].reshape(len(near), ROWS, BANDS).all(axis=1)
-        for j in near[shared.argmax(axis=1) == band]:
-            r, q = root(row["root"]), root(roots[j])
-            if r != q and not (same and j <= i) and linked(shingles(row), shingles(right[j]), percent):
-                merged[max(r, q)] = min(r, q)
+        met = (p[i] == q[near]).any(axis=1)
+        for j in near[~met]:
+            r, s = root(row["root"]), root(roots[j])
+            if r != s and not (same and j <= i) and linked(shingles(row), shingles(right[j]), percent):
+                merged[max(r, s)] = min(r, s)
                 out.append((min(row["node"], right[j]["node"]), max(row["node"], right[j]["node"])))
     return out
 
@@ -213,16 +216,17 @@ def _late_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, slim: Da
         .where("low <> high").select("bucket", "blocks")
     )
     open_rows = stored(placed.join(split, "bucket"))
-    texts = _texts(slim, nodes, open_rows.select("node").distinct()).join(nodes.select("node", "sketch"), "node")
+    texts = _texts(slim, nodes, open_rows.select("node").distinct()).join(nodes.select("node", "sketch", "bands"), "node")
     lists = stored(
         open_rows.join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .groupBy("bucket", "band", "blocks", "block")
-        .agg(F.collect_list(F.struct("node", "root", "n", "sketch", "text")).alias("rows"))
+        .withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
+        .groupBy("bucket", "blocks", "block")
+        .agg(F.collect_list(F.struct("node", "root", "n", "sketch", "before", "text")).alias("rows"))
     )
     other = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))
-    left = lists.select("bucket", "band", "block", F.col("rows").alias("left"), other.alias("other"))
+    left = lists.select("bucket", "block", F.col("rows").alias("left"), other.alias("other"))
     right = lists.select("bucket", F.col("block").alias("other"), F.col("rows").alias("right"))
-    met = left.join(right, ["bucket", "other"]).select("band", (F.col("block") == F.col("other")).alias("same"), "left", "right")
+    met = left.join(right, ["bucket", "other"]).select((F.col("block") == F.col("other")).alias("same"), "left", "right")
     return stored(met.mapInArrow(_block_batches(size, percent), "a binary, b binary"))
 
 

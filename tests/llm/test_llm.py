@@ -132,6 +132,31 @@ def test_near_groups(docs, none, size, monkeypatch):
         assert near_dedup.near_groups(none).count() == 0
 
 
+def test_no_pair_is_lost_in_large_buckets():
+    """Thousands of pairs at 0.8, each in the first band that it shares by the whole key."""
+    rng, hashes, found, lost = np.random.default_rng(9), near_dedup.WordHashes(), 0, []
+    sides = []
+    for _ in range(6000):
+        words = [f"w{x}" for x in rng.choice(10**6, 100, False)]
+        sides += [" ".join(words[:90]), " ".join(words[10:])]
+    sets = [near_dedup.shingle_hashes(x, hashes, 1) for x in sides]
+    sketch = near_dedup.sketches(sets)
+    keys, small = near_dedup.band_keys(sketch), near_dedup.mixed(sketch).astype(np.uint8)
+    meet = keys[::2] == keys[1::2]
+    for band in range(near_dedup.BANDS):
+        pairs = np.flatnonzero(meet.any(axis=1) & (meet.argmax(axis=1) == band))
+        for some in np.array_split(pairs, max(1, len(pairs) // 100)):
+            rows = [
+                {"node": b"%d" % i, "root": b"%d" % i, "n": len(sets[i]), "sketch": small[i].tobytes(), "before": keys[i, :band].tolist(), "text": sides[i]}
+                for p in some for i in (2 * p, 2 * p + 1)
+            ]
+            links = near_dedup._block_links(True, rows, rows, hashes, 1, 80)
+            found += len(links)
+            lost += set(some.tolist()) - {int(a) // 2 for a, _ in links}
+    assert near_dedup.linked(sets[0], sets[1], 80) and found + len(lost) > 5990
+    assert lost == []
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
