@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from curvewise.llm import exact_dedup, language, mixing, near_dedup, packing
 from curvewise.session import stored
 
-#: Mean posterior per word below which a text counts as no language that was learnt. Chance is
-#: one over the number of languages, so only texts that are like none of them go.
-LEAST_SCORE = 0.2
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learnt language; those without letters or far from all languages go."""
-    model = language.fit(docs.where(~language.held_out("doc_id", 4, 2)))
-    return language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+    """Documents in a learnt language; those without letters, or whose mean posterior per word
+    is far below what held-out documents of the language score, go."""
+    unseen = language.held_out("doc_id", 4, 2)
+    model = language.fit(docs.where(~unseen))
+    least = language.least_scores(docs.where(unseen), model)
+    found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
+    if least:
+        found = found.where(F.col("score") >= F.create_map(*(F.lit(x) for pair in least.items() for x in pair))[F.col("lang_pred")])
+    return found.select("doc.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,9 @@ SAMPLE = 4000
 #: Words of each language, and n-grams of each length 1 to ORDER and language, that it keeps.
 WORDS, GRAMS, ORDER = 40_000, 20_000, 4
 UNKNOWN = "und"
+#: Where a least score lies: the quantile of the scores of held-out rows, and the share of the
+#: way from chance to it.
+LOW, MARGIN = 0.01, 1 / 2
 _RUN = re.compile(r"[^\W\d_]+")
 _SLOT_BITS = 22
 
@@ -201,6 +204,32 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, f"doc {kind}, lang_pred string, score double")
 
 
+def least_scores(held: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """For each language of the model, the score below which a text is like none of them.
+
+    Chance is one over the number of languages. The low end of what texts of a language score
+    is the `LOW` quantile of all labelled rows of `held`, which the model has not learnt from,
+    that are found to be what they are labelled. The least score lies `MARGIN` of the way from
+    chance to it, so that the lowest of good texts stay too; and less in the measure that
+    held-out rows are told apart no better than by chance, since scores then say nothing. A
+    language without such rows gets the quantile of all languages' rows; without any rows it
+    is chance.
+    """
+    rows = held.where(F.col(lang).isin(model.languages)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    found = identify(rows, model).where(F.col("lang_pred") != UNKNOWN).select("doc.lang", "lang_pred", "score")
+    right = F.col("lang") == F.col("lang_pred")
+    low = F.percentile_approx(F.when(right, F.col("score")), LOW, 10_000)
+    of = {r.lang: r for r in found.rollup("lang").agg(low.alias("low"), F.avg(right.cast("int")).alias("told")).collect()}
+    chance, told = 1 / max(1, len(model.languages)), [r.told for name, r in of.items() if name is not None]
+    skill = max(0.0, (sum(told) / len(told) - chance) / (1 - chance)) if told and chance < 1 else 0.0
+
+    def least(name: str) -> float:
+        at = next((of[k].low for k in (name, None) if k in of and of[k].low is not None), chance)
+        return min(at, chance + MARGIN * skill * (at - chance))
+
+    return {name: least(name) for name in model.languages}
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """Whether a row belongs to the fold that nothing is learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))

@@ -371,6 +371,24 @@ def test_language(spark, docs, none):
     assert language.identify(none, model).count() == 0
 
 
+def test_pipeline_rejects_what_is_no_learnt_language(spark):
+    rng = random.Random(12)
+    pools = {
+        "de": "der die das und ist nicht ein eine haus hund katze schule kinder heute morgen schön straße wasser zeit zwischen".split(),
+        "en": "the and is not a house dog cat school children today tomorrow beautiful street water time between with this that".split(),
+        "es": "el la los y es no una casa perro gato escuela niños hoy mañana hermosa calle agua tiempo entre con".split(),
+        "fr": "le les des et est pas une maison chien chat école enfants hier demain belle rue eau temps entre avec".split(),
+    }
+    rows = [(i, " ".join(rng.choice(pools[k]) for _ in range(rng.randint(4, 40))), k) for i, k in enumerate(sorted(pools) * 100)]
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (30, 60, 300)]
+    other = ["wczoraj poszedłem do sklepu żeby kupić chleb i mleko ale sklep był zamknięty", "сегодня хорошая погода и мы пойдём гулять в парк"]
+    clean = ["der hund ist nicht das haus", "the dog is not a house", "los niños y el perro hoy", "les enfants et le chien"]
+    rows += [(1000 + i, x, None) for i, x in enumerate(junk + other)] + [(2000 + i, x, None) for i, x in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identified(spark, docs, "").collect()}
+    assert kept == set(range(400)) | set(range(2000, 2004))
+
+
 def test_recurrent_model_gradients_and_sum():
     rng = np.random.default_rng(0)
     p = {k: v.astype(float) + (0 if k == "word_b" else rng.normal(0, 0.3, v.shape)) for k, v in gru.new_params(np.log(np.full(11, 1 / 11)), 5, 4).items()}
