@@ -3,10 +3,11 @@
 Token counts come from all training documents and stay distributed. The most frequent tokens,
 a bounded number, are broadcast; a document's other tokens meet their counts by a join, so
 frequent words never cross the shuffle. A gated recurrent model (`gru`) over the `SHORTLIST`
-most frequent tokens and one class for all others is trained in Spark tasks: every
-`TRAIN_ONE_IN`-th training document, whole, in `ROUNDS` rounds of truncated backpropagation
-whose weights are averaged, element by element, in Spark. So training grows with the input,
-and only the model, of fixed size, reaches the driver. A token outside the shortlist scores
+most frequent tokens and one class for all others is trained in Spark tasks on every training
+document, whole, once: `ROUNDS` rounds of truncated backpropagation, each over another part of
+the documents, whose weights are averaged, element by element, in Spark. Parts are drawn by id
+and text together, so rows with one id, or none, are dealt over all rounds. Only the model, of
+fixed size, reaches the driver. A token outside the shortlist scores
 the model's probability of "other" times its share of the smoothed unigram mass there, so
 scores are probabilities over all words, seen or not.
 
@@ -33,7 +34,8 @@ from curvewise.session import stored
 
 #: Tokens of the recurrent model; tokens whose counts are broadcast; state size.
 SHORTLIST, FREQUENT, HIDDEN = 2048, 200_000, 24
-TRAIN_ONE_IN, ROUNDS = 24, 3
+#: Rounds that the training documents are dealt over.
+ROUNDS = 3
 #: No word holds a blank, so this stands for the end of a text.
 END = b"\n"
 #: Distinct tokens a task counts before it hands them on.
@@ -122,18 +124,20 @@ def _train_batches(params: gru.Params, words: Vocabulary):
 
 
 def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int = HIDDEN) -> gru.Params:
-    """Rounds of local training and averaging. `texts` is read once per round."""
+    """Rounds of local training and averaging, each over the rows of `texts` whose `draw` is its
+    number modulo `rounds`; so all rows are learnt from once."""
     size = len(words.log_p)
     params = gru.new_params(words.log_p, hidden, max(1, math.isqrt(size)))
-    for _ in range(rounds):
-        trained = texts.mapInArrow(_train_batches(params, words), "weights array<float>, seen bigint")
+    for number in range(rounds):
+        part = texts.where(F.pmod("draw", F.lit(rounds)) == number).select("text")
+        trained = part.mapInArrow(_train_batches(params, words), "weights array<float>, seen bigint")
         mean = (
             trained.select("seen", F.posexplode("weights").alias("at", "w"))
             .groupBy("at").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
             .orderBy("at").collect()
         )
         if not mean:
-            break
+            continue
         flat, at = np.array([r.w for r in mean], np.float32), 0
         for k in sorted(params):
             params[k] = flat[at : at + params[k].size].reshape(params[k].shape)
@@ -183,18 +187,18 @@ def _score_batches(params: gru.Params, words: Vocabulary):
     return run
 
 
-def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", text: str = "text", one_in: int = TRAIN_ONE_IN) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", text: str = "text", one_in: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Rows with `held_out` are scored but nothing is learnt from them.
+    Rows with `held_out` are scored but nothing is learnt from them. A round of training takes
+    one in `one_in` of the others, and there are as many rounds.
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     learnt = slim.where("not held_out")
     counts = stored(token_counts(learnt))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words = Vocabulary(frequent_tokens(counts, FREQUENT), size[0], size[1], SHORTLIST)
-    share = stored(learnt.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(one_in)) == 0).select("text"))
-    params = fit(share, words)
+    params = fit(learnt.select("text", F.xxhash64("id", "text", F.lit(3)).alias("draw")), words, one_in)
     id_type = slim.schema["id"].dataType.simpleString()
     rows = stored(slim.mapInArrow(_score_batches(params, words), _SCORED.format(id_type)).withColumn("row", F.monotonically_increasing_id()))
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -424,6 +424,26 @@ def test_language_model_scores(docs, none):
     assert empty.count() == 0
 
 
+def test_every_training_document_is_learnt_from(spark, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), language_model._train_batches
+
+    def counted(params, words):
+        run = real(params, words)
+
+        def rows(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(rows(batches))
+
+    monkeypatch.setattr(language_model, "_train_batches", counted)
+    texts = [(None if i < 40 else 7 if i < 80 else i, f"text number {i}", i % 5 == 0) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, held_out boolean")
+    assert language_model.score(docs).count() == 200
+    assert seen.value == 160
+
+
 def test_pipeline(spark, tmp_path_factory):
     rng = random.Random(9)
     base = [words(rng, 60) for _ in range(40)]
