@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curvewise.llm import exact_dedup, language, language_model, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
+from curvewise.llm import byte_bpe, exact_dedup, language, language_model, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -133,6 +133,14 @@ def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score(docs)
 
 
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"))
+    return byte_bpe.decode(coded).select(
+        "doc.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -40,14 +40,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of bounded text."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         start, used = 0, 0
         for i, size in enumerate(sizes):
-            if i > start and used + size > SLICE_BYTES:
+            if i > start and used + size > limit:
                 yield batch.slice(start, i - start)
                 start, used = i, 0
             used += size
