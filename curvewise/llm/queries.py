@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curvewise.llm import byte_bpe, exact_dedup, language, language_model, mixing, near_dedup, neighbours, packing, pii, token_counts, url_filter
+from curvewise.llm import byte_bpe, exact_dedup, language, language_model, mixing, near_dedup, neighbours, packing, periodic_runs, pii, token_counts, url_filter
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -141,6 +141,44 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_digest(periodic_runs.find_runs(with_periods(table(spark, folder, "documents").select("doc_id", "text"))))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """In every tenth document by a hash of its id, the words behind one place repeat the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    placed = chosen.withColumn("a", (F.col("g") % n).cast("int")).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    )
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), n - F.col("a"))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def runs_digest(found: DataFrame) -> DataFrame:
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    longest = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return longest.select(
+        "doc.doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
