@@ -35,8 +35,10 @@ CACHE_BYTES = 64
 #: Pieces up to this many bytes are merged side by side, so many at once; longer ones with a heap.
 SCAN_BYTES = 48
 SIDE_BY_SIDE = 20_000
-#: Slices of texts for decoding hold about this many bytes of ids.
-SLICE_IDS = 8_000_000
+#: Slices of texts hold about this many bytes, of text or of ids; a longer text is worked on in parts.
+SLICE = 1_000_000
+#: Tokens that are laid out at once.
+LAID = 200_000
 
 
 class Merger:
@@ -161,6 +163,11 @@ class Merger:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids and first bytes of the tokens of each text."""
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            return self._long(texts[0])
+        return self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         data, firsts, ends, per_text = pretokens.cut(texts)
         found = self.pieces([data[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)])
         ids = np.frombuffer(b"".join(found), "<u4")
@@ -173,6 +180,16 @@ class Merger:
         bounds = list(zip(first.tolist(), last.tolist(), strict=True))
         return [ids[a:b].tobytes() for a, b in bounds], [starts[a:b].tobytes() for a, b in bounds]
 
+    def _long(self, text: str) -> tuple[list[bytes], list[bytes]]:
+        """The same for one long text, in parts that begin with a space between signs that are none."""
+        ids, starts, base = [], [], 0
+        for part in parts(text, SLICE):
+            (a,), (b,) = self._whole([part])
+            ids.append(a)
+            starts.append((np.frombuffer(b, "<u4") + np.uint32(base)).astype("<u4").tobytes())
+            base += len(part.encode("utf-8"))
+        return [b"".join(ids)], [b"".join(starts)]
+
     def decode(self, ids: list[bytes], starts: list[bytes]) -> list[bytes]:
         """The bytes of each text, every token laid at its offset."""
         numbers = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
@@ -186,12 +203,28 @@ class Merger:
         base = np.cumsum(sizes) - sizes
         places += np.repeat(base, tokens)
         out = np.empty(int(sizes.sum()), np.uint8)
-        steps = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(places, size) + steps] = self.letters[np.repeat(self.firsts[numbers], size) + steps]
+        for k in range(0, numbers.size, LAID):
+            n = size[k : k + LAID]
+            steps = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(places[k : k + LAID], n) + steps] = self.letters[np.repeat(self.firsts[numbers[k : k + LAID]], n) + steps]
         data = out.tobytes()
         return [data[a : a + n] for a, n in zip(base.tolist(), sizes.tolist(), strict=True)]
 
 
+def parts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about `size` code points; a pre-token begins wherever one is cut."""
+    first = 0
+    while len(text) - first > size:
+        at = text.find(" ", first + size)
+        while at >= 0 and (at + 1 == len(text) or text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[first:at]
+        first = at
+    yield text[first:]
+
+
 @lru_cache(maxsize=2)
 def merger(path: str) -> Merger:
     """One for each worker process."""
@@ -206,7 +239,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merger(path)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             ids, starts = model.encode(batch.column(1).to_pylist())
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -226,7 +259,7 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merger(path)
-        for batch in text_slices(batches, "ids", SLICE_IDS):
+        for batch in text_slices(batches, "ids", SLICE):
             decoded = model.decode(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(decoded, pa.binary()), batch.column(3)], ["doc", "ids", "decoded", "n_tokens"]

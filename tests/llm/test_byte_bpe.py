@@ -83,6 +83,19 @@ def test_classes_of_all_code_points_agree_with_the_library():
         assert not wrong
 
 
+def test_long_texts_in_parts(library, texts, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE", 200)
+    monkeypatch.setattr(byte_bpe, "LAID", 70)
+    model = byte_bpe.Merger(default_paths()[1])
+    rng = random.Random(9)
+    for _ in range(40):
+        text = " ".join(rng.sample(texts[:3000], 40)) + " "
+        assert "".join(byte_bpe.parts(text, 200)) == text
+        ids, starts = model.encode([text])
+        assert numbers(ids[0]) == library.encode_ordinary(text)
+        assert model.decode(ids, starts) == [text.encode()]
+
+
 def test_frames_nulls_repeats_and_clashing_columns(spark, library):
     rows = [(1, "It's 12 o'clock", "x"), (1, "It's 12 o'clock", "x"), (None, None, "y"), (3, "", None), (4, " a" * 4000, "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string").withColumn("doc", F.lit(1)).withColumn("starts", F.lit(None))
