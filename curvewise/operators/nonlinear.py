@@ -3,14 +3,15 @@
 Rows are first combined to per-x sums (group, x, n, mean, spread), so repeated
 measurements at the same x never move again. A deterministic lattice of start values
 is scored by aggregation, and the best point is improved by damped Gauss-Newton
-steps, each one again an aggregation over the per-x table. A group is never brought
-into one task; only its few running sums are.
+steps, each one again an aggregation over the per-x table, until its group has settled.
+A group is never brought into one task; only its few running sums are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,25 @@ from pyspark.sql import functions as F
 from curvewise.functions.columns import briere, lactin, solve_symmetric, theta_logistic
 from curvewise.operators.fitting import _explained, _moments, _slopes, _sse, aic, fractional_terms, scaled_moments
 from curvewise.operators.joining import attach, sequence_points, spread_out
-from curvewise.session import cut_lineage
+from curvewise.session import stored
+
+#: Rounds of refinement after which groups that have not settled are given up, and said so.
+MAX_STEPS = 40
+#: Trials of a round: the way, and the damping as a number or as a multiple of a group's own; the
+#: last two repeat the move before, so many times as long.
+FAN = (
+    ("newton", 0.0, False),
+    ("gauss", 1e-8, False),
+    ("gauss", 0.1, True),
+    ("gauss", 1.0, True),
+    ("gauss", 10.0, True),
+    ("again", 1.0, False),
+    ("again", 3.0, False),
+)
+#: The trial whose promised gain tells whether a group has settled.
+FREE = 1
+#: A residual sum below this share of the sum of squares is rounding.
+NOTHING = 1e-14
 
 
 @dataclass(frozen=True)
@@ -33,6 +52,7 @@ class CurveModel:
     linear: str
     kind: str
     lattice: Mapping[str, tuple[float, float, int]]
+    positive: tuple[str, ...] = ()
 
     def basis(self, x: Column, p: Mapping[str, Column]) -> Column:
         raise NotImplementedError
@@ -66,19 +86,19 @@ class Briere2(CurveModel):
 MODELS: dict[str, CurveModel] = {
     "lactin1": Lactin1(
         ("p", "tmax", "dt"), "none", "fixed",
-        {"p": (0.02, 0.3, 15), "tmax": (24.0, 40.0, 9), "dt": (1.0, 10.0, 10)},
+        {"p": (0.02, 0.3, 15), "tmax": (24.0, 40.0, 9), "dt": (1.0, 10.0, 10)}, ("p", "dt"),
     ),
     "lactin2": Lactin2(
         ("p", "tmax", "dt"), "lam", "offset",
-        {"p": (0.02, 0.3, 15), "tmax": (24.0, 40.0, 9), "dt": (1.0, 10.0, 10)},
+        {"p": (0.02, 0.3, 15), "tmax": (24.0, 40.0, 9), "dt": (1.0, 10.0, 10)}, ("p", "dt"),
     ),
     "theta_logistic": ThetaLogistic(
-        ("k", "theta"), "r", "scale", {"k": (20.0, 35.0, 16), "theta": (0.5, 5.0, 10)}
+        ("k", "theta"), "r", "scale", {"k": (20.0, 35.0, 16), "theta": (0.5, 5.0, 10)}, ("k", "theta")
     ),
     "briere1": Briere1(("t0", "tm"), "a", "scale", {"t0": (-5.0, 12.0, 18), "tm": (28.5, 45.0, 12)}),
     "briere2": Briere2(
         ("t0", "tm", "m"), "a", "scale",
-        {"t0": (-5.0, 12.0, 18), "tm": (28.5, 45.0, 12), "m": (1.0, 6.0, 6)},
+        {"t0": (-5.0, 12.0, 18), "tm": (28.5, 45.0, 12), "m": (1.0, 6.0, 6)}, ("m",),
     ),
 }
 
@@ -152,114 +172,274 @@ def lattice_fit(
 
 
 def refine_fit(
-    sums: DataFrame, start: DataFrame, keys: Sequence[str], model: str, steps: int = 8
+    sums: DataFrame,
+    start: DataFrame,
+    keys: Sequence[str],
+    model: str,
+    steps: int = MAX_STEPS,
+    tolerance: float = 1e-8,
 ) -> DataFrame:
-    """Improve the shape parameters by damped Gauss-Newton steps.
+    """Improve the shape parameters of one model until every group has settled."""
+    return refine_fits(sums, {model: start}, keys, steps, tolerance)[model]
+
 
-    Each step is one join of the current parameters to the per-x table and one
-    aggregation of the residual sum of squares and the normal equations. A move is
-    kept only where it lowers the residual sum of squares; the damping of a group
-    falls after a success and rises after a failure. `status` tells whether the
-    start was improved.
+def refine_fits(
+    sums: DataFrame,
+    starts: Mapping[str, DataFrame],
+    keys: Sequence[str],
+    steps: int = MAX_STEPS,
+    tolerance: float = 1e-8,
+) -> dict[str, DataFrame]:
+    """Improve the fits of several models by damped Newton and Gauss-Newton steps, each group to its own end.
+
+    A round makes seven trials, in one job for all models: a step with the second derivatives,
+    which is fast where residuals are large, Gauss-Newton steps without damping and around that
+    of the group, which are safe far from the optimum, and the move before, once and three
+    times as long, for optima far along a curved valley. Positive parameters are moved on
+    the log scale, where those valleys are straighter. The parameters are joined to the
+    per-x table and each trial's residual sum of squares and normal equations are aggregated. The
+    best trial that lowers the sum is kept and damping falls; where none does, it rises. Groups
+    leave the rounds
+
+    - converged, when the last gain and the gain that the linear model promised are both below
+      `tolerance` of the residual sum, when no trial gains and none was promised more, or
+      when nothing is left to fit;
+    - not converged, when damping has grown so far that no direction is left.
+
+    Only groups that have not settled are in the next round, and rounds end with the last of
+    them, or after `steps`. The result has `converged`, the number of `steps` that a group
+    took and `status`, which tells whether its start was improved.
     """
-    m = MODELS[model]
-    shape, system = list(m.shape), _system_names(len(m.shape))
-    nothing = F.lit(None).cast("double")
-    state = start.select(
-        *keys,
-        *shape,
-        *[F.col(s).alias(f"_try_{s}") for s in shape],
-        *[nothing.alias(c) for c in ("_lin", "_best", *system)],
-        F.lit(0.03).alias("_damp"),
-        F.col("sse").alias("_first"),
-    )
-    for step in range(steps + 1):
-        state = _step(sums, state, keys, m)
-        if step < steps:
-            state = cut_lineage(state)
-    counts = sums.groupBy(*keys).agg(F.sum("n").alias("n"))
+    plans = {name: _Rounds(keys, MODELS[name], tolerance) for name in starts}
+    width = max(len(MODELS[name].shape) for name in starts)
+    state = stored(_together({name: plans[name].begin(sums, start) for name, start in starts.items()}, width))
+    ended = [state.where("_settled")]
+    for _ in range(steps):
+        moving = state.where("NOT _settled")
+        left = {row._model for row in moving.select("_model").distinct().collect()}
+        if not left:
+            break
+        rounds = {name: plans[name].step(sums, moving.where(F.col("_model") == name)) for name in starts if name in left}
+        state = stored(_together(rounds, width))
+        ended.append(state.where("_settled"))
+    ended.append(state.where("NOT _settled"))
+    every = reduce(DataFrame.unionByName, ended)
+    return {name: _refined(every.where(F.col("_model") == name), keys, MODELS[name]) for name in starts}
+
+
+def _refined(state: DataFrame, keys: Sequence[str], m: CurveModel) -> DataFrame:
     linear = [] if m.linear == "none" else [F.col("_lin").alias(m.linear)]
-    improved = F.col("_best") < F.col("_first") * (1 - 1e-12)
-    return attach(state, counts, keys).select(
+    improved = F.col("_sse") < F.col("_first") * (1 - 1e-12)
+    return state.select(
         *keys,
-        *shape,
+        *[(F.exp(f"_p{i}") if s in m.positive else F.col(f"_p{i}")).alias(s) for i, s in enumerate(m.shape)],
         *linear,
-        "n",
-        F.col("_best").alias("sse"),
+        F.col("_n").alias("n"),
+        F.col("_sse").alias("sse"),
         F.when(improved, F.lit("improved")).otherwise(F.lit("start")).alias("status"),
+        F.col("_converged").alias("converged"),
+        F.col("_steps").alias("steps"),
     )
 
 
 def _system_names(p: int) -> list[str]:
-    return [f"_a{i}{j}" for i in range(p) for j in range(i, p)] + [f"_r{i}" for i in range(p)]
-
-
-def _step(sums: DataFrame, state: DataFrame, keys: Sequence[str], m: CurveModel) -> DataFrame:
-    """Evaluate the tried point, accept or reject it, solve for the next one."""
-    shape, p = list(m.shape), len(m.shape)
-    at = {s: F.col(f"_try_{s}") for s in shape}
-    x, n, mean = F.col("x"), F.col("n"), F.col("mean")
-    derived = {"_g": m.basis(x, at)}
-    for i, s in enumerate(shape):
-        h = F.greatest(F.abs(at[s]), F.lit(1e-3)) * 1e-5
-        up, down = m.basis(x, {**at, s: at[s] + h}), m.basis(x, {**at, s: at[s] - h})
-        derived[f"_d{i}"] = (up - down) / (2 * h)
-    tries = [f"_try_{s}" for s in shape]
-    rows = attach(sums, state.select(*keys, *tries), keys, "inner").withColumns(derived)
-    g, d = F.col("_g"), [F.col(f"_d{i}") for i in range(p)]
-    parts = _linear_part(m, g)
-    aggs = [parts["_lin"].alias("_new_lin"), parts["_sse"].alias("_new_sse")]
-    aggs += [F.sum(n).alias("_n"), F.sum(n * (mean - g)).alias("_gap")]
-    aggs += [F.sum(n * g * g).alias("_gg"), F.sum(n * g * mean).alias("_gy")]
-    for i in range(p):
-        aggs += [
-            F.sum(n * d[i]).alias(f"_s{i}"),
-            F.sum(n * d[i] * g).alias(f"_h{i}"),
-            F.sum(n * d[i] * mean).alias(f"_w{i}"),
-        ]
-        aggs += [F.sum(n * d[i] * d[j]).alias(f"_q{i}{j}") for j in range(i, p)]
-    found = rows.groupBy(*keys).agg(*aggs)
-
-    c = F.col
-    new = {}
-    for i in range(p):
-        right = c(f"_w{i}") - c(f"_h{i}")
-        if m.kind == "offset":  # the constant takes the mean out of every column
-            right = right - c(f"_s{i}") * c("_gap") / c("_n")
-        elif m.kind == "scale":  # the factor takes the curve itself out of every column
-            right = c("_new_lin") * (c(f"_w{i}") - c(f"_h{i}") * c("_new_lin"))
-        new[f"_r{i}"] = right
-        for j in range(i, p):
-            q = c(f"_q{i}{j}")
-            if m.kind == "offset":
-                q = q - c(f"_s{i}") * c(f"_s{j}") / c("_n")
-            elif m.kind == "scale":
-                alias = c(f"_h{i}") * c(f"_h{j}") / F.when(c("_gg") > 0, c("_gg"))
-                q = c("_new_lin") * c("_new_lin") * (q - alias)
-            new[f"_a{i}{j}"] = q
-    new = {f"_new{k}": v for k, v in new.items()}
-    both = attach(state, found.select(*keys, "_new_lin", "_new_sse", *[v.alias(k) for k, v in new.items()]), keys)
-    valid = c("_new_sse").isNotNull() & ~F.isnan("_new_sse")
-    ok = valid & (c("_best").isNull() | (c("_new_sse") < c("_best")))
-    kept = both.withColumn("_ok", ok).select(
-        *keys,
-        *[F.when(c("_ok"), c(f"_try_{s}")).otherwise(c(s)).alias(s) for s in shape],
-        *[F.when(c("_ok"), c("_new" + k)).otherwise(c(k)).alias(k) for k in ["_lin", *_system_names(p)]],
-        F.when(c("_ok"), c("_new_sse")).otherwise(c("_best")).alias("_best"),
-        F.when(c("_ok"), c("_damp") * 0.3).otherwise(c("_damp") * 10).alias("_damp"),
-        "_first",
-    )
-    gram = {
-        (i, j): c(f"_a{i}{j}") * (1 + c("_damp")) if i == j else c(f"_a{i}{j}")
-        for i in range(p)
-        for j in range(i, p)
-    }
-    moves = solve_symmetric(gram, [c(f"_r{i}") for i in range(p)], tolerance=1e-14)
-    moved = [
-        (c(s) + F.when(mv.isNotNull() & ~F.isnan(mv), mv).otherwise(F.lit(0.0))).alias(f"_try_{s}")
-        for s, mv in zip(shape, moves, strict=True)
+    """Gauss-Newton matrix, what second derivatives add to it, and right side."""
+    pairs = [f"{i}{j}" for i in range(p) for j in range(i, p)]
+    return [f"_a{k}" for k in pairs] + [f"_b{k}" for k in pairs] + [f"_r{i}" for i in range(p)]
+
+
+def _together(tables: Mapping[str, DataFrame], width: int) -> DataFrame:
+    """States of several models under each other; models with fewer parameters have nulls."""
+    names = [f"_{k}{i}" for k in "pz" for i in range(width)] + _system_names(width)
+    nothing = F.lit(None).cast("double")
+    wide = [
+        t.withColumns({c: nothing for c in names if c not in t.columns}).withColumn("_model", F.lit(name))
+        for name, t in tables.items()
     ]
-    return kept.select(*kept.columns, *moved)
+    return reduce(DataFrame.unionByName, wide)
+
+
+class _Rounds:
+    """Begins and steps of one model; their expressions are built once and used in every round."""
+
+    def __init__(self, keys: Sequence[str], m: CurveModel, tolerance: float):
+        self.keys, self.m, self.p = list(keys), m, len(m.shape)
+        self.points = [f"_p{i}" for i in range(self.p)]
+        self.tries = [f"_t{i}" for i in range(self.p)]
+        self.system = _system_names(self.p)
+        self._evaluation()
+        self._fan()
+        self._choice(tolerance)
+
+    def begin(self, sums: DataFrame, start: DataFrame) -> DataFrame:
+        """The state of every group at its start."""
+        at = [F.log(s) if s in self.m.positive else F.col(s) for s in self.m.shape]
+        here = start.select(*self.keys, *[v.alias(p) for v, p in zip(at, self.points, strict=True)], F.col("sse").alias("_first"))
+        tried = here.select(*self.keys, *[F.col(p).alias(t) for p, t in zip(self.points, self.tries, strict=True)])
+        at = attach(here, self.evaluate(sums, tried, self.tries).drop(*self.tries), self.keys)
+        usable = F.col("_sse").isNotNull() & ~F.isnan("_sse")
+        exact = F.col("_sse") <= NOTHING * F.col("_size")
+        return at.withColumns(
+            {
+                **{f"_z{i}": F.lit(0.0) for i in range(self.p)},
+                "_damp": F.lit(0.03),
+                "_steps": F.lit(0),
+                "_settled": ~usable | exact,
+                "_converged": usable & exact,
+            }
+        )
+
+    def step(self, sums: DataFrame, state: DataFrame) -> DataFrame:
+        """Try the fan of steps in every group, keep the best, tell who has settled."""
+        fan = state.select(*self.fan).withColumns(self.weights).withColumns(self.gram).withColumns(self.moves)
+        found = self.evaluate(sums, fan.select(*self.tried), self.carried)
+        best = found.groupBy(*self.keys).agg(*self.best)
+        return attach(state, best, self.keys).withColumns(self.verdict).withColumns(self.ends).select(*self.next)
+
+    def evaluate(self, sums: DataFrame, tried: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Residual sum, linear parameter and normal equations at the points `_t0`, ... of `tried`.
+
+        Positive parameters are given by their logs. `by` names the columns of `tried` that go through the aggregation.
+        """
+        rows = attach(sums, tried, self.keys, "inner").withColumns(self.derived).withColumns(self.slopes)
+        found = rows.groupBy(*self.keys, *by).agg(*self.sums)
+        return found.select(*self.keys, *by, "_lin", "_sse", "_n", "_size", *self.normal)
+
+    def _evaluation(self) -> None:
+        m, p, c = self.m, self.p, F.col
+        at = dict(zip(m.shape, map(c, self.tries), strict=True))
+        x, n, mean, g = c("x"), c("n"), c("mean"), c("_g")
+        h = {s: F.lit(1e-4) if s in m.positive else F.greatest(F.abs(at[s]), F.lit(1e-3)) * 1e-4 for s in m.shape}
+
+        def curve(**shift: Column) -> Column:
+            moved = {s: at[s] + shift[s] if s in shift else at[s] for s in m.shape}
+            return m.basis(x, {s: F.exp(v) if s in m.positive else v for s, v in moved.items()})
+
+        self.derived, self.slopes = {"_g": curve()}, {}
+        for i, s in enumerate(m.shape):
+            self.derived[f"_up{i}"] = curve(**{s: h[s]})
+            self.derived[f"_dn{i}"] = curve(**{s: -h[s]})
+        for i, s in enumerate(m.shape):
+            up, down = c(f"_up{i}"), c(f"_dn{i}")
+            self.slopes[f"_d{i}"] = (up - down) / (2 * h[s])
+            self.slopes[f"_e{i}{i}"] = (up - 2 * g + down) / (h[s] * h[s])
+            for j in range(i + 1, p):
+                t = m.shape[j]
+                corners = curve(**{s: h[s], t: h[t]}) + curve(**{s: -h[s], t: -h[t]})
+                sides = up + down + c(f"_up{j}") + c(f"_dn{j}")
+                self.slopes[f"_e{i}{j}"] = (corners - sides + 2 * g) / (2 * h[s] * h[t])
+        d = [c(f"_d{i}") for i in range(p)]
+        parts = _linear_part(m, g)
+        self.sums = [
+            parts["_lin"].alias("_lin"),
+            parts["_sse"].alias("_sse"),
+            F.sum(n).alias("_n"),
+            F.sum(n * (mean - g)).alias("_gap"),
+            F.sum(n * g * g).alias("_gg"),
+            F.sum(c("ss") + n * mean * mean).alias("_size"),
+        ]
+        for i in range(p):
+            self.sums += [
+                F.sum(n * d[i]).alias(f"_s{i}"),
+                F.sum(n * d[i] * g).alias(f"_h{i}"),
+                F.sum(n * d[i] * mean).alias(f"_w{i}"),
+            ]
+            for j in range(i, p):
+                e = c(f"_e{i}{j}")
+                self.sums += [
+                    F.sum(n * d[i] * d[j]).alias(f"_q{i}{j}"),
+                    F.sum(n * (mean - g) * e).alias(f"_u{i}{j}"),
+                    F.sum(n * (e if m.kind == "offset" else g * e)).alias(f"_v{i}{j}"),
+                ]
+        new, lin = {}, c("_lin")
+        some = F.when(c("_gg") > 0, c("_gg"))
+        for i in range(p):
+            right = c(f"_w{i}") - c(f"_h{i}")
+            if m.kind == "offset":  # the constant takes the mean out of every column
+                right = right - c(f"_s{i}") * c("_gap") / c("_n")
+            elif m.kind == "scale":  # the factor takes the curve itself out of every column
+                right = lin * (c(f"_w{i}") - c(f"_h{i}") * lin)
+            new[f"_r{i}"] = right
+            for j in range(i, p):
+                q, bend = c(f"_q{i}{j}"), -c(f"_u{i}{j}")
+                if m.kind == "offset":
+                    q = q - c(f"_s{i}") * c(f"_s{j}") / c("_n")
+                    bend = bend + lin * c(f"_v{i}{j}")
+                elif m.kind == "scale":
+                    bend = lin * (bend - (1 - lin) * c(f"_v{i}{j}"))
+                    slack = [c(f"_w{k}") - lin * c(f"_h{k}") for k in (i, j)]
+                    along = [lin * c(f"_h{k}") for k in (i, j)]
+                    bend = bend + (along[0] * slack[1] + slack[0] * along[1] - slack[0] * slack[1]) / some
+                    q = lin * lin * (q - c(f"_h{i}") * c(f"_h{j}") / some)
+                new[f"_a{i}{j}"] = q
+                new[f"_b{i}{j}"] = bend
+        self.normal = [v.alias(k) for k, v in new.items()]
+
+    def _fan(self) -> None:
+        p, c = self.p, F.col
+        rows = [F.struct(F.lit(i).alias("_cand"), *map(F.lit, trial)) for i, trial in enumerate(FAN)]
+        last = [f"_z{i}" for i in range(p)]
+        self.fan = [
+            *map(c, [*self.keys, *self.points, *last, *self.system, "_damp"]),
+            F.inline(F.array(*rows)).alias("_cand", "_way", "_f", "_own"),
+        ]
+        # a parameter without any influence stays where it is
+        self.weights = {f"_k{i}": F.when(c(f"_a{i}{i}") > 0, c(f"_a{i}{i}")).otherwise(F.lit(1.0)) for i in range(p)}
+        self.weights["_damped"] = F.when(c("_own"), c("_damp") * c("_f")).otherwise(c("_f"))
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        bent = F.when(c("_way") == "newton", F.lit(1.0)).otherwise(F.lit(0.0))
+        self.gram = {
+            f"_k{i}{j}": (c(f"_k{i}") * (1 + c("_damped")) if i == j else c(f"_a{i}{j}")) + bent * c(f"_b{i}{j}")
+            for i, j in pairs
+        }
+        solved = solve_symmetric({k: c(f"_k{k[0]}{k[1]}") for k in pairs}, [c(f"_r{i}") for i in range(p)], tolerance=1e-14)
+        self.moves = {
+            f"_m{i}": F.when(c("_way") == "again", c("_f") * c(f"_z{i}")).when(~F.isnan(mv), mv) for i, mv in enumerate(solved)
+        }
+        promise = sum((c(f"_m{i}") * (c(f"_r{i}") + c("_damped") * c(f"_k{i}") * c(f"_m{i}")) for i in range(p)), F.lit(0.0))
+        length = F.greatest(*[F.abs(c(f"_m{i}")) / (F.abs(c(f"_p{i}")) + 1e-6) for i in range(p)], F.lit(0.0))
+        self.tried = [
+            *map(c, [*self.keys, "_cand"]),
+            F.when(c("_own"), c("_f")).alias("_f"),
+            *[(c(f"_p{i}") + F.coalesce(c(f"_m{i}"), F.lit(0.0))).alias(f"_t{i}") for i in range(p)],
+            F.when(c("_way") != "again", promise).alias("_promise"),
+            F.when(c("_m0").isNotNull(), length).alias("_length"),
+        ]
+        self.carried = ["_cand", "_f", "_promise", "_length", *self.tries]
+
+    def _choice(self, tolerance: float) -> None:
+        c = F.col
+        usable = c("_sse").isNotNull() & ~F.isnan("_sse")
+        self.best = [
+            F.min_by(
+                F.struct("_f", "_promise", *self.tries, "_lin", "_sse", *self.system), F.when(usable, F.struct("_sse", "_cand"))
+            ).alias("_b"),
+            F.max(F.when(c("_cand") == FREE, F.struct("_promise", "_length"))).alias("_free"),
+        ]
+        ok = c("_b").isNotNull() & (c("_b._sse") < c("_sse"))
+        small = tolerance * c("_sse")
+        no = F.lit(False)
+        unpromising = F.coalesce(c("_free._promise") <= small, no)
+        gained = c("_ok") & (c("_sse") - c("_b._sse") <= small) & (unpromising | F.coalesce(F.abs(c("_b._promise")) <= small, no))
+        flat = ~c("_ok") & (unpromising | F.coalesce(c("_free._length") <= tolerance, no))
+        exact = c("_ok") & (c("_b._sse") <= NOTHING * c("_size"))
+        self.verdict = {"_ok": F.coalesce(ok, no)}
+        self.ends = {"_end": gained | flat | exact, "_stuck": ~c("_ok") & (c("_damp") > 1e10)}
+        now = {p: F.when(c("_ok"), c(f"_b.{t}")).otherwise(c(p)) for p, t in zip(self.points, self.tries, strict=True)}
+        now |= {
+            f"_z{i}": F.when(c("_ok"), c(f"_b.{t}") - c(f"_p{i}")).otherwise(c(f"_z{i}")) for i, t in enumerate(self.tries)
+        }
+        now |= {k: F.when(c("_ok"), c(f"_b.{k}")).otherwise(c(k)) for k in ["_lin", "_sse", *self.system]}
+        eased = F.greatest(c("_damp") * F.coalesce(c("_b._f"), F.lit(0.3)) * 0.3, F.lit(1e-9))
+        self.next = [
+            *map(c, self.keys),
+            *[v.alias(k) for k, v in now.items()],
+            *map(c, ["_n", "_size", "_first"]),
+            F.when(c("_ok"), eased).otherwise(c("_damp") * 100).alias("_damp"),
+            (c("_steps") + 1).alias("_steps"),
+            (c("_end") | c("_stuck")).alias("_settled"),
+            c("_end").alias("_converged"),
+        ]
 
 
 def grouped_nonlinear(
@@ -271,10 +451,10 @@ def grouped_nonlinear(
     lattice: Mapping[str, tuple[float, float, int]] | None = None,
     steps: int = 0,
 ) -> DataFrame:
-    """Fit a curve model per group: lattice, then `steps` refinements."""
+    """Fit a curve model per group: lattice, then refinement to tolerance in at most `steps` rounds."""
     sums = per_x_sums(df, keys, x, y)
     if steps:
-        sums = cut_lineage(sums)
+        sums = stored(sums)
     start = lattice_fit(sums, keys, model, lattice)
     return refine_fit(sums, start, keys, model, steps) if steps else start
 
@@ -300,12 +480,15 @@ def compare_models(
     y: str,
     curves: Sequence[str] = ("lactin2", "theta_logistic", "briere1", "briere2"),
     lattices: Mapping[str, Mapping[str, tuple[float, float, int]]] | None = None,
-    steps: int = 0,
+    steps: int = MAX_STEPS,
     shift: float = 0.0,
 ) -> DataFrame:
-    """(keys, model, n, sse, aic, best) for polynomial and nonlinear curve families.
+    """(keys, model, n, sse, converged, aic, best) for polynomial and nonlinear curve families.
 
-    Polynomials share one aggregation of the rows, nonlinear models one per-x table.
+    Polynomials share one aggregation of the rows, nonlinear models one per-x table and the
+    rounds of their refinement. `best` is the least AIC among converged fits, so a curve form is
+    not passed over for want of iterations without a word. With `steps` 0 the nonlinear fits
+    are lattice points, `converged` is null for them, and all fits are ranked.
     """
     names = {"quadratic": 2, "cubic": 3}
     stats = scaled_moments(df, keys, x, y, 3)
@@ -322,18 +505,21 @@ def compare_models(
             *keys, "n", F.lit("fractional").alias("model"),
             F.when(slopes[0].isNotNull(), _sse(_explained(slopes))).alias("sse"), F.lit(5).alias("_k"),
         )
-    )
+    ).withColumn("converged", F.col("sse").isNotNull())
     if curves:
-        sums = cut_lineage(per_x_sums(df, keys, x, y))
-        for model in curves:
-            start = lattice_fit(sums, keys, model, (lattices or {}).get(model))
-            fit = refine_fit(sums, start, keys, model, steps) if steps else start
+        sums = stored(per_x_sums(df, keys, x, y))
+        fits = {model: lattice_fit(sums, keys, model, (lattices or {}).get(model)) for model in curves}
+        if steps:
+            fits = refine_fits(sums, fits, keys, steps)
+        for model, fit in fits.items():
             k = len(MODELS[model].shape) + (0 if MODELS[model].kind == "fixed" else 1) + 1
+            converged = F.col("converged") if steps else F.lit(None).cast("boolean")
             table = table.unionByName(
-                fit.select(*keys, "n", F.lit(model).alias("model"), "sse", F.lit(k).alias("_k"))
+                fit.select(*keys, "n", F.lit(model).alias("model"), "sse", F.lit(k).alias("_k"), converged.alias("converged"))
             )
     scored = table.withColumn("aic", aic(F.col("n"), F.col("sse"), F.col("_k"))).drop("_k")
-    best = scored.where(F.col("aic").isNotNull()).groupBy(*keys).agg(
+    ranked = F.col("aic").isNotNull() & F.coalesce(F.col("converged"), F.lit(True))
+    best = scored.where(ranked).groupBy(*keys).agg(
         F.min_by("model", F.struct("aic", "model")).alias("best")
     )
     return attach(scored, best, keys)
