@@ -232,7 +232,7 @@ def _refined(state: DataFrame, keys: Sequence[str], m: CurveModel) -> DataFrame:
     improved = F.col("_sse") < F.col("_first") * (1 - 1e-12)
     return state.select(
         *keys,
-        *[(F.exp(f"_p{i}") if s in m.positive else F.col(f"_p{i}")).alias(s) for i, s in enumerate(m.shape)],
+        *[(_unlog(F.col(f"_p{i}")) if s in m.positive else F.col(f"_p{i}")).alias(s) for i, s in enumerate(m.shape)],
         *linear,
         F.col("_n").alias("n"),
         F.col("_sse").alias("sse"),
@@ -242,6 +242,11 @@ def _refined(state: DataFrame, keys: Sequence[str], m: CurveModel) -> DataFrame:
     )
 
 
+def _unlog(v: Column) -> Column:
+    """Back from the log scale; bounded, so that nothing is divided by 0."""
+    return F.exp(F.least(F.greatest(v, F.lit(-300.0)), F.lit(300.0)))
+
+
 def _system_names(p: int) -> list[str]:
     """Gauss-Newton matrix, what second derivatives add to it, and right side."""
     pairs = [f"{i}{j}" for i in range(p) for j in range(i, p)]
@@ -313,7 +318,7 @@ class _Rounds:
 
         def curve(**shift: Column) -> Column:
             moved = {s: at[s] + shift[s] if s in shift else at[s] for s in m.shape}
-            return m.basis(x, {s: F.exp(v) if s in m.positive else v for s, v in moved.items()})
+            return m.basis(x, {s: _unlog(v) if s in m.positive else v for s, v in moved.items()})
 
         self.derived, self.slopes = {"_g": curve()}, {}
         for i, s in enumerate(m.shape):

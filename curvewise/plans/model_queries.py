@@ -399,7 +399,7 @@ def _lattice_rounded(out):
 
 
 #: These tables have no such curve in them, so many groups wander along ridges; `converged` says which.
-ROUNDS = 20
+ROUNDS = 12
 
 
 @query("m20_refined")
