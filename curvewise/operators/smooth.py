@@ -56,26 +56,30 @@ def grouped_smooth(
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.triu_indices(p)
         for pdf in batches:
-            found = []
-            for n, xx, xy, yy in zip(pdf["n"], pdf["xx"], pdf["xy"], pdf["yy"], strict=True):
-                gram = np.zeros((p, p))
-                gram[at] = xx
-                gram = gram + gram.T - np.diag(np.diag(gram))
-                xy = np.asarray(xy, dtype=float)
-                best = (np.nan, np.nan, np.nan, np.nan, [np.nan] * p)
-                for lam in tried:
-                    inverse = np.linalg.pinv(gram + lam * penalty, hermitian=True)
-                    beta = inverse @ xy
-                    sse = max(float(yy - 2 * beta @ xy + beta @ gram @ beta), 0.0)
-                    edf = float(np.trace(inverse @ gram))
-                    if n - edf > 1e-6:
-                        gcv = n * sse / (n - edf) ** 2
-                        if np.isnan(best[2]) or gcv < best[2]:
-                            best = (lam, edf, gcv, sse, beta.tolist())
-                found.append(best)
+            m = len(pdf)
+            gram = np.zeros((m, p, p))
+            gram[:, at[0], at[1]] = np.array(pdf["xx"].tolist(), float).reshape(m, -1)
+            gram[:, at[1], at[0]] = gram[:, at[0], at[1]]
+            xy = np.array(pdf["xy"].tolist(), float).reshape(m, p)
+            n, yy = pdf["n"].to_numpy(float), pdf["yy"].to_numpy(float)
+            found = {c: np.full(m, np.nan) for c in ("lambda", "edf", "gcv", "sse")}
+            coefs = np.full((m, p), np.nan)
+            for lam in tried if m else ():
+                inverse = np.linalg.pinv(gram + lam * penalty, hermitian=True)
+                beta = np.einsum("gij,gj->gi", inverse, xy)
+                sse = yy - 2 * (beta * xy).sum(1) + np.einsum("gi,gij,gj->g", beta, gram, beta)
+                sse = np.maximum(sse, 0.0)
+                edf = np.einsum("gij,gji->g", inverse, gram)
+                free = n - edf
+                gcv = n * sse / np.where(free > 1e-6, free, np.nan) ** 2
+                better = (gcv < found["gcv"]) | (np.isnan(found["gcv"]) & ~np.isnan(gcv))
+                for c, v in (("lambda", np.full(m, lam)), ("edf", edf), ("gcv", gcv), ("sse", sse)):
+                    found[c][better] = v[better]
+                coefs[better] = beta[better]
             out = pdf[[*keys, "n"]].copy()
-            for i, name in enumerate(["lambda", "edf", "gcv", "sse", "coefs"]):
-                out[name] = [f[i] for f in found]
+            for c, v in found.items():
+                out[c] = v
+            out["coefs"] = coefs.tolist()
             yield out
 
     kinds = dict(stats.dtypes)

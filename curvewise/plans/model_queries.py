@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curvewise.operators import fitting, linear, mixed, nonlinear, smooth
+from curvewise.operators import fitting, hierarchical, linear, mixed, nonlinear, smooth
 from curvewise.operators.curves import peak_and_area
 from curvewise.operators.joining import sequence_points
 from curvewise.operators.summarising import mean_se
@@ -532,6 +532,18 @@ def m24_offsets(spark, d):
     return rounded(offsets, 5)
 
 
+@query("m24_joint")
+def m24_joint(spark, d):
+    """Common and group curves of one fit, a penalty of its own for each group."""
+    fit = hierarchical.joint_smooth(obs(spark, d), CURVE, "x", "y", KNOTS, "separate")
+    return rounded(hierarchical.joint_points(fit, grid()), 5)
+
+
+@query("m24_wiggliness")
+def m24_wiggliness(spark, d):
+    return rounded(hierarchical.compare_wiggliness(obs(spark, d), CURVE, "x", "y", KNOTS), 4)
+
+
 def _loess_sql(span: str) -> str:
     det, solutions = solve_sql(3, "p", "h", "1e-12")
     return f"""{XSUMS}, {GRID},
