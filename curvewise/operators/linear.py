@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from curvewise.functions.tails import f_tail, t_quantile, t_tail
 
-MAX_COLUMNS = 500
-MAX_CELLS = 100_000
-
 
 def crossed(*variables: str, order: int | None = None) -> list[tuple[str, ...]]:
     """Main effects and interactions up to `order` (all of them by default)."""
@@ -123,38 +120,21 @@ def build_design(
 ) -> Design:
     """Find factor levels and covariate centres in one aggregation over the rows.
 
-    A covariate is given by its degree, or by (degree, centre, scale) to fix them.
-
-    The aggregation has one row per factor cell, so its size is the product of the
-    level counts; more than MAX_CELLS of them is an error, as such a model has no
-    solvable p x p system either.
+    A covariate is given by its degree, or by (degree, centre, scale) to fix them. Only the
+    levels of each factor come to the driver, which has a model column for each of them
+    anyway; factors with more levels than a system of equations can have columns are absorbed
+    instead (`absorbing`).
     """
     numeric = dict(numeric or {})
     given = dict(levels or {})
-    cells = df.groupBy(*factors).agg(
-        *[F.avg(v).alias(f"_m_{v}") for v in numeric],
-        *[F.var_pop(v).alias(f"_v_{v}") for v in numeric],
-        F.count(F.lit(1)).alias("_n"),
-    )
-    rows = cells.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} factor cells")
-    found = {f: tuple(given.get(f) or sorted({r[f] for r in rows})) for f in factors}
-    scales = {}
-    for v, degree in numeric.items():
-        if isinstance(degree, tuple):
-            scales[v] = degree
-            continue
-        n = np.array([r["_n"] for r in rows], dtype=float)
-        m = np.array([r[f"_m_{v}"] for r in rows], dtype=float)
-        s = np.array([r[f"_v_{v}"] for r in rows], dtype=float)
-        centre = float((n * m).sum() / n.sum())
-        spread = float(np.sqrt((n * (s + (m - centre) ** 2)).sum() / n.sum()))
-        scales[v] = (degree, centre, spread or 1.0)
-    design = Design(found, scales, tuple(tuple(t) for t in terms))
-    if len(design.columns()) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} model columns")
-    return design
+    searched = [f for f in factors if not given.get(f)]
+    free = [v for v, degree in numeric.items() if not isinstance(degree, tuple)]
+    parts = [F.collect_set(f).alias(f"_l_{f}") for f in searched]
+    parts += [e for v in free for e in (F.avg(v).alias(f"_m_{v}"), F.stddev_pop(v).alias(f"_s_{v}"))]
+    row = df.agg(*parts).first() if parts else {}
+    found = {f: tuple(given.get(f) or sorted(row[f"_l_{f}"])) for f in factors}
+    scales = {v: (numeric[v], float(row[f"_m_{v}"] or 0.0), float(row[f"_s_{v}"] or 0.0) or 1.0) if v in free else numeric[v] for v in numeric}
+    return Design(found, scales, tuple(tuple(t) for t in terms))
 
 
 def cell_moments(
@@ -196,14 +176,28 @@ def unpack_upper(values: Sequence[float], m: int) -> np.ndarray:
     return out + out.T - np.diag(np.diag(out))
 
 
-def cell_system(design: Design, row: Mapping, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """X'X, X'Y and Y'Y of one factor cell."""
-    a = design.cell_map(row)
-    return (
-        a @ unpack_upper(row["mm"], m) @ a.T,
-        a @ np.asarray(row["my"], dtype=float).reshape(m, k),
-        unpack_upper(row["yy"], k),
-    )
+def cell_systems(design: Design, pdf: pd.DataFrame, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X'X, X'Y and Y'Y summed over the factor cells of a batch."""
+    cols, monomials = design.columns(), design.powers()
+    on = np.ones((len(pdf), len(cols)))
+    for i, (_, levels, _) in enumerate(cols):
+        for v, lev in levels.items():
+            on[:, i] *= (pdf[v] == lev).to_numpy(dtype=float)
+    part = np.array([monomials.index({v: power.get(v, 0) for v in design.numeric}) for _, _, power in cols])
+    mm = np.zeros((len(pdf), m, m))
+    upper = np.triu_indices(m)
+    mm[:, upper[0], upper[1]] = np.array(pdf["mm"].tolist(), float).reshape(len(pdf), -1)
+    mm[:, upper[1], upper[0]] = mm[:, upper[0], upper[1]]
+    my = np.array(pdf["my"].tolist(), float).reshape(len(pdf), m, k)
+    yy = unpack_upper(np.array(pdf["yy"].tolist(), float).reshape(len(pdf), -1).sum(axis=0), k)
+    xtx, xty = np.zeros((len(cols), len(cols))), np.zeros((len(cols), k))
+    for a in range(m):
+        mine = np.flatnonzero(part == a)
+        xty[mine] = on[:, mine].T @ my[:, a]
+        for b in range(m):
+            other = np.flatnonzero(part == b)
+            xtx[np.ix_(mine, other)] = on[:, mine].T @ (mm[:, a, b, None] * on[:, other])
+    return xtx, xty, yy
 
 
 @dataclass
@@ -274,9 +268,9 @@ def fit_linear(
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xtx, xty, yty, n = np.zeros((p, p)), np.zeros((p, k)), np.zeros((k, k)), 0
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                a, b, c = cell_system(design, row, m, k)
-                xtx, xty, yty, n = xtx + a, xty + b, yty + c, n + row["n"]
+            if len(pdf):
+                a, b, c = cell_systems(design, pdf, m, k)
+                xtx, xty, yty, n = xtx + a, xty + b, yty + c, n + pdf["n"].sum()
         flat = np.concatenate([xtx.ravel(), xty.ravel(), yty.ravel(), [n]])
         yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 

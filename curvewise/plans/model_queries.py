@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curvewise.operators import fitting, hierarchical, linear, mixed, nonlinear, smooth
+from curvewise.operators import absorbing, fitting, hierarchical, linear, mixed, nonlinear, smooth
 from curvewise.operators.curves import peak_and_area
 from curvewise.operators.joining import sequence_points
 from curvewise.operators.summarising import mean_se
@@ -22,6 +22,7 @@ from curvewise.plans.base import (
     query,
     rounded,
     solve_sql,
+    table,
 )
 
 COEFS = "round(b0, 5) AS b0, round(b1, 5) AS b1"
@@ -532,6 +533,24 @@ def m24_offsets(spark, d):
     return rounded(offsets, 5)
 
 
+def _sales(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select("l_suppkey", "l_partkey", "l_quantity", "l_discount", F.log("l_extendedprice").alias("y"))
+
+
+@query("m05_absorbed")
+def m05_absorbed(spark, d):
+    """Supplier and part effects, with slopes of quantity and discount, all levels absorbed."""
+    fit = absorbing.fit_absorbed(_sales(spark, d), "y", ["l_partkey", "l_suppkey"], ["l_quantity", "l_discount"])
+    return rounded(absorbing.tidy_absorbed(spark, fit), 6)
+
+
+@query("m09_absorbed")
+def m09_absorbed(spark, d):
+    """Sequential table of parts, then suppliers."""
+    return rounded(absorbing.anova_absorbed(_sales(spark, d), "y", ["l_partkey", "l_suppkey"], ["l_quantity"]), 4)
+
+
 @query("m24_joint")
 def m24_joint(spark, d):
     """Common and group curves of one fit, a penalty of its own for each group."""
