@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000
+#: Rows of the smaller table that one row of a grid meets at a time.
+BUCKET_ROWS = 1000
 
 
 def _matches(pairs: Sequence[tuple[str, str]], null_safe: bool) -> Column:
@@ -71,8 +72,26 @@ def spread_out(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(n, *by)
 
 
-def levels_array(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Column:
-    """Sorted levels of a factor as a scalar subquery.
+def beside_all(df: DataFrame, few: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Every row of `df` next to every row of `few`, of which there may be any number.
+
+    The rows of `few` are dealt into buckets of about `bucket_rows` and each bucket is packed
+    into one row. A row of `df` is repeated with the number of every bucket, joined to the
+    buckets by number and unpacked there, so that no task holds more than a bucket at a time
+    beside its rows. Both tables must give the same rows each time they are computed.
+    """
+    size = few.agg(F.greatest(F.ceil(F.count(F.lit(1)) / bucket_rows), F.lit(1)).alias("n")).scalar()
+    packed = (
+        few.select(F.pmod(F.xxhash64(*few.columns), size).alias("_bucket"), F.struct(*few.columns).alias("_row"))
+        .groupBy("_bucket")
+        .agg(F.collect_list("_row").alias("_rows"))
+    )
+    rows = df.withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1)))
+    return rows.join(packed, "_bucket").select(*df.columns, F.inline("_rows").alias(*few.columns))
+
+
+def levels_array(df: DataFrame, col: str, max_levels: int) -> Column:
+    """Sorted levels of a factor as a scalar subquery, for callers that need them as one value.
 
     At most `max_levels + 1` values reach the array; more levels than that is an
     error, since such a column is no factor but belongs to the rows of a table.
@@ -116,13 +135,11 @@ def prediction_grid(
 ) -> DataFrame:
     """Every x point for every unit and every level of every factor.
 
-    Units may be many and stay rows of a distributed table. Factor levels are few
-    and are attached to each unit as arrays, so the grid is made by explode.
+    Units and levels may be many: both stay rows of distributed tables.
     """
     grid = df.select(unit).where(F.col(unit).isNotNull()).distinct()
     for f in factors:
-        grid = grid.withColumn("_levels", levels_array(df, f))
-        grid = grid.withColumn(f, F.explode("_levels")).drop("_levels")
+        grid = beside_all(grid, df.select(f).where(F.col(f).isNotNull()).distinct())
     return grid.withColumn(x, F.explode(sequence_points(low, high, n)))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from curvewise.functions.tails import chi2_tail, f_tail
 from curvewise.operators.fitting import fitted, grouped_poly
-from curvewise.operators.joining import attach, sequence_points, spread_out
+from curvewise.operators.joining import attach, beside_all, sequence_points, spread_out
 from curvewise.operators.linear import (
     Design,
     _columns_of,
@@ -106,23 +106,14 @@ def fit_mixed_moments(
     return MomentFit(list(panels), unit, degree, coefs, variance, offsets)
 
 
-def predict_mixed_moments(fit: MomentFit, low: float, high: float, n: int, max_panels: int = 10_000) -> DataFrame:
+def predict_mixed_moments(fit: MomentFit, low: float, high: float, n: int) -> DataFrame:
     """(unit, panels, x, fixed_pred, unit_pred) on a grid.
 
-    Panels are few; their coefficients are attached to every unit as one array of
-    checked length and exploded, then the x grid is.
+    Units and panels may be many; each unit meets the panels in buckets.
     """
     b = [f"b{i}" for i in range(fit.degree + 1)]
-    few = fit.coefs.select(*fit.panels, *b).limit(max_panels + 1)
-    packed = few.agg(
-        F.when(
-            F.count(F.lit(1)) <= max_panels, F.sort_array(F.collect_list(F.struct(*fit.panels, *b)))
-        )
-        .otherwise(F.raise_error(F.lit(f"more than {max_panels} panels")))
-        .alias("c")
-    ).scalar()
-    curves = fit.offsets.select(fit.unit, "offset").withColumn("_c", packed)
-    points = curves.select(fit.unit, "offset", F.inline("_c")).withColumn(
+    curves = beside_all(fit.offsets.select(fit.unit, "offset"), fit.coefs.select(*fit.panels, *b))
+    points = curves.withColumn(
         "x", F.explode(sequence_points(low, high, n))
     )
     fixed = fitted(F.col("x"), fit.degree)

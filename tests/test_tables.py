@@ -189,3 +189,23 @@ def test_net_reproduction_of_an_empty_product_is_zero(spark):
     assert got == {"u": 2.0, "v": 0.0}
     cum = traits.net_reproduction(df, ["k"], "stage", ["B1", "B2", "B3"], "lx", "mx", cumulative=True)
     assert {tuple(r) for r in cum.collect()} == {("u", 2.0, 2.0, 11.0), ("v", 0.0, 0.0, 0.0)}
+
+
+def test_grid_of_more_levels_than_a_bucket(spark):
+    rows = [(u, f"f{i}", i) for u in (1, 2, None) for i in range(57)] + [(1, None, 0)]
+    df = spark.createDataFrame(rows, "u int, f string, x int")
+    pairs = joining.beside_all(df.select("u").where("u IS NOT NULL").distinct(), df.select("f", "x").where("f IS NOT NULL").distinct(), 10)
+    assert sorted(map(tuple, pairs.collect())) == sorted((u, f"f{i}", i) for u in (1, 2) for i in range(57))
+    none = joining.beside_all(df.select("u"), df.select("f").where("f = 'nowhere'"))
+    assert none.count() == 0
+    many = spark.range(12_000).select(F.lit(1).alias("u"), F.col("id").cast("string").alias("f"), F.lit(0.5).alias("x"))
+    assert joining.prediction_grid(many, "u", ["f"], "x", 0, 1, 2).count() == 24_000
+
+
+def test_profile_counts_each_column_once(spark):
+    df = spark.createDataFrame([(1, None, 0.0), (1, "a", -0.0), (2, "b", float("nan")), (2, "b", float("nan"))], "i int, s string, d double")
+    got = {r.column: (r.type, r.n, r.n_null, r.n_distinct) for r in inspecting.profile(df).collect()}
+    assert got == {"i": ("int", 4, 0, 2), "s": ("string", 4, 1, 2), "d": ("double", 4, 0, 2)}
+    assert {(r.n, r.n_null, r.n_distinct) for r in inspecting.profile(df.limit(0)).collect()} == {(0, 0, 0)}
+    plan = inspecting.profile(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
