@@ -27,7 +27,7 @@ from curvewise.operators.linear import (
     build_design,
     cell_moments,
 )
-from curvewise.session import cut_lineage
+from curvewise.session import cut_lineage, stored
 
 # --- moment form -----------------------------------------------------------
 
@@ -48,11 +48,12 @@ def one_way_moments(df: DataFrame, unit: str, y: str) -> tuple[DataFrame, DataFr
     """Variance components of a one-way layout, and the shrunken unit offsets.
 
     Between and within mean squares give sigma2 and tau2 (not below zero); each unit
-    mean is pulled to the grand mean by n / (n + sigma2 / tau2).
+    mean is pulled to the grand mean by n / (n + sigma2 / tau2). The rows are summed once; the
+    table of units is written and everything else is taken from it.
     """
     rows = df.select(unit, F.col(y).cast("double").alias("_y")).dropna("any")
-    units = rows.groupBy(unit).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), F.var_pop("_y").alias("_v")
+    units = stored(
+        rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), F.var_pop("_y").alias("_v"))
     )
     n, mean = F.col("n"), F.col("mean")
     sums = units.agg(
@@ -98,7 +99,7 @@ def fit_mixed_moments(
     df: DataFrame, panels: Sequence[str], unit: str, x: str, y: str, degree: int = 2
 ) -> MomentFit:
     """Polynomial per panel by least squares, unit offsets from its residuals."""
-    coefs = grouped_poly(df, panels, x, y, degree)
+    coefs = stored(grouped_poly(df, panels, x, y, degree))
     table = coefs.select(*panels, *[f"b{i}" for i in range(degree + 1)])
     rows = attach(df.select(*panels, unit, x, y), table, panels)
     resid = rows.withColumn("_r", F.col(y) - fitted(F.col(x).cast("double"), degree))
@@ -113,9 +114,7 @@ def predict_mixed_moments(fit: MomentFit, low: float, high: float, n: int) -> Da
     """
     b = [f"b{i}" for i in range(fit.degree + 1)]
     curves = beside_all(fit.offsets.select(fit.unit, "offset"), fit.coefs.select(*fit.panels, *b))
-    points = curves.withColumn(
-        "x", F.explode(sequence_points(low, high, n))
-    )
+    points = curves.withColumn("x", F.explode(sequence_points(low, high, n)))
     fixed = fitted(F.col("x"), fit.degree)
     return points.select(
         fit.unit, *fit.panels, "x", fixed.alias("fixed_pred"), (fixed + F.col("offset")).alias("unit_pred")
