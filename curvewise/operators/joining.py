@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curvewise.session import stored
+
 #: Rows of the smaller table that one row of a grid meets at a time.
 BUCKET_ROWS = 1000
 
@@ -135,11 +137,12 @@ def prediction_grid(
 ) -> DataFrame:
     """Every x point for every unit and every level of every factor.
 
-    Units and levels may be many: both stay rows of distributed tables.
+    Units and levels may be many: both stay rows of distributed tables. The levels are
+    written once, since they are counted before they are dealt out.
     """
     grid = df.select(unit).where(F.col(unit).isNotNull()).distinct()
     for f in factors:
-        grid = beside_all(grid, df.select(f).where(F.col(f).isNotNull()).distinct())
+        grid = beside_all(grid, stored(df.select(f).where(F.col(f).isNotNull()).distinct()))
     return grid.withColumn(x, F.explode(sequence_points(low, high, n)))
 
 
