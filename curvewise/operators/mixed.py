@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -141,6 +142,7 @@ class MixedFit:
     beta: np.ndarray
     beta_cov: np.ndarray
     converged: bool
+    factor_types: Mapping[str, str]
 
     @property
     def covariance(self) -> np.ndarray:
@@ -392,7 +394,7 @@ def fit_mixed(
     loglik, sigma2, beta, xvx = _profile(_sums(units, theta[None], p, q)[0], n, p)
     return MixedFit(
         design, unit, picked, names, units, n, n_units, theta, loglik, sigma2,
-        beta, sigma2 * np.linalg.pinv(xvx, hermitian=True), converged,
+        beta, sigma2 * np.linalg.pinv(xvx, hermitian=True), bool(converged), {v: dict(rows.dtypes)[v] for v in factors},
     )
 
 
@@ -436,24 +438,44 @@ def predict_mixed(fit: MixedFit, grid: DataFrame) -> DataFrame:
     )
 
 
+def _cell_coefficients(fit: MixedFit, x: str, cell: Mapping[str, object]) -> list[float]:
+    """Constant, slope and bend of the fixed quadratic in x (standardised) in one factor cell."""
+    coefs = [0.0, 0.0, 0.0]
+    for (_, on, power), b in zip(fit.design.columns(), fit.beta, strict=True):
+        if all(cell[v] == lev for v, lev in on.items()):
+            coefs[power.get(x, 0)] += float(b)
+    return coefs
+
+
 def unit_vertices(fit: MixedFit, x: str, factors_at: Mapping[str, object]) -> DataFrame:
-    """Vertex form (a, h, k) of each unit's predicted quadratic in one factor cell.
+    """Vertex form (a, h, k) of each unit's predicted quadratic in one factor cell."""
+    found = cell_vertices(fit, x)
+    for v, lev in factors_at.items():
+        found = found.where(F.col(v) == F.lit(lev))
+    return found.select(fit.unit, "a", "h", "k")
+
 
-    Stands in for a mixed model written in vertex form, which is the same curve.
+def cell_vertices(fit: MixedFit, x: str) -> DataFrame:
+    """(unit, factors, a, h, k): vertex form of each unit's predicted quadratic in every factor cell.
+
+    Stands in for a mixed model written in vertex form, which is the same curve. A curve that is
+    a line has null h and k.
     """
-    cols, monomials = fit.design.columns(), fit.design.powers()
+    monomials, factors = fit.design.powers(), list(fit.design.factors)
     _, centre, scale = fit.design.numeric[x]
-    coefs = [0.0, 0.0, 0.0]
-    for (_, on, power), b in zip(cols, fit.beta, strict=True):
-        if all(factors_at[v] == lev for v, lev in on.items()):
-            coefs[power.get(x, 0)] += float(b)
-    c = [F.lit(v) for v in coefs]
+    spark, types = fit.units.sparkSession, fit.factor_types
+    cells = [dict(zip(factors, levels, strict=True)) for levels in product(*fit.design.factors.values())]
+    schema = ", ".join([*(f"`{v}` {types[v]}" for v in factors), "_c0 double, _c1 double, _c2 double"])
+    table = spark.createDataFrame([(*cell.values(), *_cell_coefficients(fit, x, cell)) for cell in cells], schema)
+    rows = beside_all(unit_effects(fit), table)
+    c = [F.col(f"_c{d}") for d in range(3)]
     for i, at in enumerate(fit.random):
         d = monomials[at].get(x, 0)
         c[d] = c[d] + F.col(f"u{i}")
     bend = F.when(c[2] != 0, c[2])
-    return unit_effects(fit).select(
+    return rows.select(
         fit.unit,
+        *factors,
         (c[2] / F.lit(scale * scale)).alias("a"),
         (F.lit(centre) - F.lit(scale) * c[1] / (2 * bend)).alias("h"),
         (c[0] - c[1] * c[1] / (4 * bend)).alias("k"),
@@ -461,18 +483,18 @@ def unit_vertices(fit: MixedFit, x: str, factors_at: Mapping[str, object]) -> Da
 
 
 def fixed_effects(spark, fit: MixedFit) -> DataFrame:
-    """(term, estimate, std_error, z)."""
+    """(term, estimate, std_error, statistic, converged)."""
     se = np.sqrt(np.diag(fit.beta_cov))
     rows = [
-        (name, float(b), float(s), float(b / s))
+        (name, float(b), float(s), float(b / s), fit.converged)
         for name, b, s in zip(fit.design.names(), fit.beta, se, strict=True)
     ]
-    return _table(spark, rows, "term string, estimate double, std_error double, statistic double")
+    return _table(spark, rows, "term string, estimate double, std_error double, statistic double, converged boolean")
 
 
 def variance_table(spark, fit: MixedFit) -> DataFrame:
-    """(component, value): log-likelihood, sigma2 and the random covariance."""
-    rows = [("loglik", fit.loglik), ("sigma2", fit.sigma2), ("singular", float(fit.singular))]
+    """(component, value): log-likelihood, sigma2, the random covariance, and whether the fit is singular and has converged (0 or 1)."""
+    rows = [("loglik", fit.loglik), ("sigma2", fit.sigma2), ("singular", float(fit.singular)), ("converged", float(fit.converged))]
     cov = fit.covariance
     for i, a in enumerate(fit.random_names):
         for j in range(i + 1):
@@ -484,9 +506,11 @@ def likelihood_ratio(spark, smaller: MixedFit, larger: MixedFit) -> DataFrame:
     """Test of the random terms that only the larger fit has (same fixed part)."""
     df = len(larger.theta) - len(smaller.theta)
     chi2 = max(2 * (larger.loglik - smaller.loglik), 0.0)
-    rows = [(smaller.loglik, larger.loglik, df, chi2, chi2_tail(chi2, df))]
+    rows = [(smaller.loglik, larger.loglik, df, chi2, chi2_tail(chi2, df), smaller.converged and larger.converged)]
     return _table(
-        spark, rows, "loglik_small double, loglik_large double, df int, chi2 double, p_value double"
+        spark,
+        rows,
+        "loglik_small double, loglik_large double, df int, chi2 double, p_value double, converged boolean",
     )
 
 
@@ -515,5 +539,7 @@ def wald_tests(spark, fit: MixedFit) -> DataFrame:
         else:
             den = fit.n - p - (fit.n_units - 1) * len(fit.random)
         den = max(den, 1)
-        rows.append((":".join(term), len(own), den, f, f_tail(f, len(own), den)))
-    return _table(spark, rows, "term string, num_df int, den_df int, f_value double, p_value double")
+        rows.append((":".join(term), len(own), den, f, f_tail(f, len(own), den), fit.converged))
+    return _table(
+        spark, rows, "term string, num_df int, den_df int, f_value double, p_value double, converged boolean"
+    )

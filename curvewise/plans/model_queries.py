@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curvewise.operators import absorbing, fitting, hierarchical, linear, mixed, nonlinear, smooth
 from curvewise.operators.curves import peak_and_area
-from curvewise.operators.joining import sequence_points
+from curvewise.operators.joining import prediction_grid, sequence_points
 from curvewise.operators.summarising import mean_se
 from curvewise.plans.base import (
     CURVE,
@@ -313,6 +313,14 @@ def m15(spark, d):
     return rounded(mixed.predict_mixed_moments(moments(spark, d), LOW, HIGH, POINTS))
 
 
+@query("m15_curves")
+def m15_curves(spark, d):
+    """Every supplier's own curve, and that of its cell, from the random-curve fit."""
+    rows = obs(spark, d)
+    points = prediction_grid(rows, "unit", PANEL, "x", LOW, HIGH, POINTS)
+    return rounded(mixed.predict_mixed(_reml(spark, d, CURVES), points), 4)
+
+
 @query(
     "m16_ranef",
     MOMENTS + 'SELECT unit, n, round(mean, 6) AS mean, round(shrink, 6) AS shrink,'
@@ -611,5 +619,5 @@ def m27(spark, d):
 
 @query("m28_vertices")
 def m28(spark, d):
-    fit = _reml(spark, d, CURVES)
-    return rounded(mixed.unit_vertices(fit, "x", {"treatment": "O", "regime": "settled"}), 4)
+    """Vertices of every supplier's curve in all four cells."""
+    return rounded(mixed.cell_vertices(_reml(spark, d, CURVES), "x"), 4)

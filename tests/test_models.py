@@ -366,3 +366,24 @@ def test_null_keys_keep_their_curves(spark):
     assert {r.k for r in curves.exclude_curves(both, edges, ["k"]).collect()} == {"c"}
     lines = plotting.smooth_lines(both, ["k"], "x", "fit", 2, 5)
     assert {(r.k, r["count"]) for r in lines.groupBy("k").count().collect()} == {("c", 5), (None, 5)}
+
+
+def test_vertices_of_random_curves_in_every_cell(spark, trial):
+    _, df = trial
+    fit = mixed.fit_mixed(
+        df, "y", linear.crossed("x", "t", "e", order=2), "unit", ["t", "e"], {"x": 2}, random=[{}, {"x": 1}]
+    )
+    rows = mixed.cell_vertices(fit, "x").collect()
+    cells = [(t, e) for t in fit.design.factors["t"] for e in fit.design.factors["e"]]
+    units = {r.unit for r in rows}
+    assert len(rows) == len(units) * len(cells) == fit.n_units * len(cells)
+    grid = spark.createDataFrame([(u, t, e, x) for u in units for t, e in cells for x in (14, 27)], "unit string, t string, e string, x int")
+    curve = {(r.unit, r.t, r.e): (r.a, r.h, r.k) for r in rows}
+    for r in mixed.predict_mixed(fit, grid.select("unit", "t", F.col("e").cast(df.schema["e"].dataType).alias("e"), "x")).collect():
+        a, h, k = next(v for key, v in curve.items() if tuple(map(str, key)) == (r.unit, r.t, str(r.e)))
+        assert a * (r.x - h) ** 2 + k == pytest.approx(r.unit_pred, rel=1e-8)
+    t, e = cells[-1]
+    one = {r.unit: (r.a, r.h, r.k) for r in mixed.unit_vertices(fit, "x", {"t": t, "e": e}).collect()}
+    assert one == {u: curve[u, t, e] for u in units}
+    values = {r.component: r.value for r in mixed.variance_table(spark, fit).collect()}
+    assert values["converged"] == float(fit.converged)
