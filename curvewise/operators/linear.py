@@ -380,18 +380,20 @@ def predict_linear(fit: LinearFit, grid: DataFrame, level: float | None = None)
         terms = zip(fit.design.column_expressions(), fit.beta[:, 0], strict=True)
         value = sum((e * F.lit(float(b)) for e, b in terms), F.lit(0.0))
         return grid.withColumn("fit", value)
-    beta, cov, width = fit.beta[:, 0], fit.covariance(), t_quantile(level, fit.df_resid)
-    design = fit.design
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = design.matrix(pdf)
-            value = (x * beta).sum(axis=1)
-            se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, cov, x), 0.0))
-            yield pdf.assign(fit=value, se=se, lower=value - width * se, upper=value + width * se)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in grid.dtypes)
-    return grid.mapInPandas(add, f"{schema}, fit double, se double, lower double, upper double")
+    width = F.lit(t_quantile(level, fit.df_resid))
+    values, axes = np.linalg.eigh(fit.covariance())
+    known = values > 0
+    roots = (axes[:, known] * np.sqrt(values[known])).T  # the variance is the squared length of roots times the design row
+
+    def dot(row: Column, other: Column) -> Column:
+        return F.aggregate(F.zip_with(row, other, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+
+    vectors = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in roots])
+    beta = F.array(*[F.lit(float(b)) for b in fit.beta[:, 0]])
+    parts = F.transform(vectors, lambda row: dot(row, F.col("_design")))
+    rows = grid.withColumn("_design", F.array(*fit.design.column_expressions()))
+    rows = rows.withColumns({"fit": dot(beta, F.col("_design")), "se": F.sqrt(dot(parts, parts))}).drop("_design")
+    return rows.withColumns({"lower": F.col("fit") - width * F.col("se"), "upper": F.col("fit") + width * F.col("se")})
 
 
 def augment_linear(fit: LinearFit, df: DataFrame) -> DataFrame:
