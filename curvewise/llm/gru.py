@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 Params = dict[str, np.ndarray]
+#: States of one class that are multiplied together.
+BLOCK = 32
 
 
 def new_params(log_p: np.ndarray, hidden: int, width: int) -> Params:
@@ -38,89 +40,152 @@ def new_params(log_p: np.ndarray, hidden: int, width: int) -> Params:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _shares(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax over the last axis, and the log share of each picked entry.
+
+    Numbers are shifted by the largest of their row only where the range of floats asks for it.
+    """
+    ones = np.ones(x.shape[-1], x.dtype)
+    chosen = np.take_along_axis(x, pick[..., None], -1)[..., 0]
+    with np.errstate(over="ignore"):
+        shares = np.exp(x)
+    sums = shares @ ones
+    if not (sums.max() < 1e30 and sums.min() > 1e-20):
+        top = x.max(axis=-1)
+        shares = np.exp(x - top[..., None])
+        sums = shares @ ones
+        chosen = chosen - top
+    shares /= sums[..., None]
+    return shares, chosen - np.log(sums)
+
+
+def _blocks(group: np.ndarray, classes: int, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by class in blocks of `size`: row numbers (blocks x size) and the class of each block.
+    A class begins a new block; places that are left over hold the number after the last row."""
+    order = np.argsort(group, kind="stable")
+    counts = np.bincount(group, minlength=classes)
+    blocks = -(-counts // size)
+    first_row = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    first_place = np.concatenate([[0], np.cumsum(blocks)[:-1]]) * size
+    places = np.full(int(blocks.sum()) * size, len(group))
+    sorted_group = group[order]
+    places[first_place[sorted_group] + np.arange(len(group)) - first_row[sorted_group]] = order
+    return places.reshape(-1, size), np.repeat(np.arange(classes), blocks)
 
 
 def output_log_p(p: Params, h: np.ndarray, target: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target after each state; with `grads`, adds the gradients of the
     summed negative log likelihood and returns that of the states too."""
-    width = p["word_b"].shape[1]
+    width, classes = p["word_b"].shape[1], len(p["class_b"])
     group, inside = target // width, target % width
-    rows = np.arange(len(h))
-    logs = _log_softmax(h @ p["class_w"] + p["class_b"])
-    out = logs[rows, group].astype(np.float64)
+    share, logs = _shares(h @ p["class_w"] + p["class_b"], group)
+    out = logs.astype(np.float64)
     dh = None
     if grads is not None:
-        d = np.exp(logs)
-        d[rows, group] -= 1
-        grads["class_w"] += h.T @ d
-        grads["class_b"] += d.sum(axis=0)
-        dh = d @ p["class_w"].T
-    order = np.argsort(group, kind="stable")
-    limits = np.searchsorted(group[order], np.arange(len(p["class_b"]) + 1))
-    for c in np.flatnonzero(np.diff(limits)):
-        at = order[limits[c] : limits[c + 1]]
-        own = h[at]
-        logs = _log_softmax(own @ p["word_w"][c] + p["word_b"][c])
-        pick = np.arange(len(at))
-        out[at] += logs[pick, inside[at]]
-        if grads is not None:
-            d = np.exp(logs)
-            d[pick, inside[at]] -= 1
-            grads["word_w"][c] += own.T @ d
-            grads["word_b"][c] += d.sum(axis=0)
-            dh[at] += d @ p["word_w"][c].T
+        share[np.arange(len(h)), group] -= 1
+        grads["class_w"] += h.T @ share
+        grads["class_b"] += share.sum(axis=0)
+        dh = share @ p["class_w"].T
+    places, owner = _blocks(group, classes)
+    own = np.concatenate([h, np.zeros((1, h.shape[1]), h.dtype)])[places]
+    pick = np.append(inside, 0)[places]
+    weights = p["word_w"][owner]
+    logits = own @ weights
+    logits += p["word_b"][owner][:, None, :]
+    share, logs = _shares(logits, pick)
+    real = places < len(h)
+    rows = places[real]
+    out[rows] += logs[real]
+    if grads is not None:
+        np.put_along_axis(share, pick[..., None], np.take_along_axis(share, pick[..., None], -1) - 1, -1)
+        share *= real[..., None]
+        ends = np.searchsorted(owner, np.arange(classes + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            some = share[ends[c] : ends[c + 1]].reshape(-1, width)
+            grads["word_w"][c] += own[ends[c] : ends[c + 1]].reshape(len(some), -1).T @ some
+            grads["word_b"][c] += np.ones(len(some), some.dtype) @ some
+        dh[rows] += (share @ weights.transpose(0, 2, 1))[real]
     return out, dh
 
 
 def step(gates: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step from input gates and state: new state, reset, update, candidate, recurrent part."""
+    """One step from input gates and state: new state, reset and update, candidate, recurrent part."""
     n = h.shape[1]
     hu = h @ u
     rz = _sigmoid(gates[:, : 2 * n] + hu[:, : 2 * n])
-    r, z = rz[:, :n], rz[:, n:]
-    new = np.tanh(gates[:, 2 * n :] + r * hu[:, 2 * n :])
-    return new + z * (h - new), r, z, new, hu[:, 2 * n :]
+    last = hu[:, 2 * n :]
+    new = rz[:, :n] * last
+    new += gates[:, 2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= rz[:, n:]
+    out += new
+    return out, rz, new, last
 
 
-def window_gradients(p: Params, h: np.ndarray, seen: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, float, Params]:
+def window_gradients(
+    p: Params, h: np.ndarray, seen: np.ndarray, target: np.ndarray, fresh: np.ndarray, real: np.ndarray | None = None
+) -> tuple[np.ndarray, float, Params]:
     """Forward and backward through one window of steps x lanes; the state before it is given
-    and gets no gradient. `fresh` marks steps that begin a document."""
+    and gets no gradient. `fresh` marks steps that begin a document, `real` the targets that
+    count, all unless given.
+
+    Only the recurrence runs step by step. What does not depend on later steps is computed for
+    the whole window at once.
+    """
     steps, lanes = seen.shape
     n = h.shape[1]
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     x = p["embed"][seen]
     gates = x @ p["w"] + p["b"]
-    kept, states = [], np.empty((steps, lanes, n), np.float32)
+    kept = (~fresh).astype(h.dtype)[..., None]
+    before, states, new, last = (np.empty((steps, lanes, n), h.dtype) for _ in range(4))
+    rz = np.empty((steps, lanes, 2 * n), h.dtype)
     for t in range(steps):
-        before = h * ~fresh[t][:, None]
-        h, r, z, new, hu = step(gates[t], before, p["u"])
+        np.multiply(h, kept[t], out=before[t])
+        h, rz[t], new[t], last[t] = step(gates[t], before[t], p["u"])
         states[t] = h
-        kept.append((before, r, z, new, hu))
-    logs, d_states = output_log_p(p, states.reshape(-1, n), target.reshape(-1), grads)
+    flat_states, flat_target = states.reshape(-1, n), target.reshape(-1)
+    if real is None:
+        logs, d_states = output_log_p(p, flat_states, flat_target, grads)
+    else:
+        at = np.flatnonzero(real)
+        d_states = np.zeros_like(flat_states)
+        logs, d_states[at] = output_log_p(p, flat_states[at], flat_target[at], grads)
     d_states = d_states.reshape(steps, lanes, n)
-    d_gates = np.empty_like(gates)
-    dh = np.zeros((lanes, n), np.float32)
+    r, z = rz[..., :n], rz[..., n:]
+    to_new = (1 - z) * (1 - new * new)
+    to_z = (before - new) * z * (1 - z)
+    to_r = to_new * last * r * (1 - r)
+    # slopes of reset, update and the recurrent part of the candidate in the state
+    slopes = np.concatenate([to_r, to_z, to_new * r], axis=2).reshape(steps, lanes, 3, n)
+    carried = z * kept
+    u_t = np.ascontiguousarray(p["u"].T)
+    d_all = np.empty((steps, lanes, n), h.dtype)
+    dh = np.zeros((lanes, n), h.dtype)
     for t in range(steps - 1, -1, -1):
-        before, r, z, new, hu = kept[t]
-        dh = dh + d_states[t]
-        dz = dh * (before - new) * z * (1 - z)
-        dn = dh * (1 - z) * (1 - new * new)
-        dr = dn * hu * r * (1 - r)
-        d_gates[t] = np.concatenate([dr, dz, dn], axis=1)
-        du = np.concatenate([dr, dz, dn * r], axis=1)
-        grads["u"] += before.T @ du
-        dh = (dh * z + du @ p["u"].T) * ~fresh[t][:, None]
-    flat = d_gates.reshape(-1, 3 * n)
+        np.add(dh, d_states[t], out=d_all[t])
+        du = (slopes[t] * d_all[t][:, None, :]).reshape(lanes, 3 * n)
+        dh = du @ u_t
+        dh *= kept[t]
+        dh += d_all[t] * carried[t]
+    d_u = (slopes * d_all[:, :, None, :]).reshape(-1, 3 * n)
+    grads["u"] += before.reshape(-1, n).T @ d_u
+    flat = d_u
+    flat[:, 2 * n :] = (to_new * d_all).reshape(-1, n)
     grads["w"] += x.reshape(-1, n).T @ flat
     grads["b"] += flat.sum(axis=0)
-    np.add.at(grads["embed"], seen.reshape(-1), flat @ p["w"].T)
+    tokens = seen.reshape(-1)
+    order = np.argsort(tokens, kind="stable")
+    starts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    grads["embed"][tokens[order[starts]]] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)
     return h, -float(logs.sum()), grads
 
 
@@ -128,28 +193,44 @@ def train(p: Params, stream: np.ndarray, end: int, lanes: int = 64, window: int
     """One pass of truncated backpropagation over documents laid end to end, with Adam steps.
 
     The stream is cut into lanes of equal length; states are carried from window to window
-    and start anew after every end token.
+    and start anew after every end token. Every token after the first is a target once: the
+    last lane is filled up with end tokens that do not count.
     """
     lanes = max(1, min(lanes, len(stream) // (4 * window)))
-    length = (len(stream) - 1) // lanes
+    length = -(-(len(stream) - 1) // lanes)
     if length < 1:
         return p
     p = {k: v.copy() for k, v in p.items()}
-    seen = stream[: lanes * length].reshape(lanes, length).T
-    target = stream[1 : lanes * length + 1].reshape(lanes, length).T
+    filled = np.full(lanes * length + 1, end, stream.dtype)
+    filled[: len(stream)] = stream
+    seen = filled[:-1].reshape(lanes, length).T
+    target = filled[1:].reshape(lanes, length).T
+    real = (np.arange(lanes * length) < len(stream) - 1).reshape(lanes, length).T
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     h = np.zeros((lanes, p["u"].shape[0]), np.float32)
     for i, a in enumerate(range(0, length, window), 1):
-        part = seen[a : a + window]
-        h, _, grads = window_gradients(p, h, part, target[a : a + window], part == end)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / part.size
-        shrink = np.float32(min(1.0, 0.5 / max(norm, 1e-9)) / part.size)
+        part, counted = seen[a : a + window], real[a : a + window]
+        h, _, grads = window_gradients(p, h, part, target[a : a + window], part == end, None if counted.all() else counted)
+        size = max(1, int(counted.sum()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / size
+        shrink = np.float32(min(1.0, 0.5 / max(norm, 1e-9)) / size)
+        damp = np.float32(1 / np.sqrt(1 - 0.995**i))
+        pace = np.float32(rate / (1 - 0.9**i))
         for k, g in grads.items():
             g *= shrink
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.005 * (g * g - second[k])
-            p[k] -= rate * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.995**i)) + 1e-8)
+            first[k] *= np.float32(0.9)
+            first[k] += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.005)
+            second[k] *= np.float32(0.995)
+            second[k] += g
+            np.sqrt(second[k], out=g)
+            g *= damp
+            g += np.float32(1e-8)
+            np.divide(first[k], g, out=g)
+            g *= pace
+            p[k] -= g
     return p
 
 

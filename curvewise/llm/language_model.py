@@ -3,11 +3,12 @@
 Token counts come from all training documents and stay distributed. The most frequent tokens,
 a bounded number, are broadcast; a document's other tokens meet their counts by a join, so
 frequent words never cross the shuffle. A gated recurrent model (`gru`) over the `SHORTLIST`
-most frequent tokens and one class for all others is trained in Spark tasks on every training
-document, whole, once: `ROUNDS` rounds of truncated backpropagation, each over another part of
-the documents, whose weights are averaged, element by element, in Spark. Parts are drawn by id
-and text together, so rows with one id, or none, are dealt over all rounds. Only the model, of
-fixed size, reaches the driver. A token outside the shortlist scores
+most frequent tokens and one class for all others is trained in Spark tasks on every token of
+every training document once: `ROUNDS` rounds of truncated backpropagation, each over another
+part of the documents, whose weights are averaged, element by element, in Spark. Parts are drawn
+by id and text together, so rows with one id, or none, are dealt over all rounds. Texts are read
+twice, to count and to number their tokens; training and scoring read the stored numbers, two
+bytes a token. Only the model, of fixed size, reaches the driver. A token outside the shortlist scores
 the model's probability of "other" times its share of the smoothed unigram mass there, so
 scores are probabilities over all words, seen or not.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ ROUNDS = 3
 END = b"\n"
 #: Distinct tokens a task counts before it hands them on.
 HELD_TOKENS = 400_000
+#: Bytes of token numbers that are trained on, or scored, together; one document at least.
+SLICE_NUMBERS = 1_500_000
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +108,62 @@ class Vocabulary:
         return math.log10(count + 1) + self.unseen
 
 
-def _train_batches(params: gru.Params, words: Vocabulary):
-    """The weights after one pass over the task's documents, and the tokens they saw."""
+_NUMBERED = "id {0}, part int, held_out boolean, n_tokens bigint, n_known bigint, base double, other double, rare array<struct<token:binary,tf:bigint>>, numbers binary"
+
+
+def _number_batches(words: Vocabulary):
+    """Per row: sums over the tokens whose counts are at hand, the other tokens, and the
+    shortlist numbers of all tokens as unsigned 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = params, 0
+        log_p = {t: words.log10_p(c) for t, c in words.counts.items()}
+        kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
         for piece in text_slices(batches, "text"):
-            parts = [np.array([words.end])]
+            n, known, base, other, rare, numbers = [], [], [], [], [], []
             for text in piece.column("text").to_pylist():
-                parts.append(np.array([words.number.get(w, 0) for w in words_of(text)] + [words.end]))
-            stream = np.concatenate(parts)
-            now, seen = gru.train(now, stream, words.end), seen + len(stream)
+                tokens = words_of(text)
+                tokens.append(END)
+                sums, missing, unlisted, hits, outside = 0.0, [], 0.0, 0, 0
+                for token, tf in Counter(tokens).items():
+                    value = log_p.get(token)
+                    if value is None:
+                        missing.append({"token": token, "tf": tf})
+                        outside += tf
+                        continue
+                    hits += tf
+                    sums += tf * value
+                    if token not in words.number:
+                        unlisted += tf * value
+                        outside += tf
+                n.append(len(tokens))
+                known.append(hits)
+                base.append(sums)
+                other.append(unlisted - outside * words.other)
+                rare.append(missing)
+                numbers.append(np.fromiter(map(words.number.get, tokens, repeat(0)), np.dtype("<u2"), len(tokens)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("id"), piece.column("part"), piece.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(other, pa.float64()), pa.array(rare, kind), pa.array(numbers, pa.binary()),
+                ],
+                names=["id", "part", "held_out", "n_tokens", "n_known", "base", "other", "rare", "numbers"],
+            )
+
+    return run
+
+
+def _streams(piece: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in piece.column("numbers").to_pylist()]
+
+
+def _train_batches(params: gru.Params, end: int):
+    """The weights after one pass over the task's documents, and the tokens they saw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = params, 0
+        for piece in text_slices(batches, "numbers", SLICE_NUMBERS):
+            stream = np.concatenate([np.array([end]), *_streams(piece)])
+            now, seen = gru.train(now, stream, end), seen + len(stream) - 1
         if seen:
             flat = np.concatenate([now[k].reshape(-1) for k in sorted(now)])
             values = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), len(flat)).cast(pa.list_(pa.float32()))
@@ -123,14 +172,14 @@ def _train_batches(params: gru.Params, words: Vocabulary):
     return run
 
 
-def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int = HIDDEN) -> gru.Params:
-    """Rounds of local training and averaging, each over the rows of `texts` whose `draw` is its
-    number modulo `rounds`; so all rows are learnt from once."""
+def fit(numbered: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int = HIDDEN) -> gru.Params:
+    """Rounds of local training and averaging, each over the rows of `numbered` whose `part` is
+    its number; so all rows with a part are learnt from once."""
     size = len(words.log_p)
     params = gru.new_params(words.log_p, hidden, max(1, math.isqrt(size)))
     for number in range(rounds):
-        part = texts.where(F.pmod("draw", F.lit(rounds)) == number).select("text")
-        trained = part.mapInArrow(_train_batches(params, words), "weights array<float>, seen bigint")
+        part = numbered.where(F.col("part") == number).select("numbers")
+        trained = part.mapInArrow(_train_batches(params, words.end), "weights array<float>, seen bigint")
         mean = (
             trained.select("seen", F.posexplode("weights").alias("at", "w"))
             .groupBy("at").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
@@ -145,44 +194,11 @@ def fit(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int =
     return params
 
 
-_SCORED = "id {0}, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, rare array<struct<token:binary,tf:bigint>>"
-
-
-def _score_batches(params: gru.Params, words: Vocabulary):
+def _score_batches(params: gru.Params, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = {t: words.log10_p(c) for t, c in words.counts.items()}
-        for batch in batches:
-            n, known, base, other, rare, numbers = [], [], [], [], [], []
-            for text in batch.column("text"):
-                tokens = words_of(text.as_py())
-                tokens.append(END)
-                found = Counter(tokens)
-                sums, missing, unlisted, hits = 0.0, [], 0.0, 0
-                for token, tf in found.items():
-                    value = log_p.get(token)
-                    if value is None:
-                        missing.append({"token": token, "tf": tf})
-                    else:
-                        hits += tf
-                        sums += tf * value
-                        if token not in words.number:
-                            unlisted += tf * value
-                ids = np.fromiter((words.number.get(t, 0) for t in tokens), np.int32, len(tokens))
-                n.append(len(tokens))
-                known.append(hits)
-                base.append(sums)
-                other.append(unlisted - int((ids == 0).sum()) * words.other)
-                rare.append(missing)
-                numbers.append(ids)
-            model = gru.log_likelihoods(params, numbers, words.end) / math.log(10) + np.array(other)
-            kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, kind),
-                ],
-                names=["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
-            )
+        for piece in text_slices(batches, "numbers", SLICE_NUMBERS):
+            model = gru.log_likelihoods(params, _streams(piece), end) / math.log(10)
+            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(model, pa.float64())], names=["row", "model"])
 
     return run
 
@@ -198,9 +214,14 @@ def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", t
     counts = stored(token_counts(learnt))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words = Vocabulary(frequent_tokens(counts, FREQUENT), size[0], size[1], SHORTLIST)
-    params = fit(learnt.select("text", F.xxhash64("id", "text", F.lit(3)).alias("draw")), words, one_in)
     id_type = slim.schema["id"].dataType.simpleString()
-    rows = stored(slim.mapInArrow(_score_batches(params, words), _SCORED.format(id_type)).withColumn("row", F.monotonically_increasing_id()))
+    part = F.when(~F.col("held_out"), F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(one_in)).cast("int"))
+    rows = stored(
+        slim.select("id", part.alias("part"), "held_out", "text").mapInArrow(_number_batches(words), _NUMBERED.format(id_type))
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    params = fit(rows, words, one_in)
+    model = rows.select("row", "numbers").mapInArrow(_score_batches(params, words.end), "row bigint, model double")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = (
         rows.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf")
@@ -209,10 +230,10 @@ def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", t
         .agg(F.sum(F.col("tf") * (F.log10(c + 1) + words.unseen)).alias("rare_sum"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     )
     extra = F.coalesce(F.col("rare_sum"), F.lit(0.0))
-    return rows.drop("rare").join(rare, "row", "left").select(
+    return rows.drop("rare", "numbers").join(model, "row").join(rare, "row", "left").select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce(F.col("rare_known"), F.lit(0))).alias("n_known"),
         F.lit(size[0]).cast("bigint").alias("train_tokens"),
         (F.col("base") + extra).alias("base_score"),
-        (F.col("model") + extra).alias("score"),
+        (F.col("model") + F.col("other") + extra).alias("score"),
     )
