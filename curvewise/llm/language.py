@@ -1,7 +1,7 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
 The model is fitted on a bounded sample of labelled rows: about `SAMPLE` documents of each
-language, chosen by a hash of their id, whole texts. It holds the `WORDS` most frequent words
+language, chosen by a hash of id, text and place, whole texts. It holds the `WORDS` most frequent words
 of each language and the `GRAMS` most frequent n-grams of each length and language, so its
 size is bounded and it is broadcast. A word in the list scores its log frequency in each
 language. Any other word is read letter by letter: each position takes the longest known
@@ -161,12 +161,20 @@ def fit(
     grams: int = GRAMS,
 ) -> Model:
     """The model of the rows whose language is not null. What reaches the driver is bounded by
-    `words` and `grams` per language."""
+    `words` and `grams` per language.
+
+    Rows are drawn by a hash of id, text and row place, so repeats of a hot id or text, or rows
+    without an id, are in the sample in their share only. A language's threshold is a literal
+    of the filter: rows are decided where they are read and no text is shuffled.
+    """
     rows = labelled.where(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)).alias("draw")
+        F.col(lang).alias("lang"), F.col(text).alias("text"),
+        F.pmod(F.xxhash64(doc_id, text, F.monotonically_increasing_id()), F.lit(1_000_000)).alias("draw"),
     )
-    share = rows.groupBy("lang").agg((F.lit(1e6 * sample) / F.count(F.lit(1))).alias("below"))
-    drawn = rows.join(share, "lang").where("draw < below").select("lang", "text")
+    below = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r.lang), F.lit(1e6 * sample / r["count"]))]
+    if not below:
+        return Model([], {}, np.zeros((0, 0), np.float32), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+    drawn = rows.where(F.col("draw") < F.create_map(*below)[F.col("lang")]).select("lang", "text")
     counts = drawn.mapInArrow(_count_batches, "lang string, kind int, word string, gram bigint, c bigint")
     counts = counts.groupBy("lang", "kind", "word", "gram").agg(F.sum("c").alias("c"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "word", "gram")
