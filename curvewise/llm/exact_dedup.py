@@ -98,11 +98,12 @@ def duplicate_groups(
 def keep_first(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT
 ) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns.
+    """The rows of `docs` that stay, with all their columns, of any type.
 
     Rows of heavy groups other than the winner's id are dropped in the map tasks. What is
-    left meets by digest; the smallest row in the order of id, then of the other columns,
-    is combined in the map tasks first, so that repeated rows of one id are no hot key.
+    left meets by digest; the smallest row in the order of id, then of a hash of the row, is
+    combined in the map tasks first, so that repeated rows of one id are no hot key. Rows of
+    one id and one hash are taken as one row given twice.
     """
     winners = stored(heavy_winners(_slim(docs, doc_id, text), support)).select(
         "digest", F.col("winner.b").alias("winner_id"), F.lit(True).alias("heavy")
@@ -113,8 +114,7 @@ def keep_first(
     left = rows.join(F.broadcast(winners), "digest", "left").where(
         F.col("heavy").isNull() | F.col("id").eqNullSafe(F.col("winner_id"))
     )
-    return (
-        left.groupBy("digest")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), "row")).alias("best"))
-        .select("best.row.*")
-    )
+    values = [F.col("row").getField(f.name) for f in docs.schema]
+    hashable = [F.to_json(F.struct(v)) if "map<" in f.dataType.simpleString() else v for v, f in zip(values, docs.schema, strict=True)]
+    place = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64(*hashable))
+    return left.groupBy("digest").agg(F.min_by("row", place).alias("best")).select("best.*")

@@ -406,6 +406,66 @@ def test_recurrent_model_gradients_and_sum():
     assert abs(np.exp(gru.log_likelihoods(p, every, 2)).sum() - 1) < 1e-4
 
 
+def test_keep_first_with_columns_that_have_no_order(spark):
+    rows = [(3, "a  b", {"k": 1}), (1, "a b", {"k": 2}), (1, "a b", {"k": 2}), (None, "a b", None), (2, None, {}), (None, "c", {"z": 0})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `m.x` map<string,int>")
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((order(r.doc_id), r.text, str(r["m.x"])) for r in kept.collect()) == sorted(
+        (order(i), t, str(m)) for i, t, m in ((1, "a b", {"k": 2}), (2, None, {}), (None, "c", {"z": 0}))
+    )
+
+
+def test_language_sample_of_a_hot_id_and_without_text_shuffle(spark):
+    name = lambda kind, i: kind + "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(None, f"the dog {name('x', i)}", "en") for i in range(3000)] + [(i, f"der hund {name('y', i)}", "de") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    part = language.fit(docs, sample=500)
+    for kind in "xy":
+        assert 380 < sum(w.startswith(kind) for w in part.words) < 620
+    assert language.fit(docs.where("lang is null")).languages == []
+    assert {r.lang_pred for r in language.identify(docs.limit(5), language.fit(docs.limit(0))).collect()} == {language.UNKNOWN}
+
+
+def test_recurrent_model_equals_one_step_at_a_time():
+    rng = np.random.default_rng(4)
+    p = gru.new_params(np.log(rng.dirichlet(np.ones(70))), 6, 9)
+    p = {k: v + rng.normal(0, 0.4, v.shape).astype(np.float32) * (v > -1e8) for k, v in p.items()}
+    texts = [rng.integers(0, 70, n) for n in (1, 2, 40, 333, 5, 5)]
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for text in texts:
+        h, seen, total = np.zeros(6), 3, 0.0
+        for token in text:
+            g, hu = p["embed"][seen] @ p["w"] + p["b"], h @ p["u"]
+            r, z = sigma(g[:6] + hu[:6]), sigma(g[6:12] + hu[6:12])
+            new = np.tanh(g[12:] + r * hu[12:])
+            h = new + z * (h - new)
+            c, i = divmod(int(token), 9)
+            for x, at in ((h @ p["class_w"] + p["class_b"], c), (h @ p["word_w"][c] + p["word_b"][c], i)):
+                total += x[at] - x.max() - np.log(np.exp(x - x.max()).sum())
+            h, seen = h.astype(np.float32), token
+        want.append(total)
+    assert np.allclose(gru.log_likelihoods(p, texts, 3), want, rtol=1e-4, atol=1e-3)
+    far = {k: v * 200 if k in ("class_w", "word_w") else v for k, v in p.items()}
+    assert np.isfinite(gru.log_likelihoods(far, texts, 3)).all()
+
+
+def test_every_token_is_a_target_once(monkeypatch):
+    met, real = collections.Counter(), gru.output_log_p
+
+    def watched(p, h, target, grads=None):
+        met.update(target.tolist())
+        return real(p, h, target, grads)
+
+    monkeypatch.setattr(gru, "output_log_p", watched)
+    for size in (2, 3, 129, 1000, 8192, 8300):
+        met.clear()
+        stream = np.random.default_rng(size).integers(0, 50, size)
+        gru.train(gru.new_params(np.log(np.full(50, 0.02)), 4, 8), stream, 0)
+        assert met == collections.Counter(stream[1:].tolist())
+
+
 def test_language_model_scores(docs, none):
     marked = docs.withColumn("held_out", language.held_out("doc_id", 7, 2))
     counts = collections.Counter()
@@ -427,8 +487,8 @@ def test_language_model_scores(docs, none):
 def test_every_training_document_is_learnt_from(spark, monkeypatch):
     seen, real = spark.sparkContext.accumulator(0), language_model._train_batches
 
-    def counted(params, words):
-        run = real(params, words)
+    def counted(params, end):
+        run = real(params, end)
 
         def rows(batches):
             for batch in batches:
