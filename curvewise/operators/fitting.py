@@ -49,13 +49,9 @@ def _moments(
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def scaled_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) -> DataFrame:
-    """Moments of the powers of (x - center) / scale, with each group's own mean and sd of x.
-
-    A first aggregate finds `_center` and `_scale`. Joined to the rows, it keeps the powers
-    apart wherever x lies (Kelvin, years, day numbers), which raw powers are not. A group
-    whose x does not vary has scale 1.
-    """
+def _scaled_rows(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Complete rows with `_x`, `_v`, and `_center` and `_scale`: mean and sd of x in the group,
+    which a first aggregate finds. A group whose x does not vary has scale 1."""
     value = F.col(x).cast("double")
     rows = df.where(value.isNotNull() & F.col(y).isNotNull()).select(
         *keys, value.alias("_x"), F.col(y).cast("double").alias("_v")
@@ -63,16 +59,23 @@ def scaled_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: i
     sd = F.stddev_pop("_x")
     center, scale = F.avg("_x").alias("_center"), F.when(sd > 0, sd).otherwise(1.0).alias("_scale")
     if keys:
-        placed = attach(rows, rows.groupBy(*keys).agg(center, scale), keys, "inner")
-    else:
-        placed = rows.withColumns(
-            {"_center": rows.agg(center).scalar(), "_scale": rows.agg(scale).scalar()}
-        )
+        return attach(rows, rows.groupBy(*keys).agg(center, scale), keys, "inner")
+    return rows.withColumns({"_center": rows.agg(center).scalar(), "_scale": rows.agg(scale).scalar()})
+
+
+def scaled_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) -> DataFrame:
+    """Moments of the powers of (x - center) / scale, with each group's own mean and sd of x.
+
+    Centre and scale, joined to the rows, keep the powers apart wherever x lies (Kelvin, years,
+    day numbers), which raw powers are not.
+    """
     z = (F.col("_x") - F.col("_center")) / F.col("_scale")
     terms = {"x1": z}
     for d in range(2, degree + 1):
         terms[f"x{d}"] = terms[f"x{d - 1}"] * z
-    return _moments(placed, keys, "_v", terms, checked=["x1"], carried=["_center", "_scale"])
+    return _moments(
+        _scaled_rows(df, keys, x, y), keys, "_v", terms, checked=["x1"], carried=["_center", "_scale"]
+    )
 
 
 def _slopes(p: int) -> list[Column]:
@@ -177,10 +180,86 @@ def grouped_poly(
     )
 
 
-def fractional_terms(x: str, shift: float = 0.0) -> dict[str, Column]:
-    """Terms x, log(x + shift), x^2 of the fractional polynomial."""
-    base = F.col(x).cast("double")
-    return {"x": base, "log_x": F.when(base + shift > 0, F.log(base + shift)), "x2": base * base}
+def _log_remainder(t: Column, tau: Column) -> Column:
+    """What log(1 + t) adds to a quadratic in t, as a term of the size of a cubic.
+
+    3 (log(1 + t) - t + t^2 / 2) / tau^3. The difference loses its digits where t is small;
+    there the series 1 - 3t/4 + 3t^2/5 - ... of the quotient by t^3 / 3 is summed instead.
+    """
+    series = F.lit(0.0)
+    for k in range(11, -1, -1):
+        series = F.lit(3.0 * (-1) ** k / (k + 3)) + t * series
+    direct = 3 * (F.log1p(t) - t + t * t / 2)
+    return F.when(F.abs(t) < 0.04, t * t * t * series).otherwise(direct) / (tau * tau * tau)
+
+
+def fractional_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, shift: float = 0.0) -> DataFrame:
+    """Moments of z, the remainder of the log, and z^2, where z = (x - center) / scale.
+
+    Together with a constant these span the same curves as x, log(x + shift) and x^2, which
+    come so close to each other far from zero that raw sums cannot tell them apart. Rows
+    where x + shift is not positive are left out.
+    """
+    rows = _scaled_rows(df.where(F.col(x).cast("double") + shift > 0), keys, x, y)
+    level = F.col("_center") + shift
+    z = (F.col("_x") - F.col("_center")) / F.col("_scale")
+    rest = _log_remainder((F.col("_x") - F.col("_center")) / level, F.col("_scale") / level)
+    return _moments(
+        rows, keys, "_v", {"z": z, "rest": rest, "z2": z * z}, checked=["z"], carried=["_center", "_scale"]
+    )
+
+
+def grouped_fractional(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, shift: float = 0.0, centred: bool = False
+) -> DataFrame:
+    """Fractional polynomial b0 + b1 x + b2 log(x + shift) + b3 x^2 per group, with n, sse, sst, r2.
+
+    It is solved on terms scaled per group and mapped back. With `centred` the coefficients
+    stay those of z, the log's remainder and z^2, with columns `center` and `scale`: the form
+    for `fractional_fitted` when x is large against its spread, where raw terms cancel.
+    Groups with too few distinct x have null coefficients.
+    """
+    stats = fractional_moments(df, keys, x, y, shift).withColumns(
+        {f"_g{i + 1}": g for i, g in enumerate(_slopes(3))}
+    )
+    g1, g2, g3 = (F.col(f"_g{i}") for i in (1, 2, 3))
+    g0 = F.col("_my") - g1 * F.col("_m0") - g2 * F.col("_m1") - g3 * F.col("_m2")
+    coefs, place = [g0, g1, g2, g3], []
+    if centred:
+        place = [F.col("_center").alias("center"), F.col("_scale").alias("scale")]
+    else:
+        c, s = F.col("_center"), F.col("_scale")
+        level = c + shift
+        tau = s / level
+        log = 3 * g2 / (tau * tau * tau)
+        coefs = [
+            g0 - g1 * c / s + g3 * c * c / (s * s) + log * (c / level + c * c / (2 * level * level) - F.log(level)),
+            g1 / s - 2 * g3 * c / (s * s) - log * (1 / level + c / (level * level)),
+            log,
+            g3 / (s * s) + log / (2 * level * level),
+        ]
+    explained = _explained([g1, g2, g3])
+    return stats.select(
+        *keys,
+        "n",
+        *[b.alias(f"b{k}") for k, b in enumerate(coefs)],
+        F.when(g1.isNotNull(), _sse(explained)).alias("sse"),
+        ((F.col("n") - 1) * F.col("_yy")).alias("sst"),
+        F.try_divide(explained, F.col("_yy")).alias("r2"),
+        *place,
+    )
+
+
+def fractional_fitted(x: Column, shift: float = 0.0, centred: bool = False) -> Column:
+    """Value of a fractional polynomial from the columns of `grouped_fractional`."""
+    b0, b1, b2, b3 = (F.col(f"b{i}") for i in range(4))
+    x = x.cast("double")
+    inside = F.when(x + shift > 0, x)
+    if not centred:
+        return b0 + b1 * x + b2 * F.log(inside + shift) + b3 * x * x
+    level = F.col("center") + shift
+    z = (x - F.col("center")) / F.col("scale")
+    return b0 + b1 * z + b2 * _log_remainder((inside - F.col("center")) / level, F.col("scale") / level) + b3 * z * z
 
 
 def vertex_form(coefs: DataFrame) -> DataFrame:

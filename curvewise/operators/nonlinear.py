@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewise.functions.columns import briere, lactin, solve_symmetric, theta_logistic
-from curvewise.operators.fitting import _explained, _moments, _slopes, _sse, aic, fractional_terms, scaled_moments
+from curvewise.operators.fitting import _explained, _slopes, _sse, aic, fractional_moments, scaled_moments
 from curvewise.operators.joining import attach, sequence_points, spread_out
 from curvewise.session import stored
 
@@ -503,7 +503,7 @@ def compare_models(
         sse = F.when(slopes[0].isNotNull(), _sse(_explained(slopes)))
         entries.append(F.struct(F.lit(name).alias("model"), sse.alias("sse"), F.lit(degree + 2).alias("_k")))
     table = stats.select(*keys, "n", F.inline(F.array(*entries)))
-    fractional = _moments(df, keys, y, fractional_terms(x, shift))
+    fractional = fractional_moments(df, keys, x, y, shift)
     slopes = _slopes(3)
     table = table.unionByName(
         fractional.select(

@@ -94,8 +94,7 @@ FRACTIONAL = ["x", "ln(x + 1)", "CAST(x AS DOUBLE) * x"]
     f" SELECT {CURVE_SQL}, n, {COEFS}, round(b2, 5) AS b2, round(b3, 5) AS b3, {FIT_TAIL} FROM q",
 )
 def m04(spark, d):
-    terms = fitting.fractional_terms("x", shift=1.0)
-    return rounded(fitting.grouped_design(obs(spark, d), CURVE, "y", terms), 5)
+    return rounded(fitting.grouped_fractional(obs(spark, d), CURVE, "x", "y", shift=1.0), 5)
 
 
 # --- factorial models ------------------------------------------------------
