@@ -39,6 +39,8 @@ from curvewise.session import stored
 
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
+#: Shingles that are placed in their bins together; bounds the memory of very long texts.
+CHUNK = 65_536
 #: Members of a bucket that all others are checked against first.
 HUBS = 8
 #: A pair is left unchecked only if the share of equal sketch coordinates is below this.
@@ -70,13 +72,14 @@ def sketches(sets: list[np.ndarray], coordinates: int = T) -> np.ndarray:
     for step in range(2 * coordinates):
         if not len(value):
             break
-        x = mixed(value + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        item = (np.uint64(step) << np.uint64(40)) | (x & np.uint64(2**40 - 1))
-        if step < coordinates:
-            place = ((x >> np.uint64(40)) * np.uint64(coordinates)) >> np.uint64(24)
-        else:
-            place = np.full(len(x), step - coordinates, np.uint64)
-        np.minimum.at(flat, owner * coordinates + place.astype(np.int64), item)
+        for at in range(0, len(value), CHUNK):
+            x = mixed(value[at : at + CHUNK] + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            item = (np.uint64(step) << np.uint64(40)) | (x & np.uint64(2**40 - 1))
+            if step < coordinates:
+                place = ((x >> np.uint64(40)) * np.uint64(coordinates)) >> np.uint64(24)
+            else:
+                place = np.full(len(x), step - coordinates, np.uint64)
+            np.minimum.at(flat, owner[at : at + CHUNK] * coordinates + place.astype(np.int64), item)
         open_sets = (out == full).any(axis=1)
         keep = open_sets[owner]
         if not keep.all():
