@@ -106,10 +106,15 @@ def levels_array(df: DataFrame, col: str, max_levels: int) -> Column:
     return few.agg(checked.alias("levels")).scalar()
 
 
+def spaced(low: float, high: float, n: int) -> list[float]:
+    """n equally spaced points from low to high."""
+    step = (high - low) / (n - 1) if n > 1 else 0.0
+    return [low + i * step for i in range(n)]
+
+
 def sequence_points(low: float, high: float, n: int) -> Column:
     """Array literal of n equally spaced points from low to high."""
-    step = (high - low) / (n - 1) if n > 1 else 0.0
-    return F.expr("array(" + ", ".join(f"{low + i * step!r}D" for i in range(n)) + ")")
+    return F.expr("array(" + ", ".join(f"{v!r}D" for v in spaced(low, high, n)) + ")")
 
 
 def points_between(low: Column, high: Column, n: int) -> Column:

@@ -4,7 +4,8 @@ Rows are first combined to per-x sums (group, x, n, mean, spread), so repeated
 measurements at the same x never move again. A deterministic lattice of start values
 is scored by aggregation, and the best point is improved by damped Gauss-Newton
 steps, each one again an aggregation over the per-x table, until its group has settled.
-A group is never brought into one task; only its few running sums are.
+A group with many different x is never brought into one task; only its few running sums are.
+Groups with at most LOCAL_X of them are packed and fitted inside tasks (`small_groups`).
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 
 from curvewise.functions.columns import briere, lactin, solve_symmetric, theta_logistic
 from curvewise.operators.fitting import _explained, _slopes, _sse, aic, fractional_moments, scaled_moments
-from curvewise.operators.joining import attach, sequence_points, spread_out
+from curvewise.operators.joining import attach, sequence_points, spaced, spread_out
+from curvewise.operators.small_groups import Task, fits
 from curvewise.session import stored
 
+#: Groups with at most so many different x are fitted inside tasks, the others by aggregations.
+LOCAL_X = 256
 #: Rounds of refinement after which groups that have not settled are given up, and said so.
 MAX_STEPS = 40
 #: Trials of a round: the way, and the damping as a number or as a multiple of a group's own; the
@@ -120,7 +124,10 @@ def _linear_part(model: CurveModel, basis: Column) -> dict[str, Column]:
     gap = mean - basis
     if model.kind == "offset":
         const = F.sum(n * gap) / F.sum(n)
-        return {"_lin": const, "_sse": F.sum(F.col("ss") + n * gap * gap) - F.sum(n) * const * const}
+        whole, size = F.sum(F.col("ss") + n * gap * gap), F.sum(F.col("ss") + n * mean * mean)
+        sse = whole - F.sum(n) * const * const
+        # of a curve far larger than the data the difference is rounding, and may be below 0
+        return {"_lin": const, "_sse": F.when((whole <= 1e4 * size) | (sse > 1e-10 * whole), sse)}
     if model.kind == "scale":
         gg, yg = F.sum(n * basis * basis), F.sum(n * mean * basis)
         factor = yg / F.when(gg > 0, gg)
@@ -142,9 +149,7 @@ def lattice_fit(
     the smallest parameters in the order of the model's shape.
     """
     m = MODELS[model]
-    clash = {*m.shape, m.linear, "n", "sse"} & set(keys)
-    if clash:
-        raise ValueError(f"rename the key columns {sorted(clash)}: the fit has columns of that name")
+    _free_names(m, keys)
     ranges = {**m.lattice, **(lattice or {})}
     rows = sums
     for name in m.shape[:-1]:
@@ -227,16 +232,87 @@ def refine_fits(
     return {name: _refined(every.where(F.col("_model") == name), keys, MODELS[name]) for name in starts}
 
 
+def fit_models(
+    sums: DataFrame,
+    keys: Sequence[str],
+    lattices: Mapping[str, Mapping[str, tuple[float, float, int]] | None],
+    steps: int = 0,
+    tolerance: float = 1e-8,
+) -> dict[str, DataFrame]:
+    """Best lattice point per group and model, with `steps` refined as by `refine_fits`.
+
+    `sums` is a written per-x table. Its groups of at most LOCAL_X rows are packed into a row
+    each, which costs one shuffle, and fitted inside tasks; those above go through `lattice_fit`
+    and `refine_fits`.
+    """
+    for model in lattices:
+        _free_names(MODELS[model], keys)
+    sizes = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    large = stored(sizes.where(F.col("_m") > LOCAL_X).select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+    if large.isEmpty():
+        return _fits_in_tasks(sums, keys, lattices, steps, tolerance)
+    of_large = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    small = _fits_in_tasks(sums.join(large, of_large, "left_anti"), keys, lattices, steps, tolerance)
+    rest = sums.join(large, of_large, "left_semi")
+    wide = {model: lattice_fit(rest, keys, model, lattices[model]) for model in lattices}
+    if steps:
+        wide = refine_fits(rest, wide, keys, steps, tolerance)
+    return {model: small[model].unionByName(wide[model]) for model in lattices}
+
+
+def _fits_in_tasks(sums: DataFrame, keys: Sequence[str], lattices: Mapping, steps: int, tolerance: float) -> dict[str, DataFrame]:
+    keys = list(keys)
+    width = max(len(MODELS[model].shape) for model in lattices)
+    tasks = [
+        Task(
+            model, MODELS[model].kind, tuple(s in MODELS[model].positive for s in MODELS[model].shape),
+            tuple(tuple(spaced(*{**MODELS[model].lattice, **(ranges or {})}[s])) for s in MODELS[model].shape),
+        )
+        for model, ranges in lattices.items()
+    ]
+    packed = spread_out(sums, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "n", "mean", "ss"))).alias("_xs"))
+    numbers = [*[f"_p{i}" for i in range(width)], "_lin", "_sse", "_first"]
+    types = ", ".join([*(f"`{k}` {dict(sums.dtypes)[k]}" for k in keys), "_model string"])
+    doubles = {c: f"{c} double" for c in numbers}
+    order = [*[doubles[f"_p{i}"] for i in range(width)], doubles["_lin"], "_n bigint", doubles["_sse"], doubles["_first"]]
+    schema = ", ".join([types, *order, "_converged boolean", "_steps int"])
+    found = packed.mapInArrow(lambda b: fits(b, keys, tasks, width, steps, tolerance, NOTHING, FAN, FREE), schema)
+    if len(tasks) > 1 or steps:
+        found = stored(found)
+    return {model: _named(found.where(F.col("_model") == model), keys, MODELS[model], bool(steps)) for model in lattices}
+
+
+def _named(found: DataFrame, keys: Sequence[str], m: CurveModel, refined: bool) -> DataFrame:
+    """Fits with the columns of `lattice_fit`, or of `refine_fits`."""
+    state = ["_sse", "_first", "_converged", "_steps"]
+    linear = [] if m.linear == "none" else ["_lin"]
+    out = found.select(*keys, *[F.col(f"_p{i}").alias(s) for i, s in enumerate(m.shape)], *linear, F.col("_n").alias("n"), *state)
+    out = out.withColumnsRenamed({"_lin": m.linear}).withColumn("sse", F.col("_sse"))
+    if refined:
+        out = out.withColumn("status", _status()).withColumnsRenamed({"_converged": "converged", "_steps": "steps"})
+    return out.drop(*state)
+
+
+def _status() -> Column:
+    improved = F.col("_sse") < F.col("_first") * (1 - 1e-12)
+    return F.when(improved, F.lit("improved")).otherwise(F.lit("start"))
+
+
+def _free_names(m: CurveModel, keys: Sequence[str]) -> None:
+    clash = {*m.shape, m.linear, "n", "sse"} & set(keys)
+    if clash:
+        raise ValueError(f"rename the key columns {sorted(clash)}: the fit has columns of that name")
+
+
 def _refined(state: DataFrame, keys: Sequence[str], m: CurveModel) -> DataFrame:
     linear = [] if m.linear == "none" else [F.col("_lin").alias(m.linear)]
-    improved = F.col("_sse") < F.col("_first") * (1 - 1e-12)
     return state.select(
         *keys,
         *[(_unlog(F.col(f"_p{i}")) if s in m.positive else F.col(f"_p{i}")).alias(s) for i, s in enumerate(m.shape)],
         *linear,
         F.col("_n").alias("n"),
         F.col("_sse").alias("sse"),
-        F.when(improved, F.lit("improved")).otherwise(F.lit("start")).alias("status"),
+        _status().alias("status"),
         F.col("_converged").alias("converged"),
         F.col("_steps").alias("steps"),
     )
@@ -457,11 +533,7 @@ def grouped_nonlinear(
     steps: int = 0,
 ) -> DataFrame:
     """Fit a curve model per group: lattice, then refinement to tolerance in at most `steps` rounds."""
-    sums = per_x_sums(df, keys, x, y)
-    if steps:
-        sums = stored(sums)
-    start = lattice_fit(sums, keys, model, lattice)
-    return refine_fit(sums, start, keys, model, steps) if steps else start
+    return fit_models(stored(per_x_sums(df, keys, x, y)), keys, {model: lattice}, steps)[model]
 
 
 def nonlinear_points(
@@ -513,10 +585,8 @@ def compare_models(
     ).withColumn("converged", F.col("sse").isNotNull())
     if curves:
         sums = stored(per_x_sums(df, keys, x, y))
-        fits = {model: lattice_fit(sums, keys, model, (lattices or {}).get(model)) for model in curves}
-        if steps:
-            fits = refine_fits(sums, fits, keys, steps)
-        for model, fit in fits.items():
+        fitted = fit_models(sums, keys, {model: (lattices or {}).get(model) for model in curves}, steps)
+        for model, fit in fitted.items():
             k = len(MODELS[model].shape) + (0 if MODELS[model].kind == "fixed" else 1) + 1
             converged = F.col("converged") if steps else F.lit(None).cast("boolean")
             table = table.unionByName(
