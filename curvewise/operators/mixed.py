@@ -178,23 +178,6 @@ def _unit_batch(pdf: pd.DataFrame, p: int, q: int) -> tuple[np.ndarray, ...]:
     )
 
 
-def _unit_terms(batch: tuple[np.ndarray, ...], lam: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per unit: log determinant and the terms of X'V^-1 X, X'V^-1 y, y'V^-1 y."""
-    xx, xy, yy, zz, zx, zy = batch
-    q = len(lam)
-    chol = np.linalg.cholesky(lam.T @ zz @ lam + np.eye(q))
-    rhs = np.concatenate([lam.T @ zx, (zy @ lam)[:, :, None]], axis=2)
-    w = np.linalg.solve(chol, rhs)
-    wx, wy = w[:, :, :-1], w[:, :, -1]
-    logdet = 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(axis=1)
-    return (
-        logdet,
-        xx - np.einsum("uqi,uqj->uij", wx, wx),
-        xy - np.einsum("uqi,uq->ui", wx, wy),
-        yy - (wy**2).sum(axis=1),
-    )
-
-
 def unit_matrices(
     df: DataFrame, design: Design, unit: str, y: str, random: Sequence[int]
 ) -> DataFrame:
@@ -260,29 +243,80 @@ def unit_matrices(
     return cells.sortWithinPartitions(unit).mapInPandas(stream, schema)
 
 
+def _unit_features(batch: tuple[np.ndarray, ...], q: int) -> np.ndarray:
+    """(pair of random terms, unit, products): what a pair of random terms takes off X'X, X'y and y'y.
+
+    With M = L (L'Z'ZL + 1)^-1 L' these are X'V^-1 X = X'X - X'Z M Z'X and so on, linear in M.
+    """
+    *_, zx, zy = batch
+    z = np.concatenate([zx, zy[:, :, None]], axis=2)
+    upper = np.triu_indices(z.shape[2])
+    out = []
+    for i in range(q):
+        for j in range(i + 1):
+            both = z[:, i, upper[0]] * z[:, j, upper[1]]
+            out.append(both if i == j else both + z[:, j, upper[0]] * z[:, i, upper[1]])
+    return np.stack(out)
+
+
+def _unit_weights(zz: np.ndarray, lams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log determinants (candidate, unit) and the lower triangle of M (pair, candidate, unit)."""
+    c, u, q = len(lams), len(zz), lams.shape[1]
+    around = np.einsum("cki,clj->cijkl", lams, lams).reshape(c * q * q, q * q)
+    w = (around @ zz.reshape(u, q * q).T).reshape(c, q, q, u)
+    chol = np.zeros((q, q, c, u))
+    for i in range(q):  # the factor of every L'Z'ZL + 1 at once
+        for j in range(i + 1):
+            s = w[:, i, j] + (1.0 if i == j else 0.0)
+            for k in range(j):
+                s = s - chol[i, k] * chol[j, k]
+            chol[i, j] = np.sqrt(s) if i == j else s / chol[j, j]
+    half = np.zeros((q, q, c, u))  # its inverse times L'
+    for i in range(q):
+        for j in range(q):
+            s = np.broadcast_to(lams[:, j, i, None], (c, u))
+            for k in range(i):
+                s = s - chol[i, k] * half[k, j]
+            half[i, j] = s / chol[i, i]
+    logdet = 2 * sum(np.log(chol[i, i]) for i in range(q))
+    return logdet, np.stack([(half[:, i] * half[:, j]).sum(axis=0) for i in range(q) for j in range(i + 1)])
+
+
 def _sums(units: DataFrame, thetas: np.ndarray, p: int, q: int) -> np.ndarray:
-    """For each candidate theta the sums over units, in one Spark job."""
+    """For each candidate theta the sums over units, in one Spark job.
+
+    A unit meets all candidates in one matrix product: its share of the sums is linear in the
+    few weights that a candidate gives to pairs of its random terms.
+    """
     width = 1 + p * p + p + 1
-    candidates = [np.asarray(t, dtype=float) for t in thetas]
+    lams = np.stack([_factor(np.asarray(t, dtype=float), q) for t in thetas])
+    rows, columns = np.triu_indices(p + 1)
 
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((len(candidates), width))
+        whole, logdets, taken = np.zeros((p + 1, p + 1)), np.zeros(len(lams)), np.zeros((len(lams), len(rows)))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            batch = _unit_batch(pdf, p, q)
-            for c, theta in enumerate(candidates):
-                logdet, xvx, xvy, yvy = _unit_terms(batch, _factor(theta, q))
-                out[c] += np.concatenate(
-                    [[logdet.sum()], xvx.sum(axis=0).ravel(), xvy.sum(axis=0), [yvy.sum()]]
-                )
+            for at in range(0, len(pdf), 1000):
+                batch = _unit_batch(pdf.iloc[at : at + 1000], p, q)
+                xx, xy, yy, zz, _, _ = batch
+                whole[:p, :p] += xx.sum(axis=0)
+                whole[:p, p] += xy.sum(axis=0)
+                whole[p, p] += yy.sum()
+                logdet, weights = _unit_weights(zz, lams)
+                logdets += logdet.sum(axis=1)
+                taken += (weights @ _unit_features(batch, q)).sum(axis=0)
+        out = np.zeros((len(lams), width))
+        for c in range(len(lams)):
+            left = np.zeros((p + 1, p + 1))
+            left[rows, columns] = whole[rows, columns] - taken[c]
+            left = np.triu(left) + np.triu(left, 1).T
+            out[c] = np.concatenate([[logdets[c]], left[:p, :p].ravel(), left[:p, p], [left[p, p]]])
         yield pd.DataFrame({"i": np.arange(out.size), "v": out.ravel()})
 
     summed = units.mapInPandas(evaluate, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    flat = np.zeros(len(candidates) * width)
+    flat = np.zeros(len(lams) * width)
     for row in summed.collect():
         flat[row["i"]] = row["v"]
-    return flat.reshape(len(candidates), width)
+    return flat.reshape(len(lams), width)
 
 
 def _profile(sums: np.ndarray, n: int, p: int) -> tuple[float, float, np.ndarray, np.ndarray]:
