@@ -4,9 +4,12 @@ The response and the covariates are projected on the space of all factor levels
 residuals enter the normal equations, which are as wide as the covariates. The levels of the
 first factor are eliminated exactly; those of the others solve the reduced equations by conjugate
 gradients, all right sides at once. Effects, residuals and directions are tables with one row per
-level, and the product with the reduced matrix is two aggregations over the table of factor
-combinations, to which the rows were summed before. The driver sees two numbers per right
-side and step.
+level. The rows are summed to factor combinations, which are sorted by the first factor into
+blocks and stay there: a block is sent the directions of the levels that it holds and returns
+its part of their product with the reduced matrix. The driver sees a few numbers per right side and step.
+
+A level of the first factor that may reach into another block, the first and the last of each, is not
+eliminated but solved for with the others, so a level of any size is shared out over blocks.
 
 Rows with a missing factor, covariate or response are left out. A covariate that the factors
 determine has no estimate.
@@ -14,13 +17,16 @@ determine has no estimate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from curvewise.functions.tails import f_tail, t_tail
 from curvewise.operators.linear import ANOVA_SCHEMA
@@ -28,15 +34,18 @@ from curvewise.session import stored
 
 #: Of the sum of squares of a column, what is left of it by rounding.
 NOTHING = 1e-24
+#: Combinations that are worth a block of their own, and the most of a block. Between them there
+#: are as many blocks as shuffle partitions, so that what is sent grows with the levels.
+BLOCK_CELLS, MOST_CELLS = 500_000, 2_000_000
 
 
 @dataclass
 class Projection:
     """Columns of a table projected on the levels of factors.
 
-    `cells` has a row per combination of levels (_f0, _f1, ... as text) with n, the sums _s0,
-    _s1, ... of the columns and their projections _t0, _t1, ...; `levels` has the coefficients _v0,
-    _v1, ... of the levels of all factors but the first.
+    `cells` has a row per combination of levels (_f0, _f1, ..., whole numbers if all factors are, else
+    text) with n, the sums _s0, _s1, ... of the columns and their projections _t0, _t1, ...; `levels`
+    has the coefficients _v0, _v1, ... of the levels of all factors but the first.
     """
 
     factors: list[str]
@@ -49,51 +58,224 @@ class Projection:
     levels: DataFrame | None
     steps: int
     converged: bool
+    first: Projection | None = None  # on the levels of the first factor alone
+
+
+@dataclass
+class Cells:
+    """A table summed to combinations of levels: `table` with their n and sums around the means."""
+
+    factors: list[str]
+    n: int
+    means: np.ndarray
+    products: np.ndarray
+    table: DataFrame
+
+    def of(self, factors: Sequence[str]) -> Cells:
+        """Combinations of some of the factors; without any, one cell."""
+        keys = [F.col(f"_f{self.factors.index(c)}").alias(f"_f{j}") for j, c in enumerate(factors)]
+        sums = [F.sum(c).alias(c) for c in ["n", *_names("s", len(self.means))]]
+        table = self.table.groupBy(*keys or [F.lit("all").alias("_f0")]).agg(*sums)
+        return replace(self, factors=list(factors), table=table)
+
+    def projection(self, inner: np.ndarray, rank: int, cells: DataFrame, **more) -> Projection:
+        """From the sums of products of the columns and their projections."""
+        given = {"levels": None, "steps": 0, "converged": True} | more
+        return Projection(self.factors, self.n, self.means, self.products, self.products - inner, rank, cells, **given)
 
 
 def _names(kind: str, k: int) -> list[str]:
     return [f"_{kind}{j}" for j in range(k)]
 
 
+def _pairs(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i, k)]
+
+
 def project(
     df: DataFrame, factors: Sequence[str], columns: Sequence[str], tolerance: float = 1e-9, steps: int = 200
 ) -> Projection:
     """Project `columns` on the levels of `factors`, to a relative `tolerance` in at most `steps` steps."""
+    return project_cells(sum_to_cells(df, factors, columns), tolerance, steps)
+
+
+def sum_to_cells(df: DataFrame, factors: Sequence[str], columns: Sequence[str]) -> Cells:
     k, f = len(columns), len(factors)
+    whole = all(isinstance(df.schema[c].dataType, IntegralType) for c in factors)
     rows = df.select(
-        *[F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(factors)],
+        *[F.col(c).cast("bigint" if whole else "string").alias(f"_f{i}") for i, c in enumerate(factors)],
         *[F.col(c).cast("double").alias(f"_y{j}") for j, c in enumerate(columns)],
     ).dropna("any")
-    head = rows.agg(F.count(F.lit(1)), *[F.avg(y) for y in _names("y", k)]).first()
-    n, means = int(head[0]), np.array([v or 0.0 for v in head[1:]])
+    ys = _names("y", k)
+    head = rows.agg(
+        F.count(F.lit(1)), *[F.avg(y) for y in ys], *[F.covar_pop(ys[i], ys[j]) for i, j in _pairs(k)]
+    ).first()
+    n, means = int(head[0]), np.array([v or 0.0 for v in head[1 : k + 1]])
     if not n:
         raise ValueError("no complete rows")
-    away = [F.col(y) - F.lit(float(m)) for y, m in zip(_names("y", k), means, strict=True)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     table = rows.groupBy(*_names("f", f)).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(a).alias(s) for a, s in zip(away, _names("s", k), strict=True)],
-        *[F.sum(away[i] * away[j]).alias(f"_q{i}_{j}") for i, j in pairs],
+        *[F.sum(F.col(y) - F.lit(float(m))).alias(s) for y, m, s in zip(ys, means, _names("s", k), strict=True)],
     )
-    table = stored(table)
-    products = _symmetric(table.agg(*[F.sum(f"_q{i}_{j}") for i, j in pairs]).first(), k)
-    cells = table.select(*_names("f", f), "n", *_names("s", k))
-    taken, converged, levels = 0, True, None
-    if f > 1:
-        levels, taken, converged = _gradients(cells, f, k, tolerance, steps, NOTHING * np.diag(products))
-    fitted = stored(_fitted(cells, levels, f, k))
-    inner = fitted.agg(*[F.sum(F.col(f"_t{i}") * F.col(f"_s{j}")) for i, j in pairs]).first()
-    return Projection(
-        list(factors), n, means, products, products - _symmetric(inner, k), _rank(cells, f), fitted, levels, taken, converged
+    return Cells(list(factors), n, means, _symmetric(head[k + 1 :], k) * n, stored(table))
+
+
+def project_cells(cells: Cells, tolerance: float = 1e-9, steps: int = 200) -> Projection:
+    k, f, c = len(cells.means), len(cells.factors), F.col
+    if f < 2:
+        found = cells.table.agg(*[F.sum(c(f"_s{i}") * c(f"_s{j}") / c("n")) for i, j in _pairs(k)], F.count(F.lit(1))).first()
+        return cells.projection(_symmetric(found[:-1], k), int(found[-1]), _fitted(cells.table, None, 1, k))
+    blocks, count = _blocks(cells.table, f, k)
+    lists = F.arrays_zip("_factor", "_level", "_part", "_d", *_names("r", k))
+    parts = stored(blocks.select("_block", F.posexplode(lists).alias("_at", "_x")).select("_block", "_at", "_x.*"))
+    start = stored(
+        parts.groupBy("_factor", "_level").agg(
+            F.sum("_d").alias("_d"), F.collect_list(F.struct("_block", "_at")).alias("_to"), *[F.sum(r).alias(r) for r in _names("r", k)]
+        )
+    )
+    closed = blocks.agg(F.sum("_closed"), *[F.sum(c("_inner")[at]) for at in range(len(_pairs(k)))]).first()
+    means = _symmetric(closed[1:], k)  # what the levels of the first factor explain, the opened ones aside
+    sizes = {r[0]: r[1] for r in start.groupBy("_factor").count().collect()}
+    firsts = int(closed[0]) + sizes.pop(0, 0)
+    levels, taken, converged = _gradients(blocks, start, count, f, k, tolerance, steps, NOTHING * np.diag(cells.products))
+    inner = means + _symmetric(
+        _dots(levels.join(start.drop("_d"), ["_factor", "_level"]), [c(f"_v{i}") * c(f"_r{j}") for i, j in _pairs(k)]), k
+    )
+    edges = parts.where("_factor < 2").select(c("_part").alias("_f0"), F.struct("_factor", "_level").alias("_f1"))
+    # exact for two factors, a bound from above beyond
+    rank = firsts + sum(sizes.values()) - _components(edges) - (f - 2)
+    first = cells.of(cells.factors[:1])
+    opened = _dots(start.where("_factor = 0"), [c(f"_r{i}") * c(f"_r{j}") / c("_d") for i, j in _pairs(k)])
+    alone = first.projection(means + _symmetric(opened, k), firsts, _fitted(first.table, None, 1, k))
+    levels = levels.where("_factor > 0")
+    return cells.projection(
+        inner, rank, _fitted(cells.table, levels, f, k), levels=levels, steps=taken, converged=converged, first=alone
     )
 
 
 def _symmetric(values: Sequence[float], k: int) -> np.ndarray:
     out = np.zeros((k, k))
-    out[np.triu_indices(k)] = list(values)
+    out[np.triu_indices(k)] = [v or 0.0 for v in values]
     return out + out.T - np.diag(np.diag(out))
 
 
+def _blocks(cells: DataFrame, f: int, k: int) -> tuple[DataFrame, int]:
+    """Cells by the first factor in blocks of a row each, and the number of blocks."""
+    size = cells.count()
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(1, min(partitions, size // BLOCK_CELLS), -(-size // MOST_CELLS))
+    kind = cells.schema["_f0"].dataType.simpleString()
+    ordered = cells.repartitionByRange(count, *_names("f", f)).sortWithinPartitions("_f0")
+    schema = (
+        "_block int, _starts binary, _codes binary, _n binary, _closed bigint, _inner array<double>, "
+        f"_factor array<int>, _level array<{kind}>, _part array<bigint>, _d array<double>, "
+        + ", ".join(f"_r{j} array<double>" for j in range(k))
+    )
+    return stored(ordered.mapInArrow(_pack(f, k, count == 1), schema)), count
+
+
+def _pack(f: int, k: int, alone: bool):
+    """A block from the cells of a task: where the levels of the first factor start, the place of
+    each cell's other levels in the list of the block's levels, and rows per cell; besides, the parts of
+    the right sides, and what the eliminated levels explain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = [b for b in batches if b.num_rows]
+        if not filled:
+            return
+        table = pa.Table.from_batches(filled)
+        coded = [pa.concat_arrays(table.column(name).chunks).dictionary_encode() for name in _names("f", f)]
+        starts = np.flatnonzero(np.diff(coded[0].indices.to_numpy(), prepend=-1)).astype(np.int32)
+        opened = [] if alone else sorted({0, len(starts) - 1})
+        factor, level, codes = [0] * len(opened), [coded[0].dictionary.take(pa.array(opened, pa.int64()))], []
+        for i, c in enumerate(coded[1:], 1):
+            codes.append(c.indices.to_numpy() + np.int32(len(factor)))
+            factor += [i] * len(c.dictionary)
+            level.append(c.dictionary)
+        codes, n = np.array(codes, np.int32), table.column("n").to_numpy()
+        sums = np.array([table.column(s).to_numpy() for s in _names("s", k)]).reshape(k, len(n))
+        right, inner, closed = _reduced(starts, codes, n, sums, len(opened), len(factor))
+        weight = np.bincount(codes.reshape(-1), np.tile(n, f - 1), len(factor))
+        weight[: len(opened)] = np.add.reduceat(n, starts)[opened]
+        number = TaskContext.get().partitionId()
+        graph = [(number << 32) + at if at >= 0 else None for at in _parts(starts, codes[0], opened, len(factor)).tolist()]
+        n = n.astype(np.min_scalar_type(n.max()))
+        row = {
+            "_block": pa.array([number], pa.int32()),
+            **{name: pa.array([x], pa.binary()) for name, x in [("_starts", starts.tobytes()), ("_codes", codes.tobytes()), ("_n", n.tobytes())]},
+            "_closed": pa.array([closed], pa.int64()),
+            "_inner": pa.array([inner], pa.list_(pa.float64())),
+            "_factor": pa.array([factor], pa.list_(pa.int32())),
+            "_level": pa.ListArray.from_arrays([0, len(factor)], pa.concat_arrays(level)),
+            "_part": pa.array([graph], pa.list_(pa.int64())),
+            "_d": pa.ListArray.from_arrays([0, len(factor)], pa.array(weight, pa.float64())),
+            **{f"_r{j}": pa.ListArray.from_arrays([0, len(factor)], pa.array(right[j])) for j in range(k)},
+        }
+        yield pa.RecordBatch.from_pydict(row)
+
+    return run
+
+
+def _reduced(starts: np.ndarray, codes: np.ndarray, n: np.ndarray, w: np.ndarray, opened: int, size: int) -> tuple[np.ndarray, list[float], int]:
+    """Cell sums around the means of their levels of the first factor, summed per level of the block;
+    sums of squares and products of what the means take away, and the number of means. Levels of the
+    first factor that are `opened`, its first and last, have no means."""
+    k, ends = len(w), np.append(starts[1:], len(n))
+    sums, counts = np.add.reduceat(w, starts, axis=1), np.add.reduceat(n, starts)
+    means = sums / counts
+    ways = [0, len(starts) - 1][:opened]
+    means[:, ways] = 0.0
+    inner = [float(means[i] @ sums[j]) for i, j in _pairs(k)]
+    out = np.zeros((k, size))
+    for j in range(k):
+        left = w[j] - np.repeat(means[j], ends - starts) * n
+        for code in codes:
+            out[j] += np.bincount(code, left, size)
+    out[:, : len(ways)] = sums[:, ways]
+    return out, inner, len(starts) - len(ways)
+
+
+def _parts(starts: np.ndarray, code: np.ndarray, opened: list[int], size: int) -> np.ndarray:
+    """Connected part of each level of the second factor and each opened one of the first, within the
+    block; -1 for levels of further factors."""
+    label = np.full(size, size)
+    label[code] = code
+    lengths = np.diff(starts, append=len(code))
+    while True:
+        least = np.minimum.reduceat(label[code], starts)
+        now = label.copy()
+        np.minimum.at(now, code, np.repeat(least, lengths))
+        known = now < size
+        now[known] = now[now[known]]
+        if (now == label).all():
+            label[: len(opened)] = least[opened]
+            return np.where(label < size, label, -1)
+        label = now
+
+
+def _turned(f: int, k: int):
+    """A block's part of the product of the reduced matrix and the directions of its levels."""
+
+    def run(block: pa.Table, levels: pa.Table) -> pa.Table:
+        order = np.argsort(levels.column("_at").to_numpy())
+        p = np.array([levels.column(name).to_numpy()[order] for name in _names("p", k)])
+        starts = np.frombuffer(block.column("_starts")[0].as_py(), np.int32)
+        codes = np.frombuffer(block.column("_codes")[0].as_py(), np.int32).reshape(f - 1, -1)
+        packed = block.column("_n")[0].as_py()
+        n = np.frombuffer(packed, f"u{len(packed) // codes.shape[1]}").astype(np.float64)
+        opened = int((levels.column("_factor").to_numpy() == 0).sum())
+        w = sum(p[:, code] for code in codes)
+        ends = np.append(starts[1:], len(n))
+        for at, level in enumerate([0, len(starts) - 1][:opened]):
+            w[:, starts[level] : ends[level]] += p[:, at : at + 1]
+        w *= n
+        q = _reduced(starts, codes, n, w, opened, p.shape[1])[0]
+        keys = levels.select(["_factor", "_level"]).take(pa.array(order))
+        return pa.table({"_factor": keys.column(0), "_level": keys.column(1), **{f"_q{j}": q[j] for j in range(k)}})
+
+    return run
+
+
 def _with_levels(cells: DataFrame, levels: DataFrame, f: int, k: int, kind: str, out: str) -> DataFrame:
     """Cells with the sum over their levels of the columns `kind` as columns `out`."""
     rows = cells
@@ -106,38 +288,27 @@ def _with_levels(cells: DataFrame, levels: DataFrame, f: int, k: int, kind: str,
     return rows.select(*cells.columns, *added)
 
 
-def _around_first(rows: DataFrame, k: int, kind: str, weight: Column) -> DataFrame:
-    """Each row of `kind`, weighted, less the mean of its level of the first factor, times n."""
-    means = rows.groupBy("_f0").agg(*[(F.sum(weight * F.col(f"_{kind}{j}")) / F.sum("n")).alias(f"_m{j}") for j in range(k)])
-    both = rows.join(means, "_f0")
-    return both.withColumns({f"_{kind}{j}": weight * F.col(f"_{kind}{j}") - F.col("n") * F.col(f"_m{j}") for j in range(k)})
-
-
-def _per_level(rows: DataFrame, f: int, k: int, kind: str, out: str, *more: Column) -> DataFrame:
-    """Sums over the cells of each level of every factor but the first."""
-    parts = [
-        rows.groupBy(F.col(f"_f{i}").alias("_level"))
-        .agg(*[F.sum(f"_{kind}{j}").alias(f"_{out}{j}") for j in range(k)], *more)
-        .withColumn("_factor", F.lit(i))
-        for i in range(1, f)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _gradients(cells: DataFrame, f: int, k: int, tolerance: float, steps: int, nothing: np.ndarray) -> tuple[DataFrame, int, bool]:
-    """Coefficients of all levels but those of the first factor, steps taken, and whether they sufficed.
+def _gradients(
+    blocks: DataFrame, start: DataFrame, count: int, f: int, k: int, tolerance: float, steps: int, nothing: np.ndarray
+) -> tuple[DataFrame, int, bool]:
+    """Coefficients of all levels that are not eliminated, steps taken, and whether they sufficed.
 
     The matrix is singular where factors overlap, but the right sides lie in its range. Right
     sides not above `nothing`, of columns that the first factor determines, are rounding.
     """
     c = F.col
-    start = _per_level(_around_first(cells, k, "s", F.lit(1.0)), f, k, "s", "r", F.sum("n").alias("_d"))
     state = stored(
         start.withColumns({f"_v{j}": F.lit(0.0) for j in range(k)} | {f"_p{j}": c(f"_r{j}") / c("_d") for j in range(k)})
     )
+    # kept by block, so that only directions move in a step
+    kept = blocks.select("_block", "_starts", "_codes", "_n").repartition(count, "_block").persist()
+    kind = start.schema["_level"].dataType.simpleString()
+    schema = f"_factor int, _level {kind}, " + ", ".join(f"_q{j} double" for j in range(k))
     first, taken, done = None, 0, np.zeros(k, bool)
     while taken < steps and not done.all():
-        turned = _per_level(_around_first(_with_levels(cells, state, f, k, "p", "w"), k, "w", c("n")), f, k, "w", "q")
+        sent = state.select("_factor", "_level", *_names("p", k), F.inline("_to")).repartition(count, "_block")
+        turned = kept.groupBy("_block").cogroup(sent.groupBy("_block")).applyInArrow(_turned(f, k), schema)
+        turned = turned.groupBy("_factor", "_level").agg(*[F.sum(q).alias(q) for q in _names("q", k)])
         both = stored(state.join(turned, ["_factor", "_level"]))
         size, along, against, mixed, turned_size = _dots(
             both, [e for j in range(k) for e in _products(c(f"_p{j}"), c(f"_q{j}"), c(f"_r{j}"), c("_d"))]
@@ -155,6 +326,7 @@ def _gradients(cells: DataFrame, f: int, k: int, tolerance: float, steps: int, n
         state = moved.withColumns({f"_p{j}": c(f"_r{j}") / c("_d") + F.lit(float(keep[j])) * c(f"_p{j}") for j in range(k)})
         state = state.drop(*_names("q", k))
         taken += not done.all()
+    kept.unpersist()
     return stored(state.select("_factor", "_level", "_d", *_names("v", k))), taken, bool(done.all())
 
 
@@ -180,17 +352,8 @@ def _fitted(cells: DataFrame, levels: DataFrame | None, f: int, k: int) -> DataF
     return both.select(*cells.columns, *[(F.col(f"_t{j}") + F.col(f"_m{j}")).alias(f"_t{j}") for j in range(k)])
 
 
-def _rank(cells: DataFrame, f: int) -> int:
-    """Dimension of the space of all levels: exact for two factors, a bound from above beyond."""
-    counts = cells.agg(*[F.countDistinct(c) for c in _names("f", f)]).first()
-    if f == 1:
-        return int(counts[0])
-    return int(sum(counts)) - _components(cells) - (f - 2)
-
-
-def _components(cells: DataFrame) -> int:
-    """Connected parts of the graph of the first two factors, by spreading least labels."""
-    edges = cells.select("_f0", "_f1").distinct()
+def _components(edges: DataFrame) -> int:
+    """Connected parts of the graph of edges _f0, _f1, by spreading least labels."""
     labels = stored(edges.groupBy("_f1").agg(F.min("_f1").alias("_label")))
     while True:
         left = edges.join(labels, "_f1").groupBy("_f0").agg(F.min("_label").alias("_least"))
@@ -227,7 +390,10 @@ def fit_absorbed(
     df: DataFrame, y: str, factors: Sequence[str], covariates: Sequence[str] = (), tolerance: float = 1e-9, steps: int = 200
 ) -> AbsorbedFit:
     """Least squares of y on covariates and all levels of the factors."""
-    found = project(df, factors, [y, *covariates], tolerance, steps)
+    return _fit(project(df, factors, [y, *covariates], tolerance, steps), covariates)
+
+
+def _fit(found: Projection, covariates: Sequence[str]) -> AbsorbedFit:
     r, k = found.residual, len(covariates)
     free = [j for j in range(1, k + 1) if r[j, j] > 1e-9 * max(found.products[j, j], 1e-300)]
     beta, cov, sse, rank = np.full(k, np.nan), np.full((k, k), np.nan), float(r[0, 0]), 0
@@ -274,11 +440,11 @@ def level_effects(fit: AbsorbedFit) -> DataFrame:
         others = p.levels.select("_factor", "_level", F.col("_d").alias("n"), blend("v").alias("effect"))
         for i in range(1, f):
             part = others.where(F.col("_factor") == i)
-            tables.append(part.select(F.lit(p.factors[i]).alias("factor"), F.col("_level").alias("level"), "n", "effect"))
+            tables.append(part.select(F.lit(p.factors[i]).alias("factor"), F.col("_level").cast("string").alias("level"), "n", "effect"))
             first = first.join(part.select(F.col("_level").alias(f"_f{i}"), F.col("effect").alias(f"_g{i}")), f"_f{i}")
             first = first.withColumn("_e", F.col("_e") - F.col(f"_g{i}")).drop(f"_g{i}")
-    own = first.groupBy("_f0").agg(F.sum("n").alias("n"), F.avg("_e").alias("effect"))
-    tables.insert(0, own.select(F.lit(p.factors[0]).alias("factor"), F.col("_f0").alias("level"), "n", "effect"))
+    own = stored(first.groupBy("_f0").agg(F.sum("n").alias("n"), F.avg("_e").alias("effect")))
+    tables.insert(0, own.select(F.lit(p.factors[0]).alias("factor"), F.col("_f0").cast("string").alias("level"), "n", "effect"))
     out = []
     for t in tables:
         middle = t.agg(F.sum(F.col("n") * F.col("effect")) / F.sum("n")).scalar()

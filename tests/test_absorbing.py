@@ -95,3 +95,43 @@ def test_marginal_table_of_two_factors(spark):
     *_, sse_b, rb, _ = dense(pdf, ["b"], [])
     *_, sse, rank, _ = dense(pdf, ["a", "b"], [])
     assert (rows["a"].sum_sq, rows["a"].df) == (pytest.approx(sse_b - sse, rel=1e-6), rank - rb)
+
+
+def test_blocks_share_out_a_large_level(spark, monkeypatch):
+    monkeypatch.setattr(absorbing, "MOST_CELLS", 25)
+    rng = np.random.default_rng(4)
+    n = 500
+    a = np.where(rng.random(n) < 0.5, 3, rng.integers(0, 30, n))  # level 3 reaches over several blocks
+    b = rng.integers(0, 80, n) + 100 * (a >= 25)  # and two parts share no level
+    x1 = rng.normal(0, 1, n) + a
+    pdf = pd.DataFrame({"a": a, "b": b, "x1": x1, "y": np.sin(a) + 0.02 * b + 0.5 * x1 + rng.normal(0, 0.1, n)})
+    df = spark.createDataFrame(pdf).repartition(4)
+    fit = absorbing.fit_absorbed(df, "y", ["a", "b"], ["x1"])
+    beta, se, sse, rank, fitted = dense(pdf, ["a", "b"], ["x1"])
+    assert absorbing._blocks(fit.projection.cells.select("_f0", "_f1", "n", "_s0", "_s1"), 2, 2)[1] > 8
+    assert fit.projection.converged and (fit.n, fit.rank) == (n, rank)
+    assert (fit.beta[0], fit.sse) == (pytest.approx(beta[0], rel=1e-6), pytest.approx(sse, rel=1e-8))
+    effects = {(r.factor, r.level): r.effect for r in absorbing.level_effects(fit).collect()}
+    got = pdf.a.map(lambda v: effects["a", str(v)]) + pdf.b.map(lambda v: effects["b", str(v)]) + fit.beta[0] * pdf.x1
+    part = pdf.a >= 25  # the parts differ by an open constant
+    for some in (part, ~part):
+        assert np.ptp((got - fitted)[some]) < 1e-6
+    # the first factor alone, a by-product
+    *_, sse_a, rank_a, _ = dense(pdf, ["a"], [])
+    first = fit.projection.first
+    assert (first.rank, first.residual[0, 0]) == (rank_a, pytest.approx(sse_a, rel=1e-8))
+
+
+def test_directions_move_and_combinations_stay(spark, monkeypatch):
+    """A step exchanges a row per level and block, fewer than there are combinations."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.integers(0, 300, 6000), "b": rng.integers(0, 40, 6000), "y": rng.normal(0, 1, 6000)})
+    plans = []
+    keep = absorbing.stored
+    monkeypatch.setattr(absorbing, "stored", lambda df: plans.append(df) or keep(df))
+    found = absorbing.project(spark.createDataFrame(pdf), ["a", "b"], ["y"])
+    steps = [df for df in plans if "_q0" in df.columns]
+    assert found.converged and len(steps) >= found.steps
+    assert found.cells.count() > 4000 and max(df.count() for df in steps) == 40
+    for df in steps:  # nothing in a step reads the table of combinations
+        assert "_f1" not in df._jdf.queryExecution().optimizedPlan().toString()
