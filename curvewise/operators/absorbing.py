@@ -463,12 +463,14 @@ def anova_absorbed(
     if kind not in ("sequential", "marginal"):
         raise ValueError("kind is sequential or marginal")
     factors = list(factors)
-    rows = df.select(*dict.fromkeys([*factors, y, *covariates])).dropna("any").withColumn("_one", F.lit("all"))
+    cells = sum_to_cells(df, factors, [y, *covariates])
+    full = _fit(project_cells(cells, **limits), covariates)
 
     def fitted(some: Sequence[str]) -> AbsorbedFit:
-        return fit_absorbed(rows, y, list(some) or ["_one"], covariates, **limits)
+        # the first factor alone is a by-product of the full model
+        alone = full.projection.first if list(some) == factors[:1] else None
+        return _fit(alone or project_cells(cells.of(some), **limits), covariates)
 
-    full = fitted(factors)
     ends = [factors[:i] for i in range(len(factors))] if kind == "sequential" else [[g for g in factors if g != h] for h in factors]
     smaller = [fitted(s) for s in ends]
     larger = [*smaller[1:], full] if kind == "sequential" else [full] * len(factors)
