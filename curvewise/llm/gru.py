@@ -10,8 +10,6 @@ from __future__ import annotations
 import numpy as np
 
 Params = dict[str, np.ndarray]
-#: States of one class that are multiplied together.
-BLOCK = 32
 
 
 def new_params(log_p: np.ndarray, hidden: int, width: int) -> Params:
@@ -47,13 +45,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _shares(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax over the last axis, and the log share of each picked entry.
+def _exponentials(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of x, their sums over the last axis, and the log share of each entry `at`,
+    counted through x.
 
     Numbers are shifted by the largest of their row only where the range of floats asks for it.
     """
     ones = np.ones(x.shape[-1], x.dtype)
-    chosen = np.take_along_axis(x, pick[..., None], -1)[..., 0]
+    chosen = x.reshape(-1)[at]
     with np.errstate(over="ignore"):
         shares = np.exp(x)
     sums = shares @ ones
@@ -61,97 +60,128 @@ def _shares(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = x.max(axis=-1)
         shares = np.exp(x - top[..., None])
         sums = shares @ ones
-        chosen = chosen - top
-    shares /= sums[..., None]
-    return shares, chosen - np.log(sums)
-
-
-def _blocks(group: np.ndarray, classes: int, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by class in blocks of `size`: row numbers (blocks x size) and the class of each block.
-    A class begins a new block; places that are left over hold the number after the last row."""
-    order = np.argsort(group, kind="stable")
-    counts = np.bincount(group, minlength=classes)
-    blocks = -(-counts // size)
-    first_row = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    first_place = np.concatenate([[0], np.cumsum(blocks)[:-1]]) * size
-    places = np.full(int(blocks.sum()) * size, len(group))
-    sorted_group = group[order]
-    places[first_place[sorted_group] + np.arange(len(group)) - first_row[sorted_group]] = order
-    return places.reshape(-1, size), np.repeat(np.arange(classes), blocks)
+        chosen = chosen - top.reshape(-1)
+    return shares, sums, chosen - np.log(sums.reshape(-1))
 
 
 def output_log_p(p: Params, h: np.ndarray, target: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target after each state; with `grads`, adds the gradients of the
-    summed negative log likelihood and returns that of the states too."""
-    width, classes = p["word_b"].shape[1], len(p["class_b"])
-    group, inside = target // width, target % width
-    share, logs = _shares(h @ p["class_w"] + p["class_b"], group)
+    summed negative log likelihood and returns that of the states too.
+
+    States get a last entry of 1, so that biases are the last row of the weights.
+    """
+    (classes, width), (count, n) = p["word_b"].shape, h.shape
+    order = np.argsort(target // width, kind="stable")  # states of one class lie together
+    group, inside = np.divmod(target[order], width)
+    own = np.ones((count, n + 1), h.dtype)
+    own[:, :n] = h[order]
+    class_w = np.concatenate([p["class_w"], p["class_b"][None]])
+    at = np.arange(0, count * classes, classes) + group
+    share, sums, logs = _exponentials(own @ class_w, at)
     out = logs.astype(np.float64)
-    dh = None
-    if grads is not None:
-        share[np.arange(len(h)), group] -= 1
-        grads["class_w"] += h.T @ share
-        grads["class_b"] += share.sum(axis=0)
-        dh = share @ p["class_w"].T
-    places, owner = _blocks(group, classes)
-    own = np.concatenate([h, np.zeros((1, h.shape[1]), h.dtype)])[places]
-    pick = np.append(inside, 0)[places]
-    weights = p["word_w"][owner]
-    logits = own @ weights
-    logits += p["word_b"][owner][:, None, :]
-    share, logs = _shares(logits, pick)
-    real = places < len(h)
-    rows = places[real]
-    out[rows] += logs[real]
     if grads is not None:
-        np.put_along_axis(share, pick[..., None], np.take_along_axis(share, pick[..., None], -1) - 1, -1)
-        share *= real[..., None]
-        ends = np.searchsorted(owner, np.arange(classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            some = share[ends[c] : ends[c + 1]].reshape(-1, width)
-            grads["word_w"][c] += own[ends[c] : ends[c + 1]].reshape(len(some), -1).T @ some
-            grads["word_b"][c] += np.ones(len(some), some.dtype) @ some
-        dh[rows] += (share @ weights.transpose(0, 2, 1))[real]
-    return out, dh
+        share *= (1 / sums)[:, None]
+        share.reshape(-1)[at] -= 1
+        both = own.T @ share
+        grads["class_w"] += both[:n]
+        grads["class_b"] += both[n]
+        d_own = share @ p["class_w"].T
+    weights = np.concatenate([p["word_w"], p["word_b"][:, None]], axis=1)
+    ends = np.searchsorted(group, np.arange(classes + 1)).tolist()
+    parts = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+    logits = np.empty((count, width), h.dtype)
+    for c, some in parts:
+        np.matmul(own[some], weights[c], out=logits[some])
+    at = np.arange(0, count * width, width) + inside
+    share, sums, logs = _exponentials(logits, at)
+    out += logs
+    back = np.empty(count)
+    back[order] = out
+    if grads is None:
+        return back, None
+    share *= (1 / sums)[:, None]
+    share.reshape(-1)[at] -= 1
+    both, d_word = np.zeros_like(weights), np.empty_like(h)
+    for c, some in parts:
+        np.matmul(own[some].T, share[some], out=both[c])
+        np.matmul(share[some], p["word_w"][c].T, out=d_word[some])
+    grads["word_w"] += both[:, :n]
+    grads["word_b"] += both[:, n]
+    d_own += d_word
+    dh = np.empty_like(h)
+    dh[order] = d_own
+    return back, dh
 
 
-def step(gates: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step from input gates and state: new state, reset and update, candidate, recurrent part."""
+def step(gates: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The state after one step from input gates and state."""
     n = h.shape[1]
-    hu = h @ u
-    rz = _sigmoid(gates[:, : 2 * n] + hu[:, : 2 * n])
-    last = hu[:, 2 * n :]
-    new = rz[:, :n] * last
+    rz = h @ u[:, : 2 * n]
+    rz += gates[:, : 2 * n]
+    _sigmoid(rz)
+    new = h @ u[:, 2 * n :]
+    new *= rz[:, :n]
     new += gates[:, 2 * n :]
     np.tanh(new, out=new)
     out = h - new
     out *= rz[:, n:]
     out += new
-    return out, rz, new, last
+    return out
+
+
+def _views(values: np.ndarray, like: Params) -> Params:
+    """Arrays shaped as those of `like`, one behind the other in `values`."""
+    ends = np.cumsum([v.size for v in like.values()]).tolist()
+    return {k: values[end - v.size : end].reshape(v.shape) for (k, v), end in zip(like.items(), ends, strict=True)}
 
 
 def window_gradients(
-    p: Params, h: np.ndarray, seen: np.ndarray, target: np.ndarray, fresh: np.ndarray, real: np.ndarray | None = None
+    p: Params, h: np.ndarray, seen: np.ndarray, target: np.ndarray, fresh: np.ndarray, real: np.ndarray | None = None,
+    into: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float, Params]:
     """Forward and backward through one window of steps x lanes; the state before it is given
     and gets no gradient. `fresh` marks steps that begin a document, `real` the targets that
-    count, all unless given.
+    count, all unless given; `into` is a vector to overwrite with the gradients.
 
     Only the recurrence runs step by step. What does not depend on later steps is computed for
     the whole window at once.
     """
     steps, lanes = seen.shape
     n = h.shape[1]
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
-    x = p["embed"][seen]
-    gates = x @ p["w"] + p["b"]
+    if into is None:
+        into = np.empty(sum(v.size for v in p.values()), h.dtype)
+    into.fill(0)
+    grads = _views(into, p)
+    tokens = seen.reshape(-1)
+    x = p["embed"][tokens]
+    given_rz, given_new = x @ p["w"][:, : 2 * n], x @ p["w"][:, 2 * n :]
+    given_rz += p["b"][: 2 * n]
+    given_rz *= 0.5
+    given_new += p["b"][2 * n :]
+    given_rz, given_new = given_rz.reshape(steps, lanes, 2 * n), given_new.reshape(steps, lanes, n)
+    # the gates are 0.5 + 0.5 * tanh of half their sums, and halves are exact
+    u_rz, u_new = 0.5 * p["u"][:, : 2 * n], np.ascontiguousarray(p["u"][:, 2 * n :])
     kept = (~fresh).astype(h.dtype)[..., None]
     before, states, new, last = (np.empty((steps, lanes, n), h.dtype) for _ in range(4))
     rz = np.empty((steps, lanes, 2 * n), h.dtype)
-    for t in range(steps):
-        np.multiply(h, kept[t], out=before[t])
-        h, rz[t], new[t], last[t] = step(gates[t], before[t], p["u"])
-        states[t] = h
+    r, z = rz[..., :n], rz[..., n:]
+    for keep, old, gates, reset, update, both, old_part, candidate, given, out in zip(
+        kept, before, given_rz, r, z, rz, last, new, given_new, states, strict=True
+    ):
+        np.multiply(h, keep, out=old)
+        np.matmul(old, u_rz, out=both)
+        both += gates
+        np.tanh(both, out=both)
+        both *= 0.5
+        both += 0.5
+        np.matmul(old, u_new, out=old_part)
+        np.multiply(reset, old_part, out=candidate)
+        candidate += given
+        np.tanh(candidate, out=candidate)
+        np.subtract(old, candidate, out=out)
+        out *= update
+        out += candidate
+        h = out
     flat_states, flat_target = states.reshape(-1, n), target.reshape(-1)
     if real is None:
         logs, d_states = output_log_p(p, flat_states, flat_target, grads)
@@ -160,32 +190,38 @@ def window_gradients(
         d_states = np.zeros_like(flat_states)
         logs, d_states[at] = output_log_p(p, flat_states[at], flat_target[at], grads)
     d_states = d_states.reshape(steps, lanes, n)
-    r, z = rz[..., :n], rz[..., n:]
-    to_new = (1 - z) * (1 - new * new)
-    to_z = (before - new) * z * (1 - z)
-    to_r = to_new * last * r * (1 - r)
+    r, z = np.ascontiguousarray(r), np.ascontiguousarray(z)
+    rest = 1 - z
+    to_new = 1 - new * new
+    to_new *= rest
     # slopes of reset, update and the recurrent part of the candidate in the state
-    slopes = np.concatenate([to_r, to_z, to_new * r], axis=2).reshape(steps, lanes, 3, n)
-    carried = z * kept
+    slopes = np.empty((steps, lanes, 3, n), h.dtype)
+    carried = to_new * r
+    slopes[:, :, 2] = carried
+    carried *= last
+    np.multiply(carried, 1 - r, out=slopes[:, :, 0])
+    np.subtract(before, new, out=carried)
+    carried *= z
+    np.multiply(carried, rest, out=slopes[:, :, 1])
+    np.multiply(z, kept, out=carried)
     u_t = np.ascontiguousarray(p["u"].T)
-    d_all = np.empty((steps, lanes, n), h.dtype)
+    d_u = np.empty((steps, lanes, 3, n), h.dtype)
     dh = np.zeros((lanes, n), h.dtype)
     for t in range(steps - 1, -1, -1):
-        np.add(dh, d_states[t], out=d_all[t])
-        du = (slopes[t] * d_all[t][:, None, :]).reshape(lanes, 3 * n)
-        dh = du @ u_t
+        d = d_states[t]
+        d += dh
+        np.multiply(slopes[t], d[:, None, :], out=d_u[t])
+        dh = d_u[t].reshape(lanes, 3 * n) @ u_t
         dh *= kept[t]
-        dh += d_all[t] * carried[t]
-    d_u = (slopes * d_all[:, :, None, :]).reshape(-1, 3 * n)
-    grads["u"] += before.reshape(-1, n).T @ d_u
-    flat = d_u
-    flat[:, 2 * n :] = (to_new * d_all).reshape(-1, n)
-    grads["w"] += x.reshape(-1, n).T @ flat
-    grads["b"] += flat.sum(axis=0)
-    tokens = seen.reshape(-1)
-    order = np.argsort(tokens, kind="stable")
-    starts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-    grads["embed"][tokens[order[starts]]] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)
+        dh += d * carried[t]
+    flat = d_u.reshape(-1, 3 * n)
+    grads["u"] += before.reshape(-1, n).T @ flat
+    np.multiply(to_new, d_states, out=d_u[:, :, 2])
+    grads["w"] += x.T @ flat
+    grads["b"] += np.ones(len(flat), flat.dtype) @ flat
+    places = tokens[:, None] * np.int64(n) + np.arange(n)
+    summed = np.bincount(places.reshape(-1), (flat @ p["w"].T).reshape(-1), p["embed"].size)
+    grads["embed"] += summed.reshape(p["embed"].shape).astype(h.dtype)
     return h, -float(logs.sum()), grads
 
 
@@ -200,41 +236,41 @@ def train(p: Params, stream: np.ndarray, end: int, lanes: int = 64, window: int
     length = -(-(len(stream) - 1) // lanes)
     if length < 1:
         return p
-    p = {k: v.copy() for k, v in p.items()}
+    weights = np.concatenate([v.reshape(-1) for v in p.values()])
+    p = _views(weights, p)  # all weights in one vector, for the steps
     filled = np.full(lanes * length + 1, end, stream.dtype)
     filled[: len(stream)] = stream
     seen = filled[:-1].reshape(lanes, length).T
     target = filled[1:].reshape(lanes, length).T
     real = (np.arange(lanes * length) < len(stream) - 1).reshape(lanes, length).T
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
+    first, second, move, g = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), np.empty_like(weights)
     h = np.zeros((lanes, p["u"].shape[0]), np.float32)
     for i, a in enumerate(range(0, length, window), 1):
         part, counted = seen[a : a + window], real[a : a + window]
-        h, _, grads = window_gradients(p, h, part, target[a : a + window], part == end, None if counted.all() else counted)
+        h = window_gradients(p, h, part, target[a : a + window], part == end, None if counted.all() else counted, g)[0]
         size = max(1, int(counted.sum()))
-        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / size
+        norm = np.sqrt(float(g @ g)) / size
         shrink = np.float32(min(1.0, 0.5 / max(norm, 1e-9)) / size)
         damp = np.float32(1 / np.sqrt(1 - 0.995**i))
         pace = np.float32(rate / (1 - 0.9**i))
-        for k, g in grads.items():
-            g *= shrink
-            first[k] *= np.float32(0.9)
-            first[k] += np.float32(0.1) * g
-            g *= g
-            g *= np.float32(0.005)
-            second[k] *= np.float32(0.995)
-            second[k] += g
-            np.sqrt(second[k], out=g)
-            g *= damp
-            g += np.float32(1e-8)
-            np.divide(first[k], g, out=g)
-            g *= pace
-            p[k] -= g
+        first *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1) * shrink, out=move)
+        first += move
+        second *= np.float32(0.995)
+        g *= shrink
+        g *= g
+        g *= np.float32(0.005)
+        second += g
+        np.sqrt(second, out=g)
+        g *= damp
+        g += np.float32(1e-8)
+        np.divide(first, g, out=g)
+        g *= pace
+        weights -= g
     return p
 
 
-def log_likelihoods(p: Params, texts: list[np.ndarray], end: int, flush: int = 40_000) -> np.ndarray:
+def log_likelihoods(p: Params, texts: list[np.ndarray], end: int, flush: int = 4_000) -> np.ndarray:
     """Natural log probability of each whole token sequence, all advanced in step, the state
     carried through to the end of each."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -249,7 +285,7 @@ def log_likelihoods(p: Params, texts: list[np.ndarray], end: int, flush: int = 4
     states, targets, owners, held = [], [], [], 0
     for t in range(int(sizes[0]) if len(sizes) else 0):
         live = int(np.searchsorted(-sizes, -t, side="left"))
-        h = step(gates[seen[:live]], h[:live], p["u"])[0]
+        h = step(gates[seen[:live]], h[:live], p["u"])
         seen = flat[starts[:live] + t]
         states.append(h)
         targets.append(seen)

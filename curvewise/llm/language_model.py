@@ -21,17 +21,16 @@ of text is scored whole. Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvewise.llm import gru
-from curvewise.llm.words import text_slices, words_of
+from curvewise.llm.words import text_slices, words_in
 from curvewise.session import stored
 
 #: Tokens of the recurrent model; tokens whose counts are broadcast; state size.
@@ -43,25 +42,29 @@ END = b"\n"
 #: Distinct tokens a task counts before it hands them on.
 HELD_TOKENS = 400_000
 #: Bytes of token numbers that are trained on, or scored, together; one document at least.
-SLICE_NUMBERS = 1_500_000
+SLICE_NUMBERS, SLICE_SCORED = 1_500_000, 6_000_000
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held, rows, texts = [], 0, 0
 
-    def table() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
-        counts.clear()
-        return out
+    def merged() -> pa.Table:
+        sums = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")])
+        return sums.select(["token", "c_sum"]).rename_columns(["token", "c"])
 
     for piece in text_slices(batches, "text"):
-        for text in piece.column("text").to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-        if len(counts) >= HELD_TOKENS:
-            yield table()
-    if counts:
-        yield table()
+        met = words_in(piece.column("text"))[0].value_counts()
+        held.append(pa.table({"token": met.field("values"), "c": met.field("counts")}))
+        rows, texts = rows + len(met), texts + piece.num_rows
+        if rows >= HELD_TOKENS:
+            now = merged()
+            full = 2 * len(now) >= HELD_TOKENS
+            if full:
+                yield from now.to_batches()
+            held, rows = ([], 0) if full else ([now], len(now))
+    if texts:
+        held.append(pa.table({"token": pa.array([END], pa.binary()), "c": pa.array([texts], pa.int64())}))
+        yield from merged().to_batches()
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -111,40 +114,48 @@ class Vocabulary:
 _NUMBERED = "id {0}, part int, held_out boolean, n_tokens bigint, n_known bigint, base double, other double, rare array<struct<token:binary,tf:bigint>>, numbers binary"
 
 
+def _bags(of_text: np.ndarray, tokens: pa.Array, texts: int) -> pa.Array:
+    """Per text its distinct tokens and their numbers."""
+    bags = pa.table({"text": of_text, "token": tokens}).group_by(["text", "token"], use_threads=False).aggregate([([], "count_all")])
+    bags = bags.sort_by("text").combine_chunks()
+    offsets = np.searchsorted(bags.column("text").to_numpy(), np.arange(texts + 1)).astype(np.int32)
+    columns = [pa.concat_arrays([*bags.column(c).chunks, pa.array([], kind)]) for c, kind in (("token", pa.binary()), ("count_all", pa.int64()))]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["token", "tf"]))
+
+
 def _number_batches(words: Vocabulary):
     """Per row: sums over the tokens whose counts are at hand, the other tokens, and the
     shortlist numbers of all tokens as unsigned 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = {t: words.log10_p(c) for t, c in words.counts.items()}
-        kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
+        frequent = pa.array(list(words.counts), pa.binary())
+        end = next((i for i, t in enumerate(words.counts) if t == END), -1)
+        # the last place is for tokens whose counts are not at hand, at -1
+        log_p = np.array([*(words.log10_p(c) for c in words.counts.values()), 0.0])
+        number = np.array([*(words.number.get(t, 0) for t in words.counts), 0], np.dtype("<u2"))
         for piece in text_slices(batches, "text"):
-            n, known, base, other, rare, numbers = [], [], [], [], [], []
-            for text in piece.column("text").to_pylist():
-                tokens = words_of(text)
-                tokens.append(END)
-                sums, missing, unlisted, hits, outside = 0.0, [], 0.0, 0, 0
-                for token, tf in Counter(tokens).items():
-                    value = log_p.get(token)
-                    if value is None:
-                        missing.append({"token": token, "tf": tf})
-                        outside += tf
-                        continue
-                    hits += tf
-                    sums += tf * value
-                    if token not in words.number:
-                        unlisted += tf * value
-                        outside += tf
-                n.append(len(tokens))
-                known.append(hits)
-                base.append(sums)
-                other.append(unlisted - outside * words.other)
-                rare.append(missing)
-                numbers.append(np.fromiter(map(words.number.get, tokens, repeat(0)), np.dtype("<u2"), len(tokens)).tobytes())
+            tokens, sizes = words_in(piece.column("text"))
+            found = pc.fill_null(pc.index_in(tokens, frequent), -1).to_numpy()
+            last = np.cumsum(sizes)
+            missing = np.flatnonzero(found < 0)
+            of_text, unknown = np.searchsorted(last, missing, side="right"), tokens.take(pa.array(missing))
+            if end < 0:  # no training rows: the end token is as unknown as the others
+                of_text = np.concatenate([of_text, np.arange(len(sizes))])
+                unknown = pa.concat_arrays([unknown, pa.array([END] * len(sizes), pa.binary())])
+            rare = _bags(of_text, unknown, len(sizes))
+            n, ranks = sizes + 1, np.insert(found, last, end)
+            ends = np.cumsum(n)
+            starts = ends - n
+            values, listed = log_p[ranks], number[ranks]
+            base, known = np.add.reduceat(values, starts), np.add.reduceat(ranks >= 0, starts, dtype=np.int64)
+            outside = listed == 0
+            other = np.add.reduceat(np.where(outside, values, 0.0), starts) - words.other * np.add.reduceat(outside, starts, dtype=np.int64)
+            whole = listed.tobytes()
+            numbers = [whole[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("id"), piece.column("part"), piece.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(other, pa.float64()), pa.array(rare, kind), pa.array(numbers, pa.binary()),
+                    pa.array(base, pa.float64()), pa.array(other, pa.float64()), rare, pa.array(numbers, pa.binary()),
                 ],
                 names=["id", "part", "held_out", "n_tokens", "n_known", "base", "other", "rare", "numbers"],
             )
@@ -153,7 +164,7 @@ def _number_batches(words: Vocabulary):
 
 
 def _streams(piece: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in piece.column("numbers").to_pylist()]
+    return [np.frombuffer(x, "<u2") for x in piece.column("numbers").to_pylist()]
 
 
 def _train_batches(params: gru.Params, end: int):
@@ -162,7 +173,7 @@ def _train_batches(params: gru.Params, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = params, 0
         for piece in text_slices(batches, "numbers", SLICE_NUMBERS):
-            stream = np.concatenate([np.array([end]), *_streams(piece)])
+            stream = np.concatenate([np.array([end], np.uint16), *_streams(piece)])
             now, seen = gru.train(now, stream, end), seen + len(stream) - 1
         if seen:
             flat = np.concatenate([now[k].reshape(-1) for k in sorted(now)])
@@ -196,7 +207,7 @@ def fit(numbered: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: in
 
 def _score_batches(params: gru.Params, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, "numbers", SLICE_NUMBERS):
+        for piece in text_slices(batches, "numbers", SLICE_SCORED):
             model = gru.log_likelihoods(params, _streams(piece), end) / math.log(10)
             yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(model, pa.float64())], names=["row", "model"])
 

@@ -20,6 +20,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, as `words_of` gives them, and their number in each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    filled = pc.not_equal(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    offsets = lists.offsets.to_numpy()
+    return words.filter(filled).cast(pa.binary()), np.diff(before[offsets - offsets[0]])
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while there is room."""
 
