@@ -37,14 +37,6 @@ def new_params(log_p: np.ndarray, hidden: int, width: int) -> Params:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
-
-
 def _exponentials(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials of x, their sums over the last axis, and the log share of each entry `at`,
     counted through x.
@@ -114,11 +106,13 @@ def output_log_p(p: Params, h: np.ndarray, target: np.ndarray, grads: Params | N
 
 
 def step(gates: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The state after one step from input gates and state."""
+    """The state after one step from input gates and state; of reset and update, gates and `u` are halves."""
     n = h.shape[1]
     rz = h @ u[:, : 2 * n]
     rz += gates[:, : 2 * n]
-    _sigmoid(rz)
+    np.tanh(rz, out=rz)
+    rz *= 0.5
+    rz += 0.5
     new = h @ u[:, 2 * n :]
     new *= rz[:, :n]
     new += gates[:, 2 * n :]
@@ -277,21 +271,22 @@ def log_likelihoods(p: Params, texts: list[np.ndarray], end: int, flush: int = 4
     sizes = np.array([len(texts[i]) for i in order])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     flat = np.concatenate([texts[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-    gates = p["embed"] @ p["w"] + p["b"]
     n = p["u"].shape[0]
+    half = np.where(np.arange(3 * n) < 2 * n, np.float32(0.5), np.float32(1))
+    gates, u = (p["embed"] @ p["w"] + p["b"]) * half, p["u"] * half
     total = np.zeros(len(order))
     h = np.zeros((len(order), n), np.float32)
     seen = np.full(len(order), end)
     states, targets, owners, held = [], [], [], 0
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -t, side="left"))
-        h = step(gates[seen[:live]], h[:live], p["u"])
+    longest = int(sizes[0]) if len(sizes) else 0
+    for t, live in enumerate(np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()):
+        h = step(gates[seen[:live]], h[:live], u)
         seen = flat[starts[:live] + t]
         states.append(h)
         targets.append(seen)
         owners.append(live)
         held += live
-        if held >= flush or t + 1 == sizes[0]:
+        if held >= flush or t + 1 == longest:
             logs, _ = output_log_p(p, np.concatenate(states), np.concatenate(targets))
             owner = np.concatenate([np.arange(k) for k in owners])
             total += np.bincount(owner, weights=logs, minlength=len(order))

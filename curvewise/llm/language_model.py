@@ -56,9 +56,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         met = words_in(piece.column("text"))[0].value_counts()
         held.append(pa.table({"token": met.field("values"), "c": met.field("counts")}))
         rows, texts = rows + len(met), texts + piece.num_rows
-        if rows >= HELD_TOKENS:
+        if rows >= 2 * HELD_TOKENS:
             now = merged()
-            full = 2 * len(now) >= HELD_TOKENS
+            full = len(now) >= HELD_TOKENS
             if full:
                 yield from now.to_batches()
             held, rows = ([], 0) if full else ([now], len(now))
