@@ -20,9 +20,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +65,24 @@ def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 
 @dataclass
 class Model:
+    """Flat arrays, which the driver holds and ships; tasks derive the look-ups at first use."""
+
     languages: list[str]
-    words: dict[str, int]
+    listed: pa.Array
     word_scores: np.ndarray
     keys: np.ndarray
     gram_scores: np.ndarray
 
-    def __post_init__(self):
-        self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.listed.to_pylist())}
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        out = np.full(1 << _SLOT_BITS, -1, np.int32)
         slot = (self.keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        self.slots[slot[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        out[slot[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        return out
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Log posteriors of words that are not in the list."""
@@ -117,14 +127,18 @@ def _posterior(logs: np.ndarray) -> np.ndarray:
     return (logs - top - np.log(np.exp(logs - top).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def _frequencies(counts: dict, languages: list[str]) -> tuple[list, np.ndarray]:
+def _frequencies(found: pa.Table, key: str, languages: list[str]) -> tuple[pa.Array, np.ndarray]:
     """Keys by falling total count, and the log posterior of each language given the key."""
-    keys = sorted(counts, key=lambda k: (-sum(counts[k].values()), k))
-    table = np.array([[counts[k].get(lang, 0) for lang in languages] for k in keys], float)
-    if not keys:
-        return keys, np.zeros((0, len(languages)), np.float32)
-    total = table.sum(axis=0)
-    return keys, _posterior(np.log((table + 0.5) / (total + 0.5 * (len(keys) + 1))))
+    coded = found[key].combine_chunks().dictionary_encode()
+    table = np.zeros((len(coded.dictionary), len(languages)))
+    if not len(table):
+        return coded.dictionary, table.astype(np.float32)
+    lang = pc.index_in(found["lang"], pa.array(languages, pa.string()))
+    table[coded.indices.to_numpy(), lang.to_numpy()] = found["c"].to_numpy()
+    sums = pa.table({"sum": table.sum(axis=1), "key": coded.dictionary})
+    order = pc.sort_indices(sums, [("sum", "descending"), ("key", "ascending")])
+    table, total = table[order.to_numpy()], table.sum(axis=0)
+    return coded.dictionary.take(order), _posterior(np.log((table + 0.5) / (total + 0.5 * (len(table) + 1))))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +175,8 @@ def fit(
     grams: int = GRAMS,
 ) -> Model:
     """The model of the rows whose language is not null. What reaches the driver is bounded by
-    `words` and `grams` per language.
+    `words` and `grams` per language, and stays in Arrow columns there: as Python objects it
+    would take several times their room.
 
     Rows are drawn by a hash of id, text and row place, so repeats of a hot id or text, or rows
     without an id, are in the sample in their share only. A language's threshold is a literal
@@ -173,7 +188,7 @@ def fit(
     )
     below = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r.lang), F.lit(1e6 * sample / r["count"]))]
     if not below:
-        return Model([], {}, np.zeros((0, 0), np.float32), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+        return Model([], pa.array([], pa.string()), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
     drawn = rows.where(F.col("draw") < F.create_map(*below)[F.col("lang")]).select("lang", "text")
     counts = drawn.mapInArrow(_count_batches, "lang string, kind int, word string, gram bigint, c bigint")
     counts = counts.groupBy("lang", "kind", "word", "gram").agg(F.sum("c").alias("c"))
@@ -181,18 +196,12 @@ def fit(
     top = counts.withColumn("at", F.row_number().over(order)).where(
         F.when(F.col("kind") == 0, F.col("at") <= words).otherwise(F.col("at") <= grams)
     )
-    by_word: dict[str, dict] = {}
-    by_gram: dict[int, dict[int, dict]] = {n: {} for n in range(1, ORDER + 1)}
-    languages = set()
-    for r in top.select("lang", "kind", "word", "gram", "c").collect():
-        languages.add(r.lang)
-        table = by_word.setdefault(r.word, {}) if r.kind == 0 else by_gram[r.kind].setdefault(r.gram, {})
-        table[r.lang] = r.c
-    names = sorted(languages)
-    word_keys, word_scores = _frequencies(by_word, names)
-    found = [_frequencies(by_gram[n], names) for n in by_gram]
-    keys = np.array([k for ks, _ in found for k in ks], np.int64).view(np.uint64)
-    return Model(names, {w: i for i, w in enumerate(word_keys)}, word_scores, keys, np.concatenate([s for _, s in found]))
+    found = top.select("lang", "kind", "word", "gram", "c").toArrow()
+    names = sorted(pc.unique(found["lang"]).to_pylist())
+    word_keys, word_scores = _frequencies(found.filter(pc.field("kind") == 0), "word", names)
+    by_length = [_frequencies(found.filter(pc.field("kind") == n), "gram", names) for n in range(1, ORDER + 1)]
+    keys = np.concatenate([k.to_numpy() for k, _ in by_length]).view(np.uint64)
+    return Model(names, word_keys, word_scores, keys, np.concatenate([s for _, s in by_length]))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

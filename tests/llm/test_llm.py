@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import json
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -427,6 +429,25 @@ def test_language_sample_of_a_hot_id_and_without_text_shuffle(spark):
     assert {r.lang_pred for r in language.identify(docs.limit(5), language.fit(docs.limit(0))).collect()} == {language.UNKNOWN}
 
 
+def test_language_model_in_flat_arrays_has_the_plain_counts_scores(spark):
+    """As Python objects the counts took the driver beyond its memory on tables in many partitions."""
+    name = lambda kind, i: kind + "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"the é {name('xy'[i % 2], i)} {name('z', i % 50)}", ("en", "de")[i % 2]) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    tracemalloc.start()
+    model = language.fit(docs, sample=30_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and len(pickle.dumps(model)) < 5e6
+    counts = {k: collections.Counter(w for _, t, lang in rows if lang == k for w in t.split()) for k in ("de", "en")}
+    every = sum(counts.values(), collections.Counter())
+    assert model.languages == ["de", "en"] and list(model.words) == sorted(every, key=lambda w: (-every[w], w))
+    for w in ["the", "é", "za", "zej", rows[7][1].split()[2]]:
+        logs = [math.log((counts[k][w] + 0.5) / (counts[k].total() + 0.5 * (len(every) + 1))) for k in counts]
+        plain = np.array(logs) - np.log(np.exp(logs).sum())
+        assert np.allclose(model.word_scores[model.words[w]], plain, atol=1e-6)
+
+
 def test_recurrent_model_equals_one_step_at_a_time():
     rng = np.random.default_rng(4)
     p = gru.new_params(np.log(rng.dirichlet(np.ones(70))), 6, 9)
