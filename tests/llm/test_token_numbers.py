@@ -55,3 +55,50 @@ def test_gradients_overwrite_a_given_vector():
     given = np.full(sum(v.size for v in p.values()), 7, np.float32)
     _, again, got = gru.window_gradients(p, h, seen, target, seen == 0, None, given)
     assert loss == again and all(np.shares_memory(got[k], given) and (got[k] == want[k]).all() for k in p)
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_runs_of_states_leave_gradients_and_scores_as_they_are(monkeypatch, counted):
+    """Arrays over a whole window at once left the cache and took the query over its CPU seconds."""
+    rng = np.random.default_rng(5)
+    p = gru.new_params(np.log(rng.dirichlet(np.ones(70))), 6, 9)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) * (v > -1e8) for k, v in p.items()}
+    seen, target = np.minimum(rng.zipf(1.3, (2, 13, 5)) - 1, 69).astype(np.uint16)  # classes of most and of no states
+    h, real = rng.normal(0, 0.5, (5, 6)).astype(np.float32), rng.random((13, 5)) < 0.8 if counted else None
+    texts = [rng.integers(0, 70, n).astype(np.uint16) for n in (1, 40, 3, 17, 17, 2, 9)]
+    most, exponentials = [0], gru._exponentials
+
+    def watched(x, at):
+        most[0] = max(most[0], len(x))
+        return exponentials(x, at)
+
+    monkeypatch.setattr(gru, "_exponentials", watched)
+    found = {}
+    for rows in (4, 7, 10, 10**6):
+        monkeypatch.setattr(gru, "ROWS", rows)
+        most[0] = 0
+        found[rows] = (*gru.window_gradients(p, h, seen, target, seen == 3, real), gru.log_likelihoods(p, texts, 3))
+        assert most[0] <= rows
+    state, loss, grads, scores = found.pop(10**6)
+    for some_state, some_loss, some_grads, some_scores in found.values():
+        assert np.allclose(some_state, state, atol=1e-6) and some_loss == pytest.approx(loss, rel=1e-6)
+        assert np.allclose(some_scores, scores, rtol=1e-6)
+        assert all(np.allclose(some_grads[k], grads[k], atol=1e-4) for k in p)
+
+
+def test_gradients_equal_differences_of_the_loss():
+    rng = np.random.default_rng(8)
+    p = gru.new_params(np.log(rng.dirichlet(np.ones(40))), 4, 7)
+    p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) * (v > -1e8) for k, v in p.items()}
+    seen, target = np.minimum(rng.zipf(1.4, (2, 6, 3)) - 1, 39).astype(np.uint16)
+    h, fresh = rng.normal(0, 0.5, (3, 4)), rng.random((6, 3)) < 0.2
+    grads = gru.window_gradients(p, h, seen, target, fresh)[2]
+    for k, v in p.items():
+        flat = v.reshape(-1)
+        for i in rng.permutation(np.flatnonzero(flat > -1e8))[:25]:
+            kept, ends = flat[i], []
+            for move in (1e-4, -1e-4):
+                flat[i] = kept + move
+                ends.append(gru.window_gradients(p, h, seen, target, fresh)[1])
+            flat[i] = kept
+            assert grads[k].reshape(-1)[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, abs=1e-5), k
