@@ -41,6 +41,8 @@ ROUNDS = 3
 END = b"\n"
 #: Distinct tokens a task counts before it hands them on.
 HELD_TOKENS = 400_000
+#: Bytes of text whose tokens are looked up together, as each time the frequent ones are hashed.
+SLICE_LOOKED_UP = 12_000_000
 #: Bytes of token numbers that are trained on, or scored, together; one document at least.
 SLICE_NUMBERS, SLICE_SCORED = 1_500_000, 6_000_000
 
@@ -133,7 +135,7 @@ def _number_batches(words: Vocabulary):
         # the last place is for tokens whose counts are not at hand, at -1
         log_p = np.array([*(words.log10_p(c) for c in words.counts.values()), 0.0])
         number = np.array([*(words.number.get(t, 0) for t in words.counts), 0], np.dtype("<u2"))
-        for piece in text_slices(batches, "text"):
+        for piece in text_slices(batches, "text", SLICE_LOOKED_UP):
             tokens, sizes = words_in(piece.column("text"))
             found = pc.fill_null(pc.index_in(tokens, frequent), -1).to_numpy()
             last = np.cumsum(sizes)
@@ -205,9 +207,24 @@ def fit(numbered: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: in
     return params
 
 
+def _joined(pieces: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring pieces together, up to `limit` bytes in the column: a piece takes as many steps
+    as its longest text has tokens."""
+    held, used = [], 0
+    for piece in pieces:
+        size = pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+        if held and used + size > limit:
+            yield pa.concat_batches(held)
+            held, used = [], 0
+        held.append(piece)
+        used += size
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _score_batches(params: gru.Params, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, "numbers", SLICE_SCORED):
+        for piece in _joined(text_slices(batches, "numbers", SLICE_SCORED), "numbers", SLICE_SCORED):
             model = gru.log_likelihoods(params, _streams(piece), end) / math.log(10)
             yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(model, pa.float64())], names=["row", "model"])
 
@@ -236,7 +253,7 @@ def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", t
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = (
         rows.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf")
-        .join(counts, "token", "left")
+        .join(counts.hint("shuffle_hash"), "token", "left")  # one count a token: the tables are even, and nothing is sorted
         .groupBy("row")
         .agg(F.sum(F.col("tf") * (F.log10(c + 1) + words.unseen)).alias("rare_sum"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     )

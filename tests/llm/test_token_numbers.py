@@ -102,3 +102,12 @@ def test_gradients_equal_differences_of_the_loss():
                 ends.append(gru.window_gradients(p, h, seen, target, fresh)[1])
             flat[i] = kept
             assert grads[k].reshape(-1)[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, abs=1e-5), k
+
+
+def test_scored_pieces_are_joined_up_to_the_limit():
+    """Each small piece took as many steps as its longest text has tokens."""
+    sizes = [3, 1, 2, 9, 0, 1, 4, 4]
+    batches = [pa.record_batch({"row": [i], "numbers": pa.array([b"x" * n], pa.binary())}) for i, n in enumerate(sizes)]
+    joined = [b.column("row").to_pylist() for b in language_model._joined(iter(batches), "numbers", 6)]
+    assert joined == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert list(language_model._joined(iter([]), "numbers", 6)) == []
