@@ -6,6 +6,7 @@ is scored by aggregation, and the best point is improved by damped Gauss-Newton
 steps, each one again an aggregation over the per-x table, until its group has settled.
 A group with many different x is never brought into one task; only its few running sums are.
 Groups with at most LOCAL_X of them are packed and fitted inside tasks (`small_groups`).
+Curve families are compared by their least residual sums, limit curves included (`closing`).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewise.functions.columns import briere, lactin, solve_symmetric, theta_logistic
+from curvewise.operators import closing
 from curvewise.operators.fitting import _explained, _slopes, _sse, aic, fractional_moments, scaled_moments
 from curvewise.operators.joining import attach, sequence_points, spaced, spread_out
 from curvewise.operators.small_groups import Task, fits
@@ -247,20 +249,66 @@ def fit_models(
     """
     for model in lattices:
         _free_names(MODELS[model], keys)
-    sizes = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    large = stored(sizes.where(F.col("_m") > LOCAL_X).select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
-    if large.isEmpty():
-        return _fits_in_tasks(sums, keys, lattices, steps, tolerance)
-    of_large = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    small = _fits_in_tasks(sums.join(large, of_large, "left_anti"), keys, lattices, steps, tolerance)
-    rest = sums.join(large, of_large, "left_semi")
+    few, rest = _by_size(sums, keys)
+    small = _fits_in_tasks(few, keys, lattices, steps, tolerance)
+    if rest is None:
+        return small
     wide = {model: lattice_fit(rest, keys, model, lattices[model]) for model in lattices}
     if steps:
         wide = refine_fits(rest, wide, keys, steps, tolerance)
     return {model: small[model].unionByName(wide[model]) for model in lattices}
 
 
-def _fits_in_tasks(sums: DataFrame, keys: Sequence[str], lattices: Mapping, steps: int, tolerance: float) -> dict[str, DataFrame]:
+def closed_fits(
+    sums: DataFrame,
+    keys: Sequence[str],
+    lattices: Mapping[str, Mapping[str, tuple[float, float, int]] | None],
+    steps: int = MAX_STEPS,
+    tolerance: float = 1e-8,
+) -> dict[str, DataFrame]:
+    """(keys, n, sse, converged) per model: the least residual sum of each family and its limit curves.
+
+    The fits of `fit_models` are searched to their ends in the coordinates of `closing`, from the
+    lattice point or from where the rounds ended, whichever is lower there. None is given up:
+    a fit has not converged only if its curve has no sum there, and neither did the rounds converge.
+    """
+    for model in lattices:
+        _free_names(MODELS[model], keys)
+    few, rest = _by_size(sums, keys)
+    out = ["n", "sse", "converged"]
+    small = _fits_in_tasks(few, keys, lattices, steps, tolerance, closed=True)
+    small = {model: fit.select(*keys, *out) for model, fit in small.items()}
+    if rest is None:
+        return small
+    begun = {model: stored(lattice_fit(rest, keys, model, lattices[model])) for model in lattices}
+    ended = refine_fits(rest, begun, keys, steps, tolerance)
+    pairs = []
+    for model in lattices:
+        shape = [*MODELS[model].shape, *[None] * (closing.WIDTH - len(MODELS[model].shape))]
+        points = {k: [(F.lit(None).cast("double") if s is None else F.col(s)).alias(f"_{k}{i}") for i, s in enumerate(shape)] for k in "lr"}
+        at_end = ended[model].select(*keys, *points["r"], *out, F.lit(model).alias("_model"))
+        pairs.append(attach(at_end, begun[model].select(*keys, *points["l"]), keys))
+    fits = stored(reduce(DataFrame.unionByName, pairs))
+    starts = fits.where("sse IS NOT NULL AND NOT isnan(sse)").drop(*out)
+    every = attach(fits, closing.search_wide(rest, starts, keys, tolerance, NOTHING), [*keys, "_model"])
+    every = every.withColumns({"sse": F.coalesce("_sse", "sse"), "converged": F.col("converged") | F.col("_sse").isNotNull()})
+    wide = {model: every.where(F.col("_model") == model).select(*keys, *out) for model in lattices}
+    return {model: small[model].unionByName(wide[model]) for model in lattices}
+
+
+def _by_size(sums: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The groups of at most LOCAL_X rows, and the others if there are any."""
+    sizes = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    large = stored(sizes.where(F.col("_m") > LOCAL_X).select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+    if large.isEmpty():
+        return sums, None
+    of_large = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return sums.join(large, of_large, "left_anti"), sums.join(large, of_large, "left_semi")
+
+
+def _fits_in_tasks(
+    sums: DataFrame, keys: Sequence[str], lattices: Mapping, steps: int, tolerance: float, closed: bool = False
+) -> dict[str, DataFrame]:
     keys = list(keys)
     width = max(len(MODELS[model].shape) for model in lattices)
     tasks = [
@@ -276,7 +324,7 @@ def _fits_in_tasks(sums: DataFrame, keys: Sequence[str], lattices: Mapping, step
     doubles = {c: f"{c} double" for c in numbers}
     order = [*[doubles[f"_p{i}"] for i in range(width)], doubles["_lin"], "_n bigint", doubles["_sse"], doubles["_first"]]
     schema = ", ".join([types, *order, "_converged boolean", "_steps int"])
-    found = packed.mapInArrow(lambda b: fits(b, keys, tasks, width, steps, tolerance, NOTHING, FAN, FREE), schema)
+    found = packed.mapInArrow(lambda b: fits(b, keys, tasks, width, steps, tolerance, NOTHING, FAN, FREE, closed), schema)
     if len(tasks) > 1 or steps:
         found = stored(found)
     return {model: _named(found.where(F.col("_model") == model), keys, MODELS[model], bool(steps)) for model in lattices}
@@ -563,9 +611,10 @@ def compare_models(
     """(keys, model, n, sse, converged, aic, best) for polynomial and nonlinear curve families.
 
     Polynomials share one aggregation of the rows, nonlinear models one per-x table and the
-    rounds of their refinement. `best` is the least AIC among converged fits, so a curve form is
-    not passed over for want of iterations without a word. With `steps` 0 the nonlinear fits
-    are lattice points, `converged` is null for them, and all fits are ranked.
+    rounds of their refinement. After `steps` rounds every fit is searched to its end as by
+    `closed_fits`, so no curve form is passed over for want of iterations, and a family whose best
+    curve is a limit counts with that. `best` is the least AIC among converged fits. With `steps` 0
+    the nonlinear fits are lattice points, `converged` is null for them, and all fits are ranked.
     """
     names = {"quadratic": 2, "cubic": 3}
     stats = scaled_moments(df, keys, x, y, 3)
@@ -585,7 +634,8 @@ def compare_models(
     ).withColumn("converged", F.col("sse").isNotNull())
     if curves:
         sums = stored(per_x_sums(df, keys, x, y))
-        fitted = fit_models(sums, keys, {model: (lattices or {}).get(model) for model in curves}, steps)
+        ranges = {model: (lattices or {}).get(model) for model in curves}
+        fitted = closed_fits(sums, keys, ranges, steps) if steps else fit_models(sums, keys, ranges)
         for model, fit in fitted.items():
             k = len(MODELS[model].shape) + (0 if MODELS[model].kind == "fixed" else 1) + 1
             converged = F.col("converged") if steps else F.lit(None).cast("boolean")

@@ -2,7 +2,8 @@
 
 The same lattice, trials and ends as the rounds of `nonlinear`, on arrays over a slice of
 groups: the per-x sums of a group are packed into one row, so a fit needs one shuffle
-instead of some per round. Only the trial that is kept costs derivatives.
+instead of some per round. Only the trial that is kept costs derivatives. With `closed`, every
+fit is then searched to its end as in `closing`.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 
+from curvewise.operators import closing
+
 #: Numbers of one intermediate array; groups are taken in slices of about that size.
 SLICE = 200_000
 HUGE = np.finfo(float).max
@@ -208,7 +211,7 @@ class _Local:
 
     def fit(self, d: _Groups, steps: int, tolerance: float, nothing: float, fan, free: int) -> dict[str, np.ndarray]:
         point, lin, first = _lattice(self.task, d)
-        out = {"point": point, "lin": lin, "sse": first, "first": first, "converged": np.zeros(len(first), bool)}
+        out = {"start": point, "point": point, "lin": lin, "sse": first, "first": first, "converged": np.zeros(len(first), bool)}
         out["steps"] = np.zeros(len(first), np.int32)
         if not steps:
             return out
@@ -256,9 +259,30 @@ class _Local:
         return out
 
 
+def _closed(model: str, d: _Groups, fit: dict, tolerance: float, nothing: float) -> dict[str, np.ndarray]:
+    """A fit searched to its end from its lattice point or from where its rounds ended; its curve may have no parameters."""
+    top = lambda v: np.maximum.reduceat(v, d.starts)
+    group = {"_reach": top(np.abs(d.x)), "_low": -top(np.where(d.x == 0, -np.inf, -d.x)), "_high": top(d.x)}
+    group |= {"_unit": np.where(d.size > 0, np.sqrt(d.size / d.total), 1.0), "_size": d.size}
+
+    def sums(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        e, some = d.pick(np.isin(np.arange(len(d.lens)), which)), {k: v[which] for k, v in group.items()}
+        of_rows = {k: e.spread(v) for k, v in some.items()}
+        v0, v1, fixed = closing.columns(model, closing.Arrays, e.x, of_rows, e.spread(closing.numbers(model, z, some)))
+        a, b, y = (np.zeros(1) if v0 is None else v0), v1, e.mean - (0.0 if fixed is None else fixed)
+        products = [e.n * a * a, e.n * a * b, e.n * b * b, e.n * a * y, e.n * b * y, e.ss + e.n * y * y]
+        return closing.residual_sum(model, z, [e.sum(np.broadcast_to(v, (z.shape[1], len(e.x)))) for v in products], some)
+
+    starts = np.array([closing.coordinates(model, fit[k], group) for k in ("start", "point")]).transpose(1, 0, 2)
+    sse = closing.search(model, sums, starts, group, tolerance, nothing)
+    found = ~np.isnan(sse)
+    gone = {k: np.where(found, np.nan, fit[k]) for k in ("point", "lin")}
+    return {**fit, **gone, "sse": np.where(found, sse, fit["sse"]), "converged": found | fit["converged"]}
+
+
 def fits(
     batches: Iterator[pa.RecordBatch], keys: Sequence[str], tasks: Sequence[Task], width: int, steps: int,
-    tolerance: float, nothing: float, fan: Sequence[tuple[str, float, bool]], free: int,
+    tolerance: float, nothing: float, fan: Sequence[tuple[str, float, bool]], free: int, closed: bool = False,
 ) -> Iterator[pa.RecordBatch]:
     """Fits of every model to packed groups: keys, _model, _p0, ..., _lin, _n, _sse, _first, _converged, _steps."""
     locals_ = [_Local(t) for t in tasks]
@@ -280,7 +304,8 @@ def fits(
                 rows_of = slice(int(ends[some[0]] - lens[some[0]]), int(ends[some[-1]]))
                 d = _Groups(x[rows_of], n[rows_of], mean[rows_of], ss[rows_of], lens[some])
                 with np.errstate(all="ignore"):
-                    done.append((local.fit(d, steps, tolerance, nothing, fan, free), d.total))
+                    fit = local.fit(d, steps, tolerance, nothing, fan, free)
+                    done.append((_closed(task.name, d, fit, tolerance, nothing) if closed else fit, d.total))
             get = lambda k: np.concatenate([f[k] for f, _ in done], axis=-1)  # noqa: B023, E731
             number = lambda v: pa.array(v, pa.float64(), from_pandas=True)  # noqa: E731  nan is null
             point = get("point")

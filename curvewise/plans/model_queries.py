@@ -406,7 +406,8 @@ def _lattice_rounded(out):
     )
 
 
-#: These tables have no such curve in them, so many groups wander along ridges; `converged` says which.
+#: These tables have no such curve in them, so many groups wander along ridges; `converged` of m20_refined says
+#: which, and m22_all goes on from there.
 ROUNDS = 12
 
 
@@ -501,7 +502,7 @@ def m22_lattice(spark, d):
 
 @query("m22_all")
 def m22_all(spark, d):
-    """All families, the nonlinear ones refined to tolerance from the lattice."""
+    """All families, the nonlinear ones refined to tolerance from the lattice, each fit to its end."""
     out = nonlinear.compare_models(obs(spark, d), CURVE, "x", "y", lattices=LATTICES, steps=ROUNDS, shift=1.0)
     return rounded(out.select(*CURVE, "n", "model", "converged", "sse", "aic", "best"), 4)
 
